@@ -1,0 +1,5 @@
+"""All usage-analytics queries by name, with their SQL for the oracle."""
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "ag_01_day_rollup"
