@@ -6,6 +6,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word by white space, as a Java and Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -38,3 +39,8 @@ def parts(spark: SparkSession) -> int:
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str | None]:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def wider(df: DataFrame, more: str) -> StructType:
+    """The schema of df with more columns, given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])

@@ -1,10 +1,12 @@
 """The corpus operators' queries and their SQL."""
 
-from talliard.llm import quality, url_filter
+from talliard.llm import mixing, pii, quality, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op4_pii": pii.op4,
     "op9_url_filters": url_filter.op9,
+    "op10_mixing": mixing.op10,
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
