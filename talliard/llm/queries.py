@@ -1,11 +1,12 @@
 """The corpus operators' queries and their SQL."""
 
-from talliard.llm import decontaminate, mixing, pii, quality, token_files, url_filter
+from talliard.llm import decontaminate, line_dedup, mixing, pii, quality, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_decontamination": decontaminate.op2,
     "op4_pii": pii.op4,
+    "op7_line_dedup": line_dedup.op7,
     "op8_token_files": token_files.op8,
     "op9_url_filters": url_filter.op9,
     "op10_mixing": mixing.op10,
