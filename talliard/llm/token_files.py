@@ -32,8 +32,10 @@ MAGIC = b"TWM1"
 END_ID = 2
 #: Ids in a shard, but for its last document.
 SHARD_TOKENS = 1 << 22
-#: Pieces that a task remembers before it starts over.
-PIECES = 400_000
+#: Pieces that a worker remembers before it starts over.
+PIECES = 1_000_000
+#: Marks that the tokenizer splits off behind letters, and the end of the Latin letters whose cases Python and it fold alike.
+MARKS, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
 #: Bits for each entry of a plane's directory.
 RANK_BITS = 4096
 
@@ -164,7 +166,9 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids of texts by their pieces between blanks and line feeds."""
+    """Ids of texts by their pieces between blanks and line feeds; what is known stays for later tasks of a worker."""
+
+    made: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -173,18 +177,36 @@ class Encoder:
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ") if text else []
-        try:
-            found = b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        if path not in cls.made:
+            cls.made[path] = cls(path)
+        return cls.made[path]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Letters with marks behind are two pieces: the tokenizer splits there; Latin letters in either case are one: it folds them."""
+        known, parts = self.known, {}
+        for p in pieces:
+            core = p.rstrip(MARKS)
+            if not core.isalpha():
+                parts[p] = p, ""
+            else:
+                parts[p] = core.lower() if core.isascii() or max(core) < LATIN and "İ" not in core else core, p[len(core) :]
+        new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
+        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            known[piece] = np.array(e.ids, self.kind).tobytes()
+        for p, (core, marks) in parts.items():
+            known[p] = known[core] + known[marks]
+
+    def all(self, texts: list[str | None]):
+        """The ids of each text; a few texts at a time, as their pieces are held."""
+        for at in range(0, len(texts), 64):
+            pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 64]]
             if len(self.known) > PIECES:
                 self.known = {"": b""}
-            new = list({*pieces} - self.known.keys())
-            for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(e.ids, self.kind).tobytes()
-            found = b"".join(map(self.known.__getitem__, pieces))
-        return np.frombuffer(found, self.kind)
+            self.learn([p for p in set().union(*pieces) if p not in self.known])
+            for p in pieces:
+                yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), self.kind)
 
 
 def default_tokenizer() -> str:
@@ -210,10 +232,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, file, len(ids), len(held), data), _FILE, strict=True)], schema=_FILE)
 
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer or default_tokenizer())
+            encoder = encoder or Encoder.of(tokenizer or default_tokenizer())
             end = np.array([end_id], encoder.kind)
-            for doc_id, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
-                held.append((doc_id, np.concatenate((encoder(text), end))))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.all(texts(batch)), strict=True):
+                held.append((doc_id, np.concatenate((ids, end))))
                 size += len(held[-1][1])
                 if size >= shard_tokens:
                     yield flush()
