@@ -21,7 +21,7 @@ text are read; extra columns do not matter.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talliard.llm.common import WORD
+from talliard.llm.common import WORD, stored
 from talliard.tables import table
 
 #: Lines of fewer words match only if they are equal, so that one edit is a fifth of a line at most.
@@ -42,24 +42,24 @@ _ONE_EDIT = """case when size(a) = size(b) then slice(a, cast(same as int) + 2,
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(place: doc_id and line_no from 0, words, n, digest) of all lines with a word."""
-    return (
-        docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-        .select(F.struct("doc_id", "line_no").alias("place"), F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("words"))
-        .withColumn("n", F.size("words")).where("n > 0")
-        .withColumn("digest", F.unhex(F.md5(F.array_join("words", " "))))
-    )
+    """(place: doc_id and line_no from 0, line) of all lines."""
+    return docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select(F.struct("doc_id", "line_no").alias("place"), "line")
+
+
+def with_words(lines: DataFrame) -> DataFrame:
+    """Lines with a word, with words and their number n."""
+    return lines.withColumn("words", F.regexp_extract_all("line", F.lit(WORD), F.lit(0))).withColumn("n", F.size("words")).where("n > 0")
 
 
 def duplicate_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no, why) of all lines with a word; why is null for lines that stay, else equal or near."""
-    lines = lines_of(docs)
-    seen = lines.select("place", "digest", "n", F.expr(_HALVES.format(least=MIN_WORDS)).alias("halves"))
-    firsts = seen.groupBy("digest").agg(F.min("place").alias("first"), F.first("halves").alias("halves"))
+    digest = F.unhex(F.md5(F.array_join("words", " ")))
+    seen = stored(with_words(lines_of(docs)).select("place", digest.alias("digest"), F.expr(_HALVES.format(least=MIN_WORDS)).alias("halves")))
+    firsts = stored(seen.groupBy("digest").agg(F.min("place").alias("first"), F.first("halves").alias("halves")))
     halves = firsts.select("first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("half")
     live = halves.join(shared, "half").select(F.col("first").alias("place")).distinct()
-    texts = lines.select("place", "words", "n").join(live, "place")
+    texts = stored(with_words(lines_of(docs).join(live, "place")).select("place", "words", "n"))
     variants = texts.select("place", F.explode(F.expr(_VARIANTS)).alias("v")).select("place", "v.role", "v.key")
     earliest = (
         variants.groupBy("key")
