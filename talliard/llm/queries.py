@@ -1,12 +1,13 @@
 """The corpus operators' queries and their SQL."""
 
-from talliard.llm import block_dedup, decontaminate, line_dedup, mixing, pii, quality, suffix_dedup, token_files, url_filter
+from talliard.llm import block_dedup, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_decontamination": decontaminate.op2,
     "op3_suffix_dedup": suffix_dedup.op3,
     "op4_pii": pii.op4,
+    "op5_jaccard_join": jaccard_join.op5,
     "op6_block_dedup": block_dedup.op6,
     "op7_line_dedup": line_dedup.op7,
     "op8_token_files": token_files.op8,
