@@ -18,8 +18,7 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = quality.judge(docs).where("kept").withColumn("text", F.col("cleaned")).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    return quality.kept_docs(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

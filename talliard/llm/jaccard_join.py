@@ -1,22 +1,20 @@
-"""N-gram Jaccard join: a metric-space join with rings, pivots, Voronoi regions and triangle-inequality windows.
+"""N-gram Jaccard join: a metric-space join with pivots, regions and triangle-inequality windows, recursive and exact.
 
 Two documents link when their sets of word shingles have a Jaccard similarity of PERCENT or more; classes are what
-links reach. The join goes from coarse to fine regions, each step exact:
+links reach. The join goes from coarse to fine regions:
 
 1. Rings. By the symmetric difference, a metric, the empty set is a pivot and a set's size its distance. Sets are cut
    into rings by size, and by the triangle inequality a set is copied into each ring where a smaller partner can lie.
 2. Regions of a ring. Partners of a ring differ in at most d shingles, so of d + 1 parts of all shingles (by hash) at
-   least one is the same in both; sets with the same part are a region. Random texts lie at distance 1 of each other
-   and of any pivot document, so Voronoi regions of documents cannot part a corpus: all would lie in all windows. These
-   regions do, and only in them do texts lie near enough to a pivot for its distance to tell anything.
-3. Pivots. Each region's first set is compared with all others of it; links make classes, and regions of one class are
-   done. In what is left, small regions compare all pairs of different classes; larger ones draw PIVOTS sets, measure
-   the Jaccard distance of all sets to them, deal sets to the nearest pivot, and copy a set into each region whose
-   pivot is farther by at most twice the greatest distance of a link. Regions are so joined again, until none is left.
+   least one is the same in both; sets with the same part are a region. Regions around pivot documents cannot do this:
+   random texts lie at distance 1 of each other and of any pivot, so all of them would lie in all windows.
+3. Pivots. Each region's first set is its pivot, all others of the region are compared with it, and links make classes.
+   Regions of one class are done. What has few pairs of different classes for its size is compared; what has many is
+   parted into regions again, by other parts of the shingles, until parting no longer helps.
 
 Equal sets are one node, so copies make no pairs. Part hashes go through the chunks' exchange of keys, where a key
-costs one entry a chunk however many documents hold it; only keys that two sets share go on. No pair is made twice,
-none within a class, and none in a large region but those with its pivots.
+costs one entry a chunk however many documents hold it; only keys that two sets share go on. No pair is compared
+within a class, so large groups of copies are links to a pivot.
 
 Null and empty texts have no shingles and link with nothing. Texts with fewer words than a shingle are one shingle.
 Rows with the same doc_id are one document and share its class; null doc_ids stand as one document before all others.
@@ -25,7 +23,7 @@ Ties go to the smaller doc_id. Empty tables give no rows. Only doc_id and text a
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talliard.llm import chunks as C
@@ -37,12 +35,10 @@ SHINGLE = 3
 PERCENT = 90
 #: Growth of a ring's sizes.
 GROWTH = 1.4
-#: Regions up to this size compare all pairs of different classes.
-SMALL = 24
-PIVOTS = 8
+#: Regions with up to so many pairs of different classes a node compare these; others are parted again.
+PARTNERS = 32
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-_PART, _RING = C.numbers(11, 1)[0], C.numbers(12, 1)[0]
 
 
 def rings(percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,31 +81,37 @@ class Sets:
         return self.hashes[self.ends[k] - self.n[k] : self.ends[k]]
 
     def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, key) of all parts, in the set's own ring and in those of smaller partners."""
-        low, parts = rings(percent)
-        own = np.searchsorted(low, self.n, side="right") - 1
-        least = np.searchsorted(low, -(-self.n * percent // 100), side="right") - 1
-        docs, keys = [], []
-        spread = C.mixed(self.hashes ^ _PART)
-        for back in range(int((own - least)[self.n > 0].max(initial=-1)) + 1):
-            ring = own - back
-            ok = (self.n > 0) & (ring >= least)
-            m = np.where(ok, parts[np.maximum(ring, 0)], 0)
-            base = np.cumsum(m) - m
-            use = ok[self.of]
-            part = ((self.hashes[use] >> np.uint64(32)) * m[self.of[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-            slot = base[self.of[use]] + part
-            order = np.argsort(slot, kind="stable")
-            slot, values = slot[order], spread[use][order]
-            sums = np.zeros(int(m.sum()), np.uint64)
-            if len(slot):
-                first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-                sums[slot[first]] = np.add.reduceat(values, first)
-            doc = np.repeat(np.arange(len(m)), m)
-            label = ring[doc].astype(np.uint64) << np.uint64(40) | (np.arange(len(doc)) - base[doc]).astype(np.uint64)
-            docs.append(doc)
-            keys.append(C.mixed(C.mixed(label * np.uint64(0x9E3779B97F4A7C15) ^ _RING) + sums))
-        return (np.concatenate(docs), np.concatenate(keys)) if docs else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        """(document, key) of all parts."""
+        return part_keys(self.hashes, self.of, self.n, percent, 0)
+
+
+def part_keys(hashes: np.ndarray, of: np.ndarray, n: np.ndarray, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """(set, key) of all parts of sets of n elements, in each set's own ring and in those of smaller partners; each turn parts otherwise."""
+    low, parts = rings(percent)
+    own = np.searchsorted(low, n, side="right") - 1
+    least = np.searchsorted(low, -(-n * percent // 100), side="right") - 1
+    sets, keys = [], []
+    salt = C.numbers(11, 2 * turn + 2)[2 * turn :]
+    spread = C.mixed(hashes ^ salt[0])
+    place = C.mixed(hashes ^ salt[1]) >> np.uint64(32)
+    for back in range(int((own - least)[n > 0].max(initial=-1)) + 1):
+        ring = own - back
+        ok = (n > 0) & (ring >= least)
+        m = np.where(ok, parts[np.maximum(ring, 0)], 0)
+        base = np.cumsum(m) - m
+        use = ok[of]
+        slot = base[of[use]] + (place[use] * m[of[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot, values = slot[order], spread[use][order]
+        sums = np.zeros(int(m.sum()), np.uint64)
+        if len(slot):
+            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
+            sums[slot[first]] = np.add.reduceat(values, first)
+        one = np.repeat(np.arange(len(m)), m)
+        label = ring[one].astype(np.uint64) << np.uint64(40) | (np.arange(len(one)) - base[one]).astype(np.uint64)
+        sets.append(one)
+        keys.append(C.mixed(C.mixed(label * np.uint64(0x9E3779B97F4A7C15) ^ salt[0]) + sums))
+    return (np.concatenate(sets), np.concatenate(keys)) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def _send_keys(n: int, shingle: int, percent: int):
@@ -183,33 +185,58 @@ def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("distance"), (100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).alias("linked"))
 
 
+def _split(regions: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Regions parted once more, by other parts of their sets: (key, node), only where two nodes share the finer region."""
+
+    def run(batches):
+        for batch in batches:
+            elements = batch.column(2)
+            n = np.diff(elements.offsets.to_numpy())
+            hashes = elements.flatten().to_numpy().view(np.uint64)
+            of, keys = part_keys(hashes, np.repeat(np.arange(len(n)), n), n.astype(np.int64), percent, turn)
+            outer = batch.column(0).to_numpy().view(np.uint64)[of]
+            yield pa.RecordBatch.from_arrays([pa.array(C.mixed(outer ^ keys).view(np.int64)), batch.column(1).take(pa.array(of))], ["key", "node"])
+
+    finer = regions.select("key", "node").join(sets, "node").select("key", "node", "elements").mapInArrow(run, "key long, node binary")
+    return _shared(stored(finer))
+
+
+def _shared(regions: DataFrame) -> DataFrame:
+    """Rows of regions with two nodes or more."""
+    return regions.join(regions.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key"), "key")
+
+
+def _sized(regions: DataFrame, state: DataFrame) -> DataFrame:
+    """Rows (key, node, least, size, pairs) of regions with several classes; pairs: those of different classes."""
+    labelled = regions.join(state, "node")
+    per_class = labelled.groupBy("key", "least").agg(F.count("*").alias("c"))
+    sizes = per_class.groupBy("key").agg(F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
+    return stored(labelled.join(sizes, "key").select("key", "node", "least", "size", "pairs"))
+
+
 def link_nodes(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, least) after all links; regions (key, node), nodes (node, least), sets (node, elements)."""
-    first = regions.join(nodes, "node").groupBy("key").agg(F.min(F.struct("least", "node"))["node"].alias("a"))
-    pairs = regions.join(first, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = stored(_compare(pairs, sets, percent).where("linked").select("a", "b"))
-    regions = regions.join(first, "key").where("node <> a").select("key", "node")
+    pivots = regions.join(nodes, "node").groupBy("key").agg(F.min(F.struct("least", "node"))["node"].alias("a"))
+    starred = stored(regions.join(pivots, "key").where("node <> a"))
+    links = stored(_compare(starred.select("a", F.col("node").alias("b")).distinct(), sets, percent).where("linked").select("a", "b"))
     state = components(nodes, links)
-    turn = 0
+    regions, turn, before = _sized(starred.select("key", "node"), state), 0, float("inf")
     while True:
-        turn += 1
-        sized = regions.join(state, "node").groupBy("key").agg(F.count("*").alias("size"), F.min("least").alias("p"), F.max("least").alias("q")).where("p < q").select("key", "size")
-        regions = stored(regions.join(sized, "key"))
-        if not regions.head(1):
+        left = regions.select("key", "size", "pairs").distinct().agg(F.sum("pairs").alias("pairs"), F.sum(F.when(F.col("pairs") > F.col("size") * PARTNERS, F.col("pairs"))).alias("large")).first()
+        if left.pairs is None:
             return state
-        labelled = regions.join(state, "node")
-        small = labelled.where(F.col("size") <= SMALL)
-        pairs = small.select("key", F.col("node").alias("a"), F.col("least").alias("k")).join(small.select("key", F.col("node").alias("b"), F.col("least").alias("l")), "key").where("k <> l and a < b").select("a", "b")
-        large = regions.where(F.col("size") > SMALL)
-        drawn = large.withColumn("draw", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn)), "node")))
-        drawn = stored(drawn.where(F.col("draw") <= PIVOTS).select("key", F.col("node").alias("a")))
-        to_pivots = large.select("key", F.col("node").alias("b")).join(drawn, "key").where("a <> b")
-        compared = stored(_compare(pairs.union(to_pivots.select("a", "b")).distinct(), sets, percent))
-        links = stored(links.union(compared.where("linked").select("a", "b")))
-        at = to_pivots.join(compared, ["a", "b"]).join(drawn.select("key", F.col("a").alias("b")), ["key", "b"], "left_anti")
-        near = at.groupBy("key", "b").agg(F.min("distance").alias("nearest"))
-        regions = at.join(near, ["key", "b"]).where(f"distance - nearest <= {2 * (100 - percent) / 100 + 1e-9}").select(F.xxhash64("key", "a").alias("key"), F.col("b").alias("node"))
+        few = F.col("pairs") <= F.col("size") * PARTNERS
+        if left.large is not None and left.large > before / 2:  # parting no longer helps: the texts are all near
+            few = F.lit(True)
+        before = left.large or 0
+        small = regions.where(few)
+        pairs = small.select("key", F.col("node").alias("a"), F.col("least").alias("k")).join(small.select("key", F.col("node").alias("b"), F.col("least").alias("l")), "key").where("k <> l and a < b").select("a", "b").distinct()
+        links = stored(links.union(_compare(pairs, sets, percent).where("linked").select("a", "b")))
         state = components(nodes, links)
+        if left.large is None or before == 0:
+            return state
+        turn += 1
+        regions = _sized(_split(regions.where(~few), sets, percent, turn), state)
 
 
 def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -223,8 +250,7 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent
     same = described.join(several.select("doc", "a"), "doc").where("node > a").select("a", F.col("node").alias("b"))
     nodes = stored(described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row", "chunk")).alias("at"), F.first("keys").alias("keys")).select("node", F.col("at.doc").alias("least"), "at.row", "at.chunk", "keys"))
     held = nodes.select("node", F.explode("keys").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key")
-    regions = stored(held.join(shared, "key"))
+    regions = stored(_shared(held))
     wanted = nodes.join(regions.select("node").distinct(), "node").select("chunk", "row", "node", "least")
     sets = stored(by_chunk.cogroup(wanted.select("chunk", "row", "node").groupBy("chunk")).applyInArrow(_sets(shingle), _SETS_DDL))
     state = link_nodes(regions, wanted.select("node", "least"), sets, percent)

@@ -106,6 +106,18 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("kept_chars") >= KEPT_SHARE * F.col("word_chars")))
 
 
+def kept_docs(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The kept documents with the cleaned text, and the columns of docs; n_chars follows the text.
+
+    Explode drops the rejected rows: a filter would be pushed below, where Spark repeats all expressions behind kept
+    for each use and does not finish planning.
+    """
+    found = judge(docs, text).withColumn("_kept", F.explode(F.expr("if(kept, array(true), array())"))).withColumn(text, F.col("cleaned"))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.length(text).cast("long"))
+    return found.select(*docs.columns)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return judge(docs).select("doc_id", *COUNTS, "base_failed", "kept", "n_failed_lines", "kept_chars")
