@@ -1,0 +1,94 @@
+"""Merging sightings of the same event by id; no result depends on the order of rows, but first sightings go by seq.
+
+All of an id's sightings meet in one shuffle: the window over the id and the grouping by it share their partitioning.
+"""
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+RANK = {"recorded": 6, "session": 5, "timeline": 4, "bounded": 3, "lineage": 2, "inferred": 1}
+MEASURES = ["tok_in", "cache_w", "cache_w1h", "cache_r", "tok_out", "reasoning", "calls"]
+
+
+def acct_rank(quality: Column = F.col("acct_q")) -> Column:
+    found = F.lit(0)
+    for name, rank in RANK.items():
+        found = F.when(quality == name, rank).otherwise(found)
+    return found
+
+
+def best_account(where: Column | None = None) -> Column:
+    """The account of the highest rank, ties to the smaller hash, as a struct of rank and acct; null without any."""
+    has = F.coalesce(F.col("acct"), F.lit("")) != ""
+    return F.min(F.when(has if where is None else has & where, F.struct((-acct_rank()).alias("r"), "acct", "acct_q")))
+
+
+def least_filled(column: str) -> Column:
+    return F.min(F.nullif(F.col(column), F.lit("")))
+
+
+def first_seen(value: Column, where: Column) -> Column:
+    return F.min(F.when(where, F.struct("seq", value.alias("v"))))["v"]
+
+
+def merge_usage(sightings: DataFrame) -> DataFrame:
+    """One row an id: the highest parser version's measures, the best account, and the first sighting's reporter and day."""
+    from talliard.functions.ids import local_date
+
+    top = F.col("pv") == F.col("_pv")
+    time_rank = F.when(F.col("ts_q") == "event", 2).when(F.col("ts_q") == "session-start", 1).otherwise(0)
+    kept = F.min(F.when(top, F.struct((-time_rank).alias("r"), "ts", "ts_q")))
+    rows = sightings.withColumn("_pv", F.max("pv").over(Window.partitionBy("id")))
+    merged = rows.groupBy("id").agg(
+        F.min("provider").alias("provider"), F.min("source").alias("source"), F.max("pv").alias("pv"),
+        *(F.max(F.when(top, F.col(m))).alias(m) for m in MEASURES),
+        kept.alias("_t"), F.when(F.bool_or(top & (F.col("q") == "exact")), "exact").otherwise("estimated").alias("q"),
+        best_account().alias("_a"), F.coalesce(least_filled("model"), F.lit("")).alias("model"), F.coalesce(least_filled("session"), F.lit("")).alias("session"),
+        F.coalesce(F.min(F.when(top, F.nullif("ws", F.lit("")))), least_filled("ws"), F.lit("")).alias("ws"),
+        first_seen(F.struct("machine", "cc"), F.col("machine") != "").alias("_m"),
+        first_seen(F.col("tz_offset_min"), top).alias("tz_offset_min"), first_seen(local_date(F.col("ts"), F.col("tz_offset_min")), F.lit(True)).alias("date"),
+    )
+    return merged.select(
+        "id", "provider", "source", "pv", *MEASURES, F.col("_t.ts").alias("ts"), F.col("_t.ts_q").alias("ts_q"), "q",
+        F.coalesce("_a.acct", F.lit("")).alias("acct"), F.coalesce("_a.acct_q", F.lit("unknown")).alias("acct_q"), "model", "session", "ws",
+        F.coalesce("_m.machine", F.lit("")).alias("machine"), F.coalesce("_m.cc", F.lit("")).alias("cc"), "tz_offset_min", "date",
+    )
+
+
+def merge_activity(sightings: DataFrame) -> DataFrame:
+    from talliard.functions.ids import local_date
+
+    merged = sightings.groupBy("id").agg(
+        F.min("provider").alias("provider"), F.min("source").alias("source"), F.min("ts").alias("ts"), F.bool_or("has_usage").alias("has_usage"),
+        best_account().alias("_a"), F.coalesce(least_filled("session"), F.lit("")).alias("session"), F.coalesce(least_filled("ws"), F.lit("")).alias("ws"),
+        first_seen(F.struct("machine", "cc"), F.col("machine") != "").alias("_m"), first_seen(local_date(F.col("ts"), F.col("tz_offset_min")), F.lit(True)).alias("date"),
+    )
+    return merged.select(
+        "id", "provider", "source", "ts", "has_usage", F.coalesce("_a.acct", F.lit("")).alias("acct"), F.coalesce("_a.acct_q", F.lit("unknown")).alias("acct_q"),
+        "session", "ws", F.coalesce("_m.machine", F.lit("")).alias("machine"), F.coalesce("_m.cc", F.lit("")).alias("cc"), "date",
+    )
+
+
+def merge_prompts(sightings: DataFrame) -> DataFrame:
+    """The first sighting's text, place and session; the first model that is filled."""
+    first = F.min_by(F.struct("provider", "source", "ts", "tz_offset_min", "acct", "workspace", "machine", "session", "text"), "seq")
+    merged = sightings.groupBy("id").agg(first.alias("f"), first_seen(F.col("model"), F.col("model") != "").alias("model"))
+    return merged.select("id", "f.*", F.coalesce("model", F.lit("")).alias("model"))
+
+
+def newest(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
+    """Of each key the row that is last by order."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
+
+
+def widen_spans(records: DataFrame, keys: list[str]) -> DataFrame:
+    """Evidence with the same key as one record, from the first to the last time seen."""
+    return records.groupBy(*keys).agg(F.min("ts").alias("ts"), F.max(F.greatest("ts", F.coalesce("to_ts", "ts"))).alias("to_ts"))
+
+
+def changed(incoming: DataFrame, stored: DataFrame, key: str = "id") -> DataFrame:
+    """Rows whose fields differ from what is stored; an unchanged row needs no write."""
+    fields = sorted(c for c in incoming.columns if c != key)
+    digest = lambda df: df.withColumn("_digest", F.xxhash64(*(F.col(c) for c in fields)))
+    return digest(incoming).join(digest(stored).select(key, "_digest"), [key, "_digest"], "left_anti").select(*incoming.columns)

@@ -1,0 +1,30 @@
+"""Validation of usage rows: each row gets the first reason to reject it, or none; limits readings by age."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from talliard.operators.merge import MEASURES
+from talliard.sources.adapter import PROVIDERS, SOURCES
+
+MOST = 10**13
+
+
+def judged(usage: DataFrame, now: str) -> DataFrame:
+    """usage with reason (null: accepted); cache_w1h no more than cache_w, calls at least 1."""
+    pairs = F.create_map(*(F.lit(x) for pair in zip(SOURCES, PROVIDERS, strict=True) for x in pair))
+    reason = (
+        F.when(~F.col("id").rlike("^[0-9a-f]{32}$"), "id")
+        .when(~F.col("provider").eqNullSafe(pairs[F.col("source")]), "source")
+        .when((F.col("ts") < F.lit("2015-01-01").cast("timestamp")) | (F.col("ts") > F.expr(f"timestamp'{now}' + interval 2 days")), "ts")
+        .when(~F.col("tz_offset_min").between(-840, 840), "tz_offset_min")
+        .when(~F.col("q").isin("exact", "estimated"), "q")
+    )
+    for m in MEASURES:
+        reason = reason.when(~F.coalesce(F.col(m).between(0, MOST), F.lit(False)), m)
+    return usage.withColumn("reason", reason).withColumn("cache_w1h", F.least("cache_w1h", "cache_w")).withColumn("calls", F.coalesce(F.nullif("calls", F.lit(0)), F.lit(1)))
+
+
+def routed(usage: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected); one bad row costs no other."""
+    rows = judged(usage, now)
+    return rows.where("reason is null").drop("reason"), rows.where("reason is not null")
