@@ -7,14 +7,14 @@ what is left.
 
 Equal lines meet by a digest first and are represented by their earliest. Of two lines one edit apart, one half is
 equal in both, so only representatives that share a half with another go on; a half is keyed with the length of the
-shorter line. Those emit hashes of all variants with one word deleted: equal variants without the same place deleted
+shorter line. Those emit hashes of the variants with one word of the other half deleted: equal variants without the same place deleted
 join a line to a line with one word more, equal variants with the same place deleted join lines that differ in
 one word. The earliest line of each variant is found by partial aggregation, so a variant that very many lines share
 is no burden, and pairs within it are never made: every line checks its claim against that earliest line only, word
 by word.
 
 Null and empty texts have no lines. Rows with the same doc_id are one document's sighting: their lines tie and stay.
-Rows with null doc_id come first. A line of n words emits 2 n + 1 hashes. Empty tables give no rows. Only doc_id and
+Rows with null doc_id come first. A line of n words emits some n / 2 hashes, 2 n + 1 at most. Empty tables give no rows. Only doc_id and
 text are read; extra columns do not matter.
 """
 
@@ -27,12 +27,14 @@ from talliard.tables import table
 #: Lines of fewer words match only if they are equal, so that one edit is a fifth of a line at most.
 MIN_WORDS = 5
 
+#: Halves: the first and last words by the length m of the shorter line, for m = n (own) and m = n - 1.
 _HALVES = """if(n < {least}, array(), array(
-    xxhash64(n, 0, slice(words, 1, n div 2)), xxhash64(n, 1, slice(words, n div 2 + 1, n)),
-    xxhash64(n - 1, 0, slice(words, 1, (n - 1) div 2)), xxhash64(n - 1, 1, slice(words, (n - 1) div 2 + 2, n))))"""
-_VARIANTS = """flatten(array(array(struct('w' as role, xxhash64(0, array_join(words, ' ')) as key)),
-    transform(sequence(1, n), i -> struct('v' as role, xxhash64(0, concat_ws(' ', slice(words, 1, i - 1), slice(words, i + 1, n))) as key)),
-    transform(sequence(1, n), i -> struct('s' as role, xxhash64(i, concat_ws(' ', slice(words, 1, i - 1), slice(words, i + 1, n))) as key))))"""
+    struct(xxhash64(n, 0, slice(words, 1, n div 2)) as half, 0 as side, true as own), struct(xxhash64(n, 1, slice(words, n div 2 + 1, n)) as half, 1 as side, true as own),
+    struct(xxhash64(n - 1, 0, slice(words, 1, (n - 1) div 2)) as half, 0 as side, false as own), struct(xxhash64(n - 1, 1, slice(words, (n - 1) div 2 + 2, n)) as half, 1 as side, false as own)))"""
+#: One edit lies on the other side of an equal half: the places where a word is deleted, from low to high.
+_LOW, _HIGH = "if(side = 0, (n - if(own, 0, 1)) div 2 + 1, 1)", "if(side = 0, n, n - ((n - if(own, 0, 1)) - (n - if(own, 0, 1)) div 2))"
+_VARIANTS = f"""if(role = 'w', array(xxhash64(0L, array_join(words, ' '))), transform(sequence({_LOW}, {_HIGH}),
+    i -> xxhash64(if(role = 's', cast(i as bigint), 0L), concat_ws(' ', slice(words, 1, i - 1), slice(words, i + 1, n)))))"""
 #: Equal words before the first difference, then what must be equal behind it.
 _SAME = "coalesce(nullif(array_position(zip_with(a, b, (x, y) -> x <=> y), false), 0) - 1, least(size(a), size(b)))"
 _ONE_EDIT = """case when size(a) = size(b) then slice(a, cast(same as int) + 2, size(a)) = slice(b, cast(same as int) + 2, size(b))
@@ -56,11 +58,12 @@ def duplicate_lines(docs: DataFrame) -> DataFrame:
     digest = F.unhex(F.md5(F.array_join("words", " ")))
     seen = stored(with_words(lines_of(docs)).select("place", digest.alias("digest"), F.expr(_HALVES.format(least=MIN_WORDS)).alias("halves")))
     firsts = stored(seen.groupBy("digest").agg(F.min("place").alias("first"), F.first("halves").alias("halves")))
-    halves = firsts.select("first", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("half")
-    live = halves.join(shared, "half").select(F.col("first").alias("place")).distinct()
-    texts = stored(with_words(lines_of(docs).join(live, "place")).select("place", "words", "n"))
-    variants = texts.select("place", F.explode(F.expr(_VARIANTS)).alias("v")).select("place", "v.role", "v.key")
+    halves = firsts.select("first", F.explode("halves").alias("h")).select("first", "h.*")
+    shared = halves.groupBy("half").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_more")).where("n_own > 1 or (n_own > 0 and n_more > 0)")
+    roles = F.expr("case when own then array_compact(array(if(n_own > 1, 's', null), if(n_more > 0, 'w', null))) when n_own > 0 then array('v') else array() end")
+    live = stored(halves.join(shared, "half").select(F.col("first").alias("place"), "side", "own", F.explode(roles).alias("role")).distinct())
+    texts = stored(with_words(lines_of(docs).join(live.select("place").distinct(), "place")).select("place", "words", "n"))
+    variants = live.join(texts, "place").select("place", "role", F.explode(F.expr(_VARIANTS)).alias("key")).distinct()
     earliest = (
         variants.groupBy("key")
         .agg(*(F.min(F.when(F.col("role") == r, F.col("place"))).alias(r) for r in "wvs"), F.max(F.when(F.col("role") == "s", F.col("place"))).alias("t"))
