@@ -165,6 +165,6 @@ def results(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray, removed: np.
     rows = []
     for k, (doc, a, b) in enumerate(zip(docs.tolist(), starts.tolist(), ends.tolist(), strict=True)):
         i, j = np.searchsorted(right, a, side="right"), np.searchsorted(left, b, side="left")
-        spans = [{"start": max(int(x), a) - a, "end": min(int(y), b) - a} for x, y in zip(left[i:j], right[i:j], strict=True)]
+        spans = [{"start": max(int(x), a) - a, "end": min(int(y), b) - a} for x, y in zip(left[i:j], right[i:j], strict=True)] if a < b else []
         rows.append((None if doc == NO_ID else doc, b - a, sum(s["end"] - s["start"] for s in spans), spans, kept(k, ~removed[a:b]) if spans else kept(k, None)))
     return row_table(rows, RESULT)
