@@ -10,8 +10,8 @@ RANK = {"recorded": 6, "session": 5, "timeline": 4, "bounded": 3, "lineage": 2,
 MEASURES = ["tok_in", "cache_w", "cache_w1h", "cache_r", "tok_out", "reasoning", "calls"]
 
 
-def acct_rank(quality: Column = F.col("acct_q")) -> Column:
-    found = F.lit(0)
+def acct_rank(quality: Column | str = "acct_q") -> Column:
+    quality, found = F.col(quality) if isinstance(quality, str) else quality, F.lit(0)
     for name, rank in RANK.items():
         found = F.when(quality == name, rank).otherwise(found)
     return found

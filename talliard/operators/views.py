@@ -44,7 +44,7 @@ def shares(rows: DataFrame, keys: list[str], value: str, within: list[str]) -> D
     """Each key's total, its percentage of the group, and its rank by value, ties by key."""
     totals = rows.groupBy(*within, *keys).agg(F.sum(value).cast("long").alias(value))
     group = Window.partitionBy(*within)
-    return totals.withColumn("share", F.round(100.0 * F.col(value) / F.sum(value).over(group), 6)).withColumn("rank", F.row_number().over(group.orderBy(F.desc(value), *keys)))
+    return totals.withColumn("share", F.round(100.0 * F.col(value) / F.sum(value).over(group), 6)).withColumn("rank", F.row_number().over(group.orderBy(F.desc(value), *keys)).cast("long"))
 
 
 def first_uses(days: DataFrame, keys: list[str]) -> DataFrame:

@@ -77,7 +77,7 @@ def mg_17(spark, sf_dir):
 _TIERS = ", ".join(f"cast(sum(case when q = 'estimated' then {'0' if not e else m} else {m if not e else '0'} end) as bigint) as {'estimated' if e else 'exact'}_{m}" for e in (0, 1) for m in MEAS)
 
 
-@query("ag_01_day_rollup", f"with {MERGED} select date, provider, {_TIERS}, count(*) as events, count_if(q = 'estimated') as estimated_events from m group by all")
+@query("ag_01_day_rollup", f"with {MERGED} select date, provider, {_TIERS}, count(*) as events, cast(count_if(q = 'estimated') as bigint) as estimated_events from m group by all")
 def ag_01(spark, sf_dir):
     return rollup.by_provider(_merged(spark, sf_dir))
 
@@ -274,7 +274,7 @@ _PRICED = f"""with {MERGED}, pc(pmodel, input, output, cache_read, cache_write,
 n as (select *, case when model in (select pmodel from pc) then model when model in ('model-3', 'model-4', 'model-5') then 'model-base' end as pmodel from m),
 pt as (select provider, model, date, {_USD} as usd from n left join pc on n.pmodel = pc.pmodel),
 pa as (select provider, model, date, {_USD} as usd from n left join pw on n.pmodel = pw.pmodel and date between fd and coalesce(td, '9999-12-31'))"""
-_BY_MODEL = ", d as (select provider, model, date, sum(cast(round(usd * 1e8) as bigint)) as usd, bool_or(usd is null) as open from {} group by all) select provider, model, sum(usd) / 1e8 as usd, count_if(open) as unpriced_days from d group by all"
+_BY_MODEL = ", d as (select provider, model, date, sum(cast(round(usd * 1e8) as bigint)) as usd, bool_or(usd is null) as open from {} group by all) select provider, model, sum(usd) / 1e8 as usd, cast(count_if(open) as bigint) as unpriced_days from d group by all"
 
 
 @query("ag_19_cost_today", _PRICED + _BY_MODEL.format("pt"))
@@ -338,7 +338,7 @@ def cx_04(spark, sf_dir):
     return history.shares_by_radius(rows.where("substr(date, 9, 2) = '15'").select("provider", "date").distinct(), activity)
 
 
-@query("cx_03_rates", f"""with {MERGED}, ac as (select provider, date, machine, cast(sum({TOK}) as bigint) as tokens, count_if(q = 'exact') as logged, date_diff('day', date '1970-01-01', cast(min(date) as date)) as n from m group by provider, date, machine)
+@query("cx_03_rates", f"""with {MERGED}, ac as (select provider, date, machine, cast(sum({TOK}) as bigint) as tokens, cast(count_if(q = 'exact') as bigint) as logged, date_diff('day', date '1970-01-01', cast(min(date) as date)) as n from m group by provider, date, machine)
 select provider, date, machine, tokens, logged, coalesce(
   sum(case when tokens > 0 and logged > 0 then tokens end) over a / sum(case when tokens > 0 and logged > 0 then logged end) over a,
   sum(case when tokens > 0 and logged > 0 then tokens end) over b / sum(case when tokens > 0 and logged > 0 then logged end) over b,
