@@ -1,7 +1,18 @@
-"""Reading the driver's Parquet tables by a path only Spark needs to understand."""
+"""Reading the driver's Parquet tables by a path only Spark needs to understand, and staging a result in the shared folder."""
+
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written below spark.checkpoint.dir (a temporary folder only where that is unset) and read back."""
+    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/talliard-stage"
+    path = f"{base}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
