@@ -12,6 +12,10 @@ links reach. The join goes from coarse to fine regions:
    Regions of one class are done. What has few pairs of different classes for its size is compared; what has many is
    parted into regions again, by other parts of the shingles, until parting no longer helps.
 
+4. Sketches. A set's sketch has a bit for each of SKETCH buckets of shingles, set where an odd number of them falls in.
+   The bits in which two sketches differ are a metric too, never above the distance of the sets, so pairs whose sketches
+   are too far apart are left out before any set is fetched.
+
 Equal sets are one node, so copies make no pairs. Part hashes go through the chunks' exchange of keys, where a key
 costs one entry a chunk however many documents hold it; only keys that two sets share go on. No pair is compared
 within a class, so large groups of copies are links to a pivot.
@@ -37,6 +41,8 @@ PERCENT = 90
 GROWTH = 1.4
 #: Regions with up to so many pairs of different classes a node compare these; others are parted again.
 PARTNERS = 32
+#: Bits of a sketch.
+SKETCH = 512
 
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
@@ -125,8 +131,16 @@ def _send_keys(n: int, shingle: int, percent: int):
 
 _DOCS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("n", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
 _DOCS_DDL = "doc long, row long, chunk int, n long, node binary, keys array<bigint>"
-_SETS = pa.schema([("node", pa.binary()), ("elements", pa.list_(pa.int64()))])
-_SETS_DDL = "node binary, elements array<bigint>"
+_SETS = pa.schema([("node", pa.binary()), ("elements", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
+_SETS_DDL = "node binary, elements array<bigint>, sketch array<bigint>"
+
+
+def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The sketch of each set of hashes, as whole numbers of 64 bits."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket = C.mixed(np.concatenate(sets).view(np.uint64) ^ C.numbers(13, 1)[0]) % np.uint64(SKETCH)
+    odd = np.bincount(of * SKETCH + bucket.astype(np.int64), minlength=len(sets) * SKETCH) & 1
+    return list(np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), -1))
 
 
 def _describe(shingle: int, percent: int):
@@ -158,7 +172,7 @@ def _sets(shingle: int):
         table = table.filter(pa.array([r in nodes for r in table["row"].to_pylist()]))
         sets, rows = Sets(table, shingle), np.sort(table["row"].to_numpy()).tolist()
         found = {nodes[r]: sets.set(k).view(np.int64) for k, r in enumerate(rows)}
-        return pa.Table.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64()))], schema=_SETS)
+        return pa.Table.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(sketches(list(found.values())), pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
@@ -178,6 +192,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = stored(moved.join(jump, moved.least == jump["from"], "left").select("node", F.least("least", "to").alias("least")))
 
 
+def _may_link(percent: int):
+    """Whether nodes of n and m elements may link by their sketches; the distance of linked ones is at most (n + m) (100 - percent) / (100 + percent)."""
+    apart = " + ".join(f"bit_count(sketch[{k}] ^ other[{k}])" for k in range(SKETCH // 64))
+    return F.expr(f"({apart}) * {100 + percent} <= (n + m) * {100 - percent}")
+
+
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, distance, linked) of pairs of nodes."""
     a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
@@ -216,9 +236,12 @@ def _sized(regions: DataFrame, state: DataFrame) -> DataFrame:
 
 def link_nodes(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, least) after all links; regions (key, node), nodes (node, least), sets (node, elements)."""
+    marks = stored(sets.select("node", F.size("elements").alias("n"), "sketch"))
+    other = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
     pivots = regions.join(nodes, "node").groupBy("key").agg(F.min(F.struct("least", "node"))["node"].alias("a"))
     starred = stored(regions.join(pivots, "key").where("node <> a"))
-    links = stored(_compare(starred.select("a", F.col("node").alias("b")).distinct(), sets, percent).where("linked").select("a", "b"))
+    pairs = starred.select("a", F.col("node").alias("b")).distinct().join(marks.withColumnRenamed("node", "a"), "a").join(other, "b").where(_may_link(percent)).select("a", "b")
+    links = stored(_compare(pairs, sets, percent).where("linked").select("a", "b"))
     state = components(nodes, links)
     regions, turn, before = _sized(starred.select("key", "node"), state), 0, float("inf")
     while True:
@@ -229,8 +252,9 @@ def link_nodes(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: i
         if left.large is not None and left.large > before / 2:  # parting no longer helps: the texts are all near
             few = F.lit(True)
         before = left.large or 0
-        small = regions.where(few)
-        pairs = small.select("key", F.col("node").alias("a"), F.col("least").alias("k")).join(small.select("key", F.col("node").alias("b"), F.col("least").alias("l")), "key").where("k <> l and a < b").select("a", "b").distinct()
+        small = regions.where(few).select("key", "node", "least").join(marks, "node")
+        right = small.select("key", F.col("node").alias("b"), F.col("least").alias("l"), F.col("n").alias("m"), F.col("sketch").alias("other"))
+        pairs = small.withColumnRenamed("node", "a").join(right, "key").where("least <> l and a < b").where(_may_link(percent)).select("a", "b").distinct()
         links = stored(links.union(_compare(pairs, sets, percent).where("linked").select("a", "b")))
         state = components(nodes, links)
         if left.large is None or before == 0:
