@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL."""
 
-from talliard.llm import block_dedup, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_files, url_filter
+from talliard.llm import block_dedup, decontaminate, jaccard_join, line_dedup, mixing, oracle, pii, quality, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -16,5 +16,9 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_quality_rules": quality.OP1_SQL,
+    "op2_decontamination": oracle.OP2,
+    "op3_suffix_dedup": oracle.OP3,
+    "op6_block_dedup": oracle.OP6,
+    "op7_line_dedup": oracle.OP7,
     "op9_url_filters": url_filter.OP9_SQL,
 }
