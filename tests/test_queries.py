@@ -40,7 +40,8 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     found = duck.execute(registry.ORACLE_SQL[name])
     assert sorted(d[0] for d in found.description) == columns
-    want = duck.execute(f"select {', '.join(columns)} from ({registry.ORACLE_SQL[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = duck.execute(f"select {quoted} from ({registry.ORACLE_SQL[name]})").fetchall()
     assert in_order(df.select(*columns).collect()) == in_order(want)
 
 
