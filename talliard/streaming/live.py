@@ -15,7 +15,7 @@ from talliard.tables import staged
 
 #: Days stay open for late events this long; then they are sealed.
 SEAL = "7 days"
-#: An event may grow this long after it was last seen.
+#: An event may grow this long after it was last seen, and for as long as its day is open.
 LIVE_MS = 2 * 3600 * 1000
 
 
@@ -37,20 +37,28 @@ def _grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     before = state.get if state.exists else (0,) * len(MEASURES)
     after, first = before, None
     for rows in batches:
-        seen = rows.sort_values("seq").iloc[0]
-        first = seen if first is None or seen["seq"] < first["seq"] else first
+        seen = rows.sort_values("seq").iloc[0].copy()
+        seen["latest"] = rows["ts"].max() if first is None else max(rows["ts"].max(), first["latest"])
+        if first is not None and first["seq"] < seen["seq"]:
+            first["latest"] = seen["latest"]
+        else:
+            first = seen
         after = tuple(max(a, int(b)) for a, b in zip(after, rows[MEASURES].max(), strict=True))
     state.update(after)
-    state.setTimeoutDuration(LIVE_MS)
+    last = max(int(first["latest"].timestamp() * 1000), state.getCurrentWatermarkMs())
+    state.setTimeoutTimestamp(last + LIVE_MS)
     if after != before:
         yield pd.DataFrame([[key[0], first["provider"], first["ts"], *(a - b for a, b in zip(after, before, strict=True))]], columns=["id", "provider", "ts", *MEASURES])
 
 
 def growth(stream: DataFrame) -> DataFrame:
-    """(id, provider, ts, measures): what each event's measures grew by, so that plain sums count every event once."""
+    """(id, provider, ts, measures): what each event's measures grew by, so that plain sums count every event once.
+
+    State ends by event time: timeouts by the clock would keep a query over all available files from ever ending.
+    """
     out = "id string, provider string, ts timestamp, " + ", ".join(f"{m} long" for m in MEASURES)
-    kept = stream.select("id", "provider", "ts", "seq", *MEASURES)
-    return kept.groupBy("id").applyInPandasWithState(_grow, out, ", ".join(f"{m} long" for m in MEASURES), "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kept = stream.select("id", "provider", "ts", "seq", *MEASURES).withWatermark("ts", SEAL)
+    return kept.groupBy("id").applyInPandasWithState(_grow, out, ", ".join(f"{m} long" for m in MEASURES), "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def upsert(batch: DataFrame, path: str) -> list[str]:
