@@ -14,7 +14,7 @@ links reach. The join goes from coarse to fine regions:
 
 4. Sketches. A set's sketch has a bit for each of SKETCH buckets of shingles, set where an odd number of them falls in.
    The bits in which two sketches differ are a metric too, never above the distance of the sets, so pairs whose sketches
-   are too far apart are left out before any set is fetched.
+   are too far apart are left out before any set is fetched; then the same by wide sketches, as long as the sets need.
 
 Equal sets are one node, so copies make no pairs. Part hashes go through the chunks' exchange of keys, where a key
 costs one entry a chunk however many documents hold it; only keys that two sets share go on. No pair is compared
@@ -129,10 +129,17 @@ def _send_keys(n: int, shingle: int, percent: int):
     return run
 
 
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """A sketch of four bits or more for each element, the next power of two."""
+    bits = max(SKETCH, 1 << (4 * len(elements) - 1).bit_length())
+    bucket = C.mixed(elements.view(np.uint64) ^ C.numbers(14, 1)[0]) % np.uint64(bits)
+    return np.packbits((np.bincount(bucket.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 _DOCS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("n", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
 _DOCS_DDL = "doc long, row long, chunk int, n long, node binary, keys array<bigint>"
-_SETS = pa.schema([("node", pa.binary()), ("elements", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
-_SETS_DDL = "node binary, elements array<bigint>, sketch array<bigint>"
+_SETS = pa.schema([("node", pa.binary()), ("elements", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
+_SETS_DDL = "node binary, elements array<bigint>, sketch array<bigint>, wide array<bigint>"
 
 
 def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
@@ -172,7 +179,7 @@ def _sets(shingle: int):
         table = table.filter(pa.array([r in nodes for r in table["row"].to_pylist()]))
         sets, rows = Sets(table, shingle), np.sort(table["row"].to_numpy()).tolist()
         found = {nodes[r]: sets.set(k).view(np.int64) for k, r in enumerate(rows)}
-        return pa.Table.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(sketches(list(found.values())), pa.list_(pa.int64()))], schema=_SETS)
+        return pa.Table.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(sketches(list(found.values())), pa.list_(pa.int64())), pa.array([wide_sketch(x) for x in found.values()], pa.list_(pa.int64()))], schema=_SETS)
 
     return run
 
@@ -199,7 +206,11 @@ def _may_link(percent: int):
 
 
 def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs of nodes."""
+    """(a, b, distance, linked) of pairs of nodes whose wide sketches, where they are equally long, allow a link."""
+    left = sets.select(F.col("node").alias("a"), F.size("elements").alias("n"), F.col("wide").alias("s"))
+    right = sets.select(F.col("node").alias("b"), F.size("elements").alias("m"), F.col("wide").alias("t"))
+    apart = "aggregate(zip_with(s, t, (x, y) -> bit_count(x ^ y)), 0, (d, x) -> d + x)"
+    pairs = pairs.join(left, "a").join(right, "b").where(f"size(s) <> size(t) or {apart} * {100 + percent} <= (n + m) * {100 - percent}").select("a", "b")
     a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
     return both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("distance"), (100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).alias("linked"))
