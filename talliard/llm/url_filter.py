@@ -2,7 +2,7 @@
 
 Every url is cut into host and path by fixed text rules. Host rules are looked up by each suffix of the url's
 host, so a url meets only rules that may fit; of the fitting ones the longest wins. Where none fits, pattern
-rules decide: each is stored under its rarest literal token (counted over all urls), the url's tokens fetch
+rules decide: each form of one is stored under its rarest literal token (counted over all urls), the url's tokens fetch
 candidates, and only candidates run their regular expression. DataFrame functions only.
 
 Null urls and urls without '://' have an empty host and path, no rule, and the default verdict allow. Of rules
@@ -25,11 +25,18 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 
-#: Pattern rules for urls that no host rule fits: the pattern, then its literal tokens.
+#: Pattern rules for urls that no host rule fits, one row for each form of what they match: the pattern, then the form's
+#: literal tokens. Joined words are one token, hyphenated ones several; each match holds all tokens of one of the forms.
 PATTERNS = [
+    (r"(^|[./-])cheap-?pills([./-]|$)", ["cheappills"]),
     (r"(^|[./-])cheap-?pills([./-]|$)", ["cheap", "pills"]),
+    (r"(^|[./-])free-?bets([./-]|$)", ["freebets"]),
     (r"(^|[./-])free-?bets([./-]|$)", ["free", "bets"]),
+    (r"(^|[./-])online-?casino([./-]|$)", ["onlinecasino"]),
     (r"(^|[./-])online-?casino([./-]|$)", ["online", "casino"]),
+    (r"(^|[./-])adult-?(cams?|video)([./-]|$)", ["adultcam"]),
+    (r"(^|[./-])adult-?(cams?|video)([./-]|$)", ["adultcams"]),
+    (r"(^|[./-])adult-?(cams?|video)([./-]|$)", ["adultvideo"]),
     (r"(^|[./-])adult-?(cams?|video)([./-]|$)", ["adult"]),
 ]
 
@@ -66,8 +73,8 @@ def _sized(small: DataFrame) -> DataFrame:
 
 
 def index_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(token, pattern): each pattern under the literal token that the fewest urls hold, ties by the token."""
-    literal = patterns.select("pattern", F.explode("tokens").alias("token"))
+    """(token, pattern): each form of a pattern under its literal token that the fewest urls hold, ties by the token."""
+    literal = patterns.select("pattern", "tokens", F.explode("tokens").alias("token"))
     counts = (
         urls.select(F.explode(_tokens()).alias("token"))
         .join(_sized(literal.select("token").distinct()), "token", "left_semi")
@@ -75,8 +82,8 @@ def index_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
     )
     return (
         literal.join(counts, "token", "left")
-        .groupBy("pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
-        .select(F.col("rarest.token").alias("token"), "pattern")
+        .groupBy("pattern", "tokens").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
+        .select(F.col("rarest.token").alias("token"), "pattern").distinct()
     )
 
 

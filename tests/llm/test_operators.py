@@ -230,6 +230,17 @@ def test_url_filters(spark):
     }
 
 
+def test_url_filters_joined_and_hyphenated(spark):
+    words = ["cheappills", "cheap-pills", "freebets", "free-bets", "onlinecasino", "online-casino", *(f"adult{h}{w}" for h in ("", "-") for w in ("cam", "cams", "video")), "adult", "adult-x", "cheapPills", "xcheappills"]
+    urls = [f"http://{form}" for w in words for form in (f"x.org/{w}/1", f"{w}.org", f"a-{w}.example.org/b", f"x.org/a-{w}", f"x.org/{w}_1", f"{w}")]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.filter_urls(pages, url_filter.rule_table(spark), url_filter.pattern_table(spark)).collect()
+    plain = {p for p, _ in url_filter.PATTERNS}
+    assert len(found) == len(urls) and len(plain) == 4
+    for r in found:
+        assert (r.verdict == "block") == any(re.search(p, r.host + r.path) for p in plain), urls[r.page_id]
+
+
 def test_mixing(docs, rows, spark):
     got = mixing.mix(docs.withColumn("taken", F.lit("clash"))).collect()
     assert sum(r.size for r in got) == sum(len(WORD.findall(t or "")) for _, t, *_ in rows)
