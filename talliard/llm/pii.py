@@ -1,7 +1,7 @@
 """Personal data by anchor expansion: Aho-Corasick finds anchors, local parsers expand and validate around them.
 
 One automaton finds at-signs, plus signs, scheme marks, digits and identifier cues in a single pass over each whole
-text. Every anchor is handed to a small parser that looks only at its neighbourhood: an at-sign grows to the left
+text. Every anchor is handed to a small parser that grows from it to the next delimiter, however far that is: an at-sign grows to the left
 and right into an email address, a digit that starts a run into an IP address or a card number, a plus sign into a
 phone number, a scheme mark into a url with credentials, and a cue into the secret or account number behind it.
 Parsers of one kind go from left to right and never overlap; what fails validation is dropped and not retried.
@@ -25,9 +25,9 @@ from talliard.tables import table
 KINDS = ["email", "ip", "card", "phone", "secret", "account", "url"]
 BASE = KINDS[:4]
 
-#: Cues, the kind of value that they announce.
+#: Cues in small letters, as any case counts, and the kind of value that they announce.
 CUES = {
-    "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api_key": "secret", "apikey": "secret",
+    "token": "secret", "secret": "secret", "password": "secret", "passwd": "secret", "api_key": "secret", "api-key": "secret", "apikey": "secret",
     "account": "account", "acct": "account", "iban": "account", "ssn": "account",
 }
 
@@ -37,9 +37,13 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SECRET = re.compile(r"""["']?\s{0,3}[=:]\s{0,3}["']?([^\s"']{8,256})""")
-ACCOUNT = re.compile(r"(?:\s{0,3}(?:no|nr|number|id)\b)?[.:#= ]{1,4}([A-Z0-9][A-Z0-9-]{5,33})\b", re.IGNORECASE)
-USERINFO = re.compile(r"""://[^\s/@:"'<>]{1,128}:[^\s/@"'<>]{1,128}@[^\s"'<>]{1,2048}""")
+SECRET = re.compile(r"""["']?\s{0,3}[=:]\s{0,3}["']?([^\s"']{8,}+)""")
+ACCOUNT = re.compile(r"(?:\s{0,3}(?:no|nr|number|id)\b)?[.:#= ]{1,4}([A-Z0-9][A-Z0-9-]{5,})\b", re.IGNORECASE)
+#: What stands between an account's cue and a printed IBAN, and the IBAN: the longest that the standard allows, in groups of four.
+LEAD = re.compile(r"(?:\s{0,3}(?:no|nr|number|id)\b)?[.:#= ]{1,4}", re.IGNORECASE)
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:[ \u00A0\u202F]?[A-Z0-9]{4}){2,7}(?:[ \u00A0\u202F]?[A-Z0-9]{1,3})?", re.IGNORECASE | re.ASCII)
+IBAN_LENGTHS = range(15, 35)
+USERINFO = re.compile(r"""://[^\s/@:"'<>]++:[^\s/@"'<>]++@[^\s"'<>]++""")
 SCHEME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+.-")
 
 
@@ -50,8 +54,7 @@ def automaton():
     for key in ["@", "+", "://", *DIGITS]:
         found.add_word(key, (key if key not in DIGITS else "0", len(key)))
     for cue, kind in CUES.items():
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            found.add_word(form, (kind, len(form)))
+        found.add_word(cue, (kind, len(cue)))
     found.make_automaton()
     return found
 
@@ -64,10 +67,26 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def folded(text: str) -> str:
+    """Small letters, place by place: the one letter whose small form is longer goes first."""
+    return text.replace("\u0130", "\0").lower()
+
+
+def iban_end(text: str, at: int) -> int | None:
+    """The end of the longest valid IBAN from a place, in groups or whole."""
+    m = IBAN.match(text, at)
+    for end in range(m.end(), at, -1) if m else ():
+        if text[end - 1].isalnum() and not text[end : end + 1].isalnum():
+            code = re.sub("[ \u00A0\u202F]", "", text[at:end])
+            if len(code) in IBAN_LENGTHS and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                return end
+    return None
+
+
 def spans_of(text: str, anchors) -> list[tuple[int, str, int]]:
     """(start, kind, end) of one text, by start and then kind."""
     found, over = [], dict.fromkeys([*KINDS, "start"], 0)
-    for last, (anchor, length) in anchors.iter(text):
+    for last, (anchor, length) in anchors.iter(folded(text)):
         at = last + 1 - length
         if anchor == "0":
             if at >= over["ip"] and (at == 0 or text[at - 1] not in DIGITS) and (m := IP.match(text, at)):
@@ -94,10 +113,13 @@ def spans_of(text: str, anchors) -> list[tuple[int, str, int]]:
         elif anchor == "://":
             if at >= over["url"] and (m := USERINFO.match(text, at)):
                 start = at
-                while start > over["url"] and at - start < 32 and text[start - 1] in SCHEME:
+                while start > over["url"] and text[start - 1] in SCHEME:
                     start -= 1
                 over["url"] = m.end()
                 found.append((start, "url", m.end()))
+        elif anchor == "account" and at >= over[anchor] and (m := LEAD.match(text, last + 1)) and (end := iban_end(text, m.end())):
+            over[anchor] = end
+            found.append((m.end(), anchor, end))
         elif at >= over[anchor] and (m := (SECRET if anchor == "secret" else ACCOUNT).match(text, last + 1)):
             over[anchor] = m.end()
             if any(c in DIGITS for c in m[1]) if anchor == "secret" else sum(c in DIGITS for c in m[1]) >= 6:

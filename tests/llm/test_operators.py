@@ -220,6 +220,25 @@ def test_pii(spark):
     assert "a.b@c" not in pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().redacted
 
 
+def test_pii_long_values(spark):
+    long, password, account = "Ab3" * 300, "p4" * 150, "X1" * 40
+    iban, short = "DE89 3704 0044 0532 0130 00", "AT61 1904 3002 3457 3201"
+    texts = {
+        f'token="{long[:800]}" end': [("secret", long[:800])], f"see http://{'u' * 200}:{password}@h.org/{'p' * 3000} end": [("url", f"http://{'u' * 200}:{password}@h.org/{'p' * 3000}")],
+        f"{'s' * 50}://u:pw@h.org": [("url", f"{'s' * 50}://u:pw@h.org")], f"account: {account} end": [("account", account)],
+        f"IBAN: {iban} BIC X": [("account", iban)], f"iban {short} bank": [("account", short)], "IBAN: DE89370400440532013000": [("account", "DE89370400440532013000")],
+        f"IBAN: {iban[:-1]}1": [], f"Account no: {short.lower()}.": [("account", short.lower())],
+        "\u0130 apiKey=a1b2c3d4e5 API_Key: a1b2c3d4e6 api-key=a1b2c3d4e7": [("secret", f"a1b2c3d4e{k}") for k in (5, 6, 7)],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_spans(docs).collect():
+        got = [(s.kind, r.text[s.start : s.end]) for s in r.spans if s.kind not in pii.BASE]
+        assert got == texts[r.text], r.text[:60]
+    gone = {r.doc_id: r.redacted for r in pii.redact(docs).collect()}
+    assert gone[0] == 'token="[secret]" end' and gone[1] == "see [url] end"
+    assert all(len(pii.folded(chr(c))) == 1 for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+
+
 def test_url_filters(spark):
     urls = [None, "no scheme", "http://Example.com/en/x?q#f", "https://www.example.com/en/1", "http://a.net/es/", "http://x.org/cheap-pills/1", "ftp://net/fr/2", "http://com", "http://q.org"]
     pages = spark.createDataFrame([(k, u, "clash") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
