@@ -13,6 +13,7 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "ag_01_day_rollup"
 FIRST, LAST = "1996-01-01", "1997-12-31"
+SOME_MONTHS = ("1996-03", "1996-04")
 NOW, LATER = "1998-06-15 12:00:00", "2018-06-15 12:00:00"
 TOK = "(tok_in + cache_w + cache_r + tok_out)"
 KEY = b"synthetic key of the tests"
@@ -298,10 +299,10 @@ def jn_05(spark, sf_dir):
     return cost.price_names(_merged(spark, sf_dir).select("model"), current, fallbacks)
 
 
-def _snapshots(spark, sf_dir):
-    """Reported totals: each labelled account's days with a surplus on every fifth, and an older reading of each."""
+def _snapshots(spark, sf_dir, months=None):
+    """Reported totals: each labelled account's days, of some months or all, with a surplus on every fifth, and an older reading of each."""
     rows = rollup.ledger(_merged(spark, sf_dir)).where("acct <> ''").groupBy("date", "provider", "source", "acct").agg(F.sum("tokens").alias("tokens"))
-    rows = rows.where("substr(date, 1, 7) in ('1996-03', '1996-04')")
+    rows = rows.where(F.substring("date", 1, 7).isin(*months)) if months else rows
     extra = F.when(F.expr("cast(substr(date, 9, 2) as int) % 5 = 0"), F.lit(1000)).otherwise(0)
     new = rows.select("date", "provider", "source", "acct", (F.col("tokens") + extra).cast("long").alias("total_tokens"), F.lit("1996-05-02").cast("timestamp").alias("observed_at"))
     return new.unionByName(new.withColumn("observed_at", F.lit("1996-05-01").cast("timestamp")).withColumn("total_tokens", F.col("total_tokens") * 2))
@@ -319,12 +320,23 @@ k as (select *, case when pending then 'pending' when deficits > gap then 'confl
 select td as date, source, acct, win, cast(reported as bigint) as reported, cast(matched as bigint) as matched, cast(uncertain as bigint) as uncertain, cast(deficits as bigint) as deficits, status, cast(case when status = 'recovered' then gap else 0 end as bigint) as recovered from k""")
 def cx_01(spark, sf_dir):
     ledger = rollup.ledger(_merged(spark, sf_dir))
-    return reconcile.reconcile(_snapshots(spark, sf_dir), ledger, ledger.select("date").distinct(), "1996-04-28")
+    return reconcile.reconcile(_snapshots(spark, sf_dir, SOME_MONTHS), ledger, ledger.select("date").distinct(), "1996-04-28")
+
+
+@query("cx_01_reconcile_whole", ORACLE_SQL["cx_01_reconcile"].replace(" and substr(date, 1, 7) in ('1996-03', '1996-04')", "").replace("1996-04-28", NOW[:10]))
+def cx_01_whole(spark, sf_dir):
+    ledger = rollup.ledger(_merged(spark, sf_dir))
+    return reconcile.reconcile(_snapshots(spark, sf_dir), ledger, ledger.select("date").distinct(), NOW[:10])
 
 
 @query("mg_16_newest_total", f"""with {MERGED}, l as (select strftime(ts, '%Y-%m-%d') as date, provider, source, acct, sum({TOK}) as tokens from m where acct_q in ('recorded', 'session', 'timeline', 'bounded') and acct <> '' group by all)
 select date, provider, source, acct, cast(tokens + case when cast(substr(date, 9, 2) as int) % 5 = 0 then 1000 else 0 end as bigint) as total_tokens, timestamp '1996-05-02' as observed_at from l where substr(date, 1, 7) in ('1996-03', '1996-04')""")
 def mg_16(spark, sf_dir):
+    return merge.newest(_snapshots(spark, sf_dir, SOME_MONTHS), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
+
+
+@query("mg_16_newest_total_whole", ORACLE_SQL["mg_16_newest_total"].replace(" where substr(date, 1, 7) in ('1996-03', '1996-04')", ""))
+def mg_16_whole(spark, sf_dir):
     return merge.newest(_snapshots(spark, sf_dir), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
 
 
@@ -338,6 +350,17 @@ def cx_04(spark, sf_dir):
     return history.shares_by_radius(rows.where("substr(date, 9, 2) = '15'").select("provider", "date").distinct(), activity)
 
 
+#: Days without activity, by weight and not by leaving rows out, so that every radius occurs.
+_IDLE = "machine = 'm_0' or substr(date, 9, 2) between '10' and '25'"
+
+
+@query("cx_04_shares_by_radius_whole", ORACLE_SQL["cx_04_shares_by_radius"].replace(" where substr(date, 9, 2) = '15'", "").replace(f"sum({TOK}) as weight from m where machine <> 'm_0'", f"sum(case when {_IDLE} then 0 else {TOK} end) as weight from m"))
+def cx_04_whole(spark, sf_dir):
+    rows = _tagged(spark, sf_dir)
+    activity = rows.groupBy("provider", "date", "machine").agg(F.sum(F.when(F.expr(_IDLE), 0).otherwise(F.col("tokens"))).alias("weight"))
+    return history.shares_by_radius(rows.select("provider", "date").distinct(), activity)
+
+
 @query("cx_03_rates", f"""with {MERGED}, ac as (select provider, date, machine, cast(sum({TOK}) as bigint) as tokens, cast(count_if(q = 'exact') as bigint) as logged, date_diff('day', date '1970-01-01', cast(min(date) as date)) as n from m group by provider, date, machine)
 select provider, date, machine, tokens, logged, coalesce(
   sum(case when tokens > 0 and logged > 0 then tokens end) over a / sum(case when tokens > 0 and logged > 0 then logged end) over a,
