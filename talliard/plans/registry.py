@@ -388,6 +388,29 @@ def jn_12(spark, sf_dir):
     return asof.last_before(a.where("seq like '%3'").select("id", "provider", "ts"), samples, ["provider"], "seen")
 
 
+def _lookups(spark, sf_dir):
+    """All activity, and the samples that a poll took of all of it, each up to ten minutes later."""
+    a = adapter.activity_events(spark, sf_dir)
+    at = F.expr("timestampadd(second, cast(seq as bigint) % 600, ts)")
+    return a.select("id", "provider", "ts"), a.groupBy("provider", at.alias("ts")).agg(F.min("machine").alias("seen"))
+
+
+_LOOKUPS = f"""{ACTIVITY}, s as (select provider, ts + to_seconds(cast(seq as bigint) % 600) as at, min(machine) as seen from a group by all),
+be as (select a.id, a.provider, a.ts, s.seen, s.at from a asof left join s on a.provider = s.provider and a.ts >= s.at)"""
+
+
+@query("jn_11_nearest_sample_whole", f"""with {_LOOKUPS}, x as (select be.*, s.seen as seen_a, s.at as at_a from be asof left join s on be.provider = s.provider and be.ts < s.at),
+y as (select *, coalesce(at_a is null or epoch_us(ts) - epoch_us(x."at") <= epoch_us(at_a) - epoch_us(ts), false) as back from x)
+select id, provider, ts, case when back then seen else seen_a end as seen, case when back then y."at" else at_a end as at from y""")
+def jn_11_whole(spark, sf_dir):
+    return asof.nearest(*_lookups(spark, sf_dir), ["provider"], "seen")
+
+
+@query("jn_12_last_before_whole", f'with {_LOOKUPS} select id, provider, ts, seen, be."at" from be')
+def jn_12_whole(spark, sf_dir):
+    return asof.last_before(*_lookups(spark, sf_dir), ["provider"], "seen")
+
+
 @query("wn_05_identity_runs", """with e as (select user_id, event_id, event_type, case when event_type = lag(event_type) over w then 0 else 1 end as nw from events window w as (partition by user_id order by event_id)),
 r as (select *, sum(nw) over (partition by user_id order by event_id) as run from e) select user_id, event_type, min(event_id) as first, max(event_id) as last, count(*) as n from r group by user_id, run, event_type""")
 def wn_05(spark, sf_dir):

@@ -45,6 +45,12 @@ def test_query(spark, duck, name):
     assert in_order(df.select(*columns).collect()) == in_order(want)
 
 
+def test_lookups_over_whole_tables(spark, duck):
+    (events,) = duck.execute("select count(*) from events").fetchone()
+    for name in ("jn_11_nearest_sample_whole", "jn_12_last_before_whole"):
+        assert registry.QUERIES[name](spark, DIR).count() == events
+
+
 def test_history_over_whole_tables(spark):
     rows = registry.QUERIES["ag_01_day_rollup"](spark, DIR)
     totals = registry.QUERIES["mg_16_newest_total_whole"](spark, DIR)
