@@ -11,7 +11,7 @@ Encoding is by white-space pieces: the tokenizer drops white space before it mer
 special token of it crosses a blank or line feed. Each distinct piece is encoded once while a bounded table of
 pieces lasts, then the ids of pieces are joined. A test holds this against encoding whole texts.
 
-Null and empty texts hold the end id only. Documents with the same doc_id follow each other by text, null first;
+Null and empty texts hold the end id only. A null doc_id is written as NO_ID, the smallest long, and read as null. Documents with the same doc_id follow each other by text, null first;
 equal rows are alike. An empty table gives no file and no rows. Other columns are ignored.
 """
 
@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from talliard.llm.chunks import NO_ID
 from talliard.llm.common import parts, scratch, texts
 from talliard.tables import table
 
@@ -244,7 +245,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield flush()
 
     spark = docs.sparkSession
-    ordered = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text").repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(encode, "part int, file int, n_ids long, n_docs long, data binary").write.parquet(path)
 
 
@@ -267,7 +268,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = files.select("part", "file", "n_ids").withColumn("before", before).drop("n_ids")
     docs = files.select("part", "file", "data").mapInArrow(decode, "part int, file int, doc_id long, offset long, n_tokens long, ids_crc32 long")
-    return docs.join(starts, ["part", "file"]).select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+    return docs.join(starts, ["part", "file"]).select(F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -200,6 +200,12 @@ def test_token_files(spark, docs, rows):
     assert token_files.token_files(empty(spark)).count() == 0
 
 
+def test_token_files_null_ids(spark):
+    docs = spark.createDataFrame([(-1, "minus"), (None, "none"), (-7, "seven"), (3, "three")], "doc_id long, text string")
+    got = sorted(token_files.token_files(docs).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, -7, -1, 3]
+
+
 def test_wavelet_queries():
     rng = np.random.default_rng(1)
     ids = (rng.integers(0, 40, 9000) ** 2).astype(np.uint16)
