@@ -1,13 +1,12 @@
 """A corpus pipeline: quality rules, near duplicates, benchmark decontamination, mixing, token files.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
-of documents. Rejected documents go and failing lines of the others too; of each class of near duplicates the one with
-the smallest doc_id stays; documents with a benchmark window go; the mix takes texts once, up to three times or in
+of documents. Rejected documents go and failing lines of the others too; of each class of near duplicates the first
+by doc_id stays, one row where ids repeat or are null; documents with a benchmark window go; the mix takes texts once, up to three times or in
 part, so a doc_id may repeat from there on; the last stage writes token files and returns what they hold.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from talliard.llm import decontaminate, jaccard_join, mixing, quality, token_files
 from talliard.llm.common import stored
@@ -22,9 +21,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard_join.classes(docs, shingle=SHINGLE, percent=PERCENT)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.first_rows(docs, shingle=SHINGLE, percent=PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

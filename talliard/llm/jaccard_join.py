@@ -274,21 +274,26 @@ def link_nodes(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: i
         regions = _sized(_split(regions.where(~few), sets, percent, turn), state)
 
 
-def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
+def _linked(docs: DataFrame, text: str, shingle: int, percent: int, label) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of documents (doc, row, n, node), nodes (node, least) and state (node, least) after all links; label: of a node's first document at."""
     rows, n = C.in_chunks(docs, text)
     by_chunk = rows.groupBy("chunk")
     live = by_chunk.applyInArrow(_send_keys(n, shingle, percent), C.KEYS_DDL).groupBy("bucket").applyInArrow(lambda t: C.live_keys(t, 1 << 30), C.LIVE_DDL)
     described = stored(by_chunk.cogroup(live.groupBy("chunk")).applyInArrow(_describe(shingle, percent), _DOCS_DDL))
-    # where a doc_id comes with several sets, they are one document
-    several = described.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    same = described.join(several.select("doc", "a"), "doc").where("node > a").select("a", F.col("node").alias("b"))
-    nodes = stored(described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row", "chunk")).alias("at"), F.first("keys").alias("keys")).select("node", F.col("at.doc").alias("least"), "at.row", "at.chunk", "keys"))
+    nodes = stored(described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row", "chunk")).alias("at"), F.first("keys").alias("keys")).select("node", label.alias("least"), "at.row", "at.chunk", "keys"))
     held = nodes.select("node", F.explode("keys").alias("key"))
     regions = stored(_shared(held))
     wanted = nodes.join(regions.select("node").distinct(), "node").select("chunk", "row", "node", "least")
     sets = stored(by_chunk.cogroup(wanted.select("chunk", "row", "node").groupBy("chunk")).applyInArrow(_sets(shingle), _SETS_DDL))
-    state = link_nodes(regions, wanted.select("node", "least"), sets, percent)
+    return described, nodes, link_nodes(regions, wanted.select("node", "least"), sets, percent)
+
+
+def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
+    described, nodes, state = _linked(docs, text, shingle, percent, F.col("at.doc"))
+    # where a doc_id comes with several sets, they are one document
+    several = described.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    same = described.join(several.select("doc", "a"), "doc").where("node > a").select("a", F.col("node").alias("b"))
     if same.head(1):
         ends = same.union(state.join(nodes.withColumnRenamed("least", "own"), "node").where("least < own").join(nodes.select(F.col("least").alias("own2"), F.col("node").alias("to")), F.col("least") == F.col("own2")).select(F.col("to").alias("a"), F.col("node").alias("b")))
         state = components(nodes, ends)
@@ -298,5 +303,22 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent
     return found.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(reached != C.NO_ID, reached).alias("component_id"))
 
 
+def first_rows(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One row of docs for each class of texts, the first by (doc_id, row), and all without a set; equal ids join nothing."""
+    described, nodes, state = _linked(docs, text, shingle, percent, F.struct("at.doc", "at.row"))
+    first = nodes.select("node", "least").join(state.withColumnRenamed("least", "reached"), "node", "left").select("node", F.coalesce("reached", "least").alias("least"))
+    placed = described.where("n > 0").select("doc", "row", "node")
+    key = ["_doc", "_row"]
+    named = lambda df: df.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"))
+    later = placed.join(first, "node").where("doc <> least.doc or row <> least.row").distinct()
+    keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), "_row": F.xxhash64("doc_id", text)})
+    kept = keyed.join(named(later), key, "left_anti")
+    repeated = stored(named(placed.groupBy("doc", "row").agg(F.count("*").alias("c")).where("c > 1")))
+    if repeated.head(1):
+        one = kept.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_one"))
+        return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
+    return kept.select(*docs.columns)
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(table(spark, sf_dir, "documents"))

@@ -71,3 +71,12 @@ def test_stages(spark, tmp_path):
         start += len(ids)
     assert sorted(out[4]) == sorted(want)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(out[4])
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    text = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    a, b, c, d = map(text, "abcd")
+    rows = [(5, a), (5, b), (2, a), (9, b), (7, c), (7, c), (8, c + " more"), (None, d), (None, d), (None, text("e")), (4, d), (6, None), (6, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(2, a), (5, b), (7, c), (None, d), (None, text("e")), (6, None), (6, None), (None, "")], key=str)
