@@ -1,193 +1,271 @@
-"""N-gram Jaccard join: a metric-space join with pivots, regions and triangle-inequality windows, recursive and exact.
+"""N-gram Jaccard join: a metric-space join with pivots, Voronoi regions and triangle-inequality windows, recursive and exact.
 
 Two documents link when their sets of word shingles have a Jaccard similarity of PERCENT or more; classes are what
-links reach. The join goes from coarse to fine regions:
-
-1. Rings. By the symmetric difference, a metric, the empty set is a pivot and a set's size its distance. Sets are cut
-   into rings by size, and by the triangle inequality a set is copied into each ring where a smaller partner can lie.
-2. Regions of a ring. Partners of a ring differ in at most d shingles, so of d + 1 parts of all shingles (by hash) at
-   least one is the same in both; sets with the same part are a region. Regions around pivot documents cannot do this:
-   random texts lie at distance 1 of each other and of any pivot, so all of them would lie in all windows.
-3. Pivots. Each region's first set is its pivot, all others of the region are compared with it, and links make classes.
-   Regions of one class are done. What has few pairs of different classes for its size is compared; what has many is
-   parted into regions again, by other parts of the shingles, until parting no longer helps.
-
-4. Sketches. A set's sketch has a bit for each of SKETCH buckets of shingles, set where an odd number of them falls in.
-   The bits in which two sketches differ are a metric too, never above the distance of the sets, so pairs whose sketches
-   are too far apart are left out before any set is fetched; then the same by wide sketches, as long as the sets need.
-
-Equal sets are one node, so copies make no pairs. Part hashes go through the chunks' exchange of keys, where a key
-costs one entry a chunk however many documents hold it; only keys that two sets share go on. No pair is compared
-within a class, so large groups of copies are links to a pivot.
+links reach. Distances are symmetric differences, a metric; linked sets differ in at most a share of their sizes. A
+set's sketch has a bit for each bucket of shingles, set where an odd number of them falls in; the bits in which two
+sketches differ are a metric too, never above the distance of the sets. The join goes from coarse to fine regions:
+
+1. Rings. The empty set is a pivot, a set's size its distance. Sets are cut into rings by size, and by the triangle
+   inequality a set is copied into each ring where a smaller partner can lie.
+2. Parts. Random texts are at distance 1 of each other and of any pivot, so pivots over a whole ring would copy all of
+   them into all regions. So sets of a ring first come together by hashes of parts of their shingles: linked ones
+   agree in a part that holds shingles (see shingle_sets.part_keys). Groups with the same members are one.
+3. Groups. Each group takes a member as pivot; its ball holds all members within twice the distance of links, and the
+   members within once that distance are done, as by the triangle inequality all their partners lie in the ball.
+   The others go on with the next pivot, until none is left. Balls that share members are one family, so each set
+   is in one family and all of its partners are too. Groups of very many members are cut into pairs of blocks.
+4. Families. A family's sets come together in a task. It takes pivots, gives each set to the nearest one (its Voronoi
+   region) and copies it into those that are farther by no more than the window of the triangle inequality. Large
+   regions are cut again in the same way; in small ones all sets are compared, by sketches and then by elements,
+   unless links join them already. Families above LEAF_BYTES are first cut into Voronoi regions by Spark, and what
+   still is above is cut into pairs of blocks. Links go on as a tree, so no number of pairs is ever sent.
+
+Equal sets are one node, so copies make no pairs. Texts stay where they are; only keys are shuffled, and sets of families.
 
 Null and empty texts have no shingles and link with nothing. Texts with fewer words than a shingle are one shingle.
 Rows with the same doc_id are one document and share its class; null doc_ids stand as one document before all others.
 Ties go to the smaller doc_id. Empty tables give no rows. Only doc_id and text are read.
 """
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talliard.llm import chunks as C
-from talliard.llm.block_dedup import Words
-from talliard.llm.common import stored
+from talliard.llm import shingle_sets as S
+from talliard.llm.common import parts, stored
 from talliard.tables import table
 
 SHINGLE = 3
 PERCENT = 90
-#: Growth of a ring's sizes.
-GROWTH = 1.4
-#: Regions with up to so many pairs of different classes a node compare these; others are parted again.
-PARTNERS = 32
-#: Bits of a sketch.
-SKETCH = 512
-
-_LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-
-
-def rings(percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(least size, parts) of each ring: one part more than partners can differ in, the smaller one being of the ring."""
-    low = [1]
-    while low[-1] < 1 << 40:
-        low.append(max(low[-1] + 1, int(low[-1] * GROWTH)))
-    low = np.array(low, np.int64)
-    return low[:-1], (low[1:] - 1) * (100 - percent) // percent + 1
-
-
-class Sets:
-    """The shingle sets of a chunk: hashes of all sets in a row, sorted in each, and where each set ends."""
-
-    def __init__(self, table: pa.Table, shingle: int):
-        self.chunk = chunk = C.Chunk(table)
-        chunk.texts = [t.translate(_LOWER) for t in chunk.texts]
-        chunk.bytes = np.frombuffer(b"".join(chunk.texts), np.uint8)
-        words = Words(chunk)
-        n = words.ends - words.starts
-        full = np.zeros(len(words.begin) + 1, np.int64)
-        np.add.at(full, words.starts[n >= shingle], 1)
-        np.add.at(full, words.ends[n >= shingle] - shingle + 1, -1)
-        at = np.flatnonzero(np.cumsum(full[:-1]))
-        hashes, of = [words.runs(0, at, shingle)], [words.document[at]]
-        for few in range(1, shingle):
-            k = np.flatnonzero(n == few)
-            if len(k):
-                hashes.append(C.mixed(words.runs(0, words.starts[k], few) + np.uint64(few)))
-                of.append(k)
-        hashes, of = np.concatenate(hashes), np.concatenate(of)
-        order = np.lexsort((hashes, of))
-        hashes, of = hashes[order], of[order]
-        new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (of[1:] != of[:-1]))) if len(of) else np.zeros(0, bool)
-        self.hashes, self.of = hashes[new], of[new]
-        self.n = np.bincount(self.of, minlength=len(chunk.docs)).astype(np.int64)
-        self.ends = np.cumsum(self.n)
-
-    def set(self, k: int) -> np.ndarray:
-        return self.hashes[self.ends[k] - self.n[k] : self.ends[k]]
-
-    def keys(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document, key) of all parts."""
-        return part_keys(self.hashes, self.of, self.n, percent, 0)
-
-
-def part_keys(hashes: np.ndarray, of: np.ndarray, n: np.ndarray, percent: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """(set, key) of all parts of sets of n elements, in each set's own ring and in those of smaller partners; each turn parts otherwise."""
-    low, parts = rings(percent)
-    own = np.searchsorted(low, n, side="right") - 1
-    least = np.searchsorted(low, -(-n * percent // 100), side="right") - 1
-    sets, keys = [], []
-    salt = C.numbers(11, 2 * turn + 2)[2 * turn :]
-    spread = C.mixed(hashes ^ salt[0])
-    place = C.mixed(hashes ^ salt[1]) >> np.uint64(32)
-    for back in range(int((own - least)[n > 0].max(initial=-1)) + 1):
-        ring = own - back
-        ok = (n > 0) & (ring >= least)
-        m = np.where(ok, parts[np.maximum(ring, 0)], 0)
-        base = np.cumsum(m) - m
-        use = ok[of]
-        slot = base[of[use]] + (place[use] * m[of[use]].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
-        slot, values = slot[order], spread[use][order]
-        sums = np.zeros(int(m.sum()), np.uint64)
-        if len(slot):
-            first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
-            sums[slot[first]] = np.add.reduceat(values, first)
-        one = np.repeat(np.arange(len(m)), m)
-        label = ring[one].astype(np.uint64) << np.uint64(40) | (np.arange(len(one)) - base[one]).astype(np.uint64)
-        sets.append(one)
-        keys.append(C.mixed(C.mixed(label * np.uint64(0x9E3779B97F4A7C15) ^ salt[0]) + sums))
-    return (np.concatenate(sets), np.concatenate(keys)) if sets else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def _send_keys(n: int, shingle: int, percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        sets = Sets(table, shingle)
-        docs, keys = sets.keys(percent)
-        return C.keys_to_buckets(table["chunk"][0].as_py(), n, keys, sets.chunk.docs[docs], np.zeros(len(keys), np.uint8))
+#: Bytes of text whose sets are in memory at once, but for a single text.
+BATCH_BYTES = 4 << 20
+#: Keys that a task holds before it sends them on.
+SEND_KEYS = 1 << 20
+#: Members of a group that one task sees; larger groups are cut into pairs of blocks.
+GROUP = 4096
+#: Bytes of sets that one task sees at once; larger families are cut.
+LEAF_BYTES = 24 << 20
+#: Pivots of a region, and sets of a region in which all are compared.
+PIVOTS, LEAF = 16, 128
+#: Rows of a broadcast side at most.
+BROADCAST_ROWS = 1_000_000
+
+TAG_BITS = 48
+_SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("tags", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary()), ("sketches", pa.list_(pa.binary()))])
+_SENT_DDL = "bucket int, keys binary, tags binary, docs binary, rows binary, sizes binary, nodes binary, sketches array<binary>"
+_MET = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("tag", pa.int64()), ("group", pa.int64())])
+_MET_DDL = "doc long, row long, n long, node binary, sketch binary, tag long, group long"
+
+
+def _tags(nodes: bytes) -> np.ndarray:
+    """A node's first TAG_BITS bits; 0 where a text has no set."""
+    return np.frombuffer(nodes, np.uint64)[::2] >> np.uint64(64 - TAG_BITS)
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else bytes(16)
+
+
+def _slices(sizes: list[int], most: int):
+    """Runs (from, to) of places with most in all, one place at least."""
+    start, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > most:
+            yield start, k
+            start, held = k, 0
+        held += size
+    if sizes:
+        yield start, len(sizes)
+
+
+def _describe(buckets: int, shingle: int, percent: int):
+    """For each document its node and sketch; for each node that is new in the task, its keys, by buckets."""
 
-    return run
+    def run(batches):
+        from pyspark import TaskContext
 
+        known, seen, spread = S.WordHashes(), set(), TaskContext.get().partitionId()
+        keys, tags, held = [], [], 0
 
-def wide_sketch(elements: np.ndarray) -> np.ndarray:
-    """A sketch of four bits or more for each element, the next power of two."""
-    bits = max(SKETCH, 1 << (4 * len(elements) - 1).bit_length())
-    bucket = C.mixed(elements.view(np.uint64) ^ C.numbers(14, 1)[0]) % np.uint64(bits)
-    return np.packbits((np.bincount(bucket.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+        def sent():
+            k, t = np.concatenate(keys), np.concatenate(tags)
+            by_bucket = C.by_target((k % np.uint64(buckets)).astype(np.int64), [k, t])
+            return [(b, k.tobytes(), C.planes(t)[: TAG_BITS // 8 * len(t)], None, None, None, None, None) for b, (k, t) in by_bucket]
 
+        for batch in batches:
+            content = batch.column(2)
+            for a, z in _slices(pc.binary_length(content).to_pylist(), BATCH_BYTES):
+                sets = [S.shingle_set(t, known, shingle) for t in content.slice(a, z - a).to_pylist()]
+                nodes = list(map(_digest, sets))
+                n = np.array([len(s) for s in sets], np.int64)
+                fresh = []
+                for k, node in enumerate(nodes):
+                    if n[k] and node not in seen:
+                        seen.add(node)
+                        fresh.append(k)
+                sketches = [None] * len(sets)
+                for k in fresh:
+                    sketches[k] = S.sketch(sets[k], S.width(int(n[k]))).tobytes()
+                spread += 1
+                rows = [(spread % buckets, None, None, batch.column(0).slice(a, z - a).to_numpy().tobytes(), batch.column(1).slice(a, z - a).to_numpy().tobytes(), n.tobytes(), b"".join(nodes), sketches)]
+                if fresh:
+                    of, found = S.part_keys(np.concatenate([sets[k] for k in fresh]), n[fresh], percent)
+                    keys.append(found)
+                    tags.append(_tags(b"".join(nodes[k] for k in fresh))[of])
+                    held += len(found)
+                if held >= SEND_KEYS:
+                    rows += sent()
+                    keys, tags, held = [], [], 0
+                yield from C.row_table(rows, _SENT).to_batches()
+        if held:
+            yield from C.row_table(sent(), _SENT).to_batches()
+
+    return run
 
-_DOCS = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("chunk", pa.int32()), ("n", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64()))])
-_DOCS_DDL = "doc long, row long, chunk int, n long, node binary, keys array<bigint>"
-_SETS = pa.schema([("node", pa.binary()), ("elements", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("wide", pa.list_(pa.int64()))])
-_SETS_DDL = "node binary, elements array<bigint>, sketch array<bigint>, wide array<bigint>"
 
+def _meet(t: pa.Table) -> pa.Table:
+    """Documents as rows, and the members of groups: keys of two nodes or more, those with the same members as one."""
+    out = []
+    for docs, rows, sizes, nodes, sketches in zip(*(t[c].to_pylist() for c in ("docs", "rows", "sizes", "nodes", "sketches")), strict=True):
+        if docs is not None:
+            docs, rows, sizes = (np.frombuffer(x, np.int64) for x in (docs, rows, sizes))
+            nodes_of = [nodes[k * 16 : k * 16 + 16] for k in range(len(docs))]
+            out.append(pa.Table.from_arrays([pa.array(docs), pa.array(rows), pa.array(sizes), pa.array(nodes_of, pa.binary()), pa.array(sketches, pa.binary()), pa.array(_tags(nodes).view(np.int64)), pa.nulls(len(docs), pa.int64())], schema=_MET))
+    keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist() if k)])
+    tags = np.concatenate([np.zeros(0, np.uint64), *(C.from_planes(k + bytes(len(k) // (TAG_BITS // 8) * (8 - TAG_BITS // 8)), "u8") for k in t["tags"].to_pylist() if k)])
+    order = np.lexsort((tags, keys))
+    keys, tags = keys[order], tags[order]
+    new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])))[: len(keys)]
+    keys, tags = keys[new], tags[new]
+    if len(keys):
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        size = np.diff(np.concatenate((first, [len(keys)])))
+        group = np.add.reduceat(C.mixed(tags + np.uint64(1)), first) ^ C.mixed(size.astype(np.uint64))
+        one = np.zeros(len(first), bool)
+        one[np.unique(group, return_index=True)[1]] = True
+        use = np.repeat(one & (size > 1), size)
+        k = int(use.sum())
+        out.append(pa.Table.from_arrays([*(pa.nulls(k, f.type) for f in list(_MET)[:5]), pa.array(tags[use].view(np.int64)), pa.array(np.repeat(group, size)[use].view(np.int64))], schema=_MET))
+    return pa.concat_tables(out) if out else _MET.empty_table()
+
+
+def _balls(percent: int):
+    """Edges (a, b) that hold the members of each ball together."""
+
+    def run(t: pa.Table) -> pa.Table:
+        group, tags, n = t["group"].to_numpy(), t["tag"].to_numpy(), t["n"].to_numpy()
+        sketches = t["sketch"].to_pylist()
+        order = np.lexsort((tags, group))
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        edges = set()
+        for members in np.split(order, cuts):
+            bits = S.width(int(n[members].min()))
+            held = np.stack([S.folded(np.frombuffer(sketches[k], np.uint64), bits) for k in members])
+            most = S.most_apart(n[members], percent)
+            rest = np.arange(len(members))
+            while len(rest) > 1:
+                far = S.apart(held[rest[0]], held[rest])
+                ball = rest[far <= 2 * most[rest].max()]
+                edges.update(S.tree(tags[members[ball]]))
+                rest = rest[far > most[rest]]
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-def sketches(sets: list[np.ndarray]) -> list[np.ndarray]:
-    """The sketch of each set of hashes, as whole numbers of 64 bits."""
-    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    bucket = C.mixed(np.concatenate(sets).view(np.uint64) ^ C.numbers(13, 1)[0]) % np.uint64(SKETCH)
-    odd = np.bincount(of * SKETCH + bucket.astype(np.int64), minlength=len(sets) * SKETCH) & 1
-    return list(np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(len(sets), -1))
+    return run
 
 
-def _describe(shingle: int, percent: int):
-    """A row for each document: its node (a digest of its set) and those of its keys that are live."""
+def _sets(shingle: int):
+    """(tag, cells, elements) of texts, each once in a task."""
 
-    def run(table: pa.Table, live: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return C.row_table([], _DOCS)
-        sets, number = Sets(table, shingle), table["chunk"][0].as_py()
-        docs, keys = sets.keys(percent)
-        use = C.looked_up(keys, *C.sorted_live(live)) > 0
-        docs, keys = docs[use], keys[use].view(np.int64)
-        order = np.argsort(docs, kind="stable")
-        held = np.split(keys[order], np.cumsum(np.bincount(docs, minlength=len(sets.n)))[:-1])
-        row = np.sort(table["row"].to_numpy())
-        nodes = [C.digest(sets.set(k).tobytes()).tobytes() if n else None for k, n in enumerate(sets.n.tolist())]
-        return pa.Table.from_arrays(
-            [pa.array(sets.chunk.docs), pa.array(row), pa.array([number] * len(row), pa.int32()), pa.array(sets.n), pa.array(nodes, pa.binary()), pa.array(held, pa.list_(pa.int64()))], schema=_DOCS
-        )
+    def run(batches):
+        known, seen = S.WordHashes(), set()
+        for batch in batches:
+            content = batch.column(0)
+            for a, z in _slices(pc.binary_length(content).to_pylist(), BATCH_BYTES):
+                found = {}
+                for k, text in enumerate(content.slice(a, z - a).to_pylist(), a):
+                    s = S.shingle_set(text, known, shingle)
+                    if len(s) and (node := _digest(s)) not in seen:
+                        seen.add(node)
+                        found[node] = k, s
+                tags, cells = _tags(b"".join(found)).view(np.int64), batch.column(1).take(pa.array([k for k, _ in found.values()], pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(tags), cells, pa.array([s.tobytes() for _, s in found.values()], pa.binary())], ["tag", "cells", "elements"])
 
     return run
 
 
-def _sets(shingle: int):
-    def run(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        if not table.num_rows or not wanted.num_rows:
-            return C.row_table([], _SETS)
-        nodes = dict(zip(wanted["row"].to_pylist(), wanted["node"].to_pylist(), strict=True))
-        table = table.filter(pa.array([r in nodes for r in table["row"].to_pylist()]))
-        sets, rows = Sets(table, shingle), np.sort(table["row"].to_numpy()).tolist()
-        found = {nodes[r]: sets.set(k).view(np.int64) for k, r in enumerate(rows)}
-        return pa.Table.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.list_(pa.int64())), pa.array(sketches(list(found.values())), pa.list_(pa.int64())), pa.array([wide_sketch(x) for x in found.values()], pa.list_(pa.int64()))], schema=_SETS)
+def region_classes(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> list[np.ndarray]:
+    """Places of the sets of each class of two or more, by Voronoi regions around pivots, cut again until they are small.
+
+    side: sets of the same side are not compared, as another region does it.
+    """
+    n = np.array([len(s) for s in sets], np.int64)
+    bits = S.width(int(n.max()))
+    sketches = np.stack([S.sketch(s, bits) for s in sets])
+    most, label = S.most_apart(n, percent), np.arange(len(sets))
+
+    def compare(places: np.ndarray, home: np.ndarray) -> None:
+        """Each set at home with those behind it: others at home first, then those in the window."""
+        ordered = np.concatenate((places[home], places[~home]))
+        for k in range(min(int(home.sum()), len(ordered) - 1)):
+            x, others = ordered[k], ordered[k + 1 :]
+            others = others[label[others] != label[x]]
+            if side is not None:
+                others = others[side[others] != side[x]]
+            far = S.apart(sketches[x], sketches[others])
+            near = far * (100 + percent) <= (n[x] + n[others]) * (100 - percent)
+            others = others[near][np.argsort(far[near], kind="stable")]
+            while len(others):
+                if S.linked(sets[x], sets[others[0]], percent):
+                    label[label == label[others[0]]] = label[x]
+                    others = others[label[others] != label[x]]
+                else:
+                    others = others[1:]
+
+    def part(places: np.ndarray, home: np.ndarray) -> None:
+        if len(places) > LEAF:
+            pivots = places[np.linspace(0, len(places) - 1, PIVOTS).astype(np.int64)]
+            far = np.stack([S.apart(sketches[p], sketches[places]) for p in pivots])
+            nearest, inside = far.argmin(0), far <= far.min(0) + 2 * most[places]
+            if inside.sum() < len(places) * PIVOTS / 2:  # else the windows are wider than the regions
+                for k in range(PIVOTS):
+                    if (own := home & (nearest == k)).any():
+                        part(places[inside[k]], own[inside[k]])
+                return
+        compare(places, home)
+
+    part(np.arange(len(sets)), np.ones(len(sets), bool))
+    order = np.argsort(label, kind="stable")
+    return [c for c in np.split(order, np.flatnonzero(np.diff(label[order])) + 1) if len(c) > 1]
+
+
+def _join(percent: int):
+    """Links (a, b) within each region (cell), as trees; side tells the two blocks of a pair apart."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cells, tags, side, elements = t["cell"].to_numpy(), t["tag"].to_numpy(), t["side"].to_numpy(), t["elements"].to_pylist()
+        order = np.lexsort((tags, cells))
+        cells, tags = cells[order], tags[order]
+        cuts = np.flatnonzero(np.diff(cells)) + 1
+        links = []
+        for places in np.split(np.arange(len(cells)), cuts):
+            places = places[np.concatenate(([True], tags[places][1:] != tags[places][:-1]))]
+            sides = side[order[places]]
+            found = region_classes([np.frombuffer(elements[k], np.uint64) for k in order[places]], percent, sides if sides.any() else None)
+            for members in found:
+                links += S.tree(tags[places[members]])
+        return pa.table({"a": pa.array([e[0] for e in links], pa.int64()), "b": pa.array([e[1] for e in links], pa.int64())})
 
     return run
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, least): nodes with the least value that links (a, b) reach, by rounds of least neighbours and jumps."""
-    links = links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a"))).distinct()
-    links = stored(links)
+    links = stored(links.unionByName(links.select(F.col("a").alias("b"), F.col("b").alias("a"))).distinct())
     state = stored(nodes.select("node", "least"))
     while True:
         near = links.join(state, links.b == state.node).groupBy("a").agg(F.min("least").alias("near"))
@@ -199,124 +277,86 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = stored(moved.join(jump, moved.least == jump["from"], "left").select("node", F.least("least", "to").alias("least")))
 
 
-def _may_link(percent: int):
-    """Whether nodes of n and m elements may link by their sketches; the distance of linked ones is at most (n + m) (100 - percent) / (100 + percent)."""
-    apart = " + ".join(f"bit_count(sketch[{k}] ^ other[{k}])" for k in range(SKETCH // 64))
-    return F.expr(f"({apart}) * {100 + percent} <= (n + m) * {100 - percent}")
-
-
-def _compare(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, distance, linked) of pairs of nodes whose wide sketches, where they are equally long, allow a link."""
-    left = sets.select(F.col("node").alias("a"), F.size("elements").alias("n"), F.col("wide").alias("s"))
-    right = sets.select(F.col("node").alias("b"), F.size("elements").alias("m"), F.col("wide").alias("t"))
-    apart = "aggregate(zip_with(s, t, (x, y) -> bit_count(x ^ y)), 0, (d, x) -> d + x)"
-    pairs = pairs.join(left, "a").join(right, "b").where(f"size(s) <> size(t) or {apart} * {100 + percent} <= (n + m) * {100 - percent}").select("a", "b")
-    a, b = sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("s"))
-    return both.select("a", "b", (1 - F.col("i") / (F.col("s") - F.col("i"))).alias("distance"), (100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).alias("linked"))
-
-
-def _split(regions: DataFrame, sets: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Regions parted once more, by other parts of their sets: (key, node), only where two nodes share the finer region."""
-
-    def run(batches):
-        for batch in batches:
-            elements = batch.column(2)
-            n = np.diff(elements.offsets.to_numpy())
-            hashes = elements.flatten().to_numpy().view(np.uint64)
-            of, keys = part_keys(hashes, np.repeat(np.arange(len(n)), n), n.astype(np.int64), percent, turn)
-            outer = batch.column(0).to_numpy().view(np.uint64)[of]
-            yield pa.RecordBatch.from_arrays([pa.array(C.mixed(outer ^ keys).view(np.int64)), batch.column(1).take(pa.array(of))], ["key", "node"])
-
-    finer = regions.select("key", "node").join(sets, "node").select("key", "node", "elements").mapInArrow(run, "key long, node binary")
-    return _shared(stored(finer))
-
-
-def _shared(regions: DataFrame) -> DataFrame:
-    """Rows of regions with two nodes or more."""
-    return regions.join(regions.groupBy("key").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q").select("key"), "key")
-
-
-def _sized(regions: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows (key, node, least, size, pairs) of regions with several classes; pairs: those of different classes."""
-    labelled = regions.join(state, "node")
-    per_class = labelled.groupBy("key", "least").agg(F.count("*").alias("c"))
-    sizes = per_class.groupBy("key").agg(F.sum("c").alias("size"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0")
-    return stored(labelled.join(sizes, "key").select("key", "node", "least", "size", "pairs"))
-
-
-def link_nodes(regions: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, least) after all links; regions (key, node), nodes (node, least), sets (node, elements)."""
-    marks = stored(sets.select("node", F.size("elements").alias("n"), "sketch"))
-    other = marks.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-    pivots = regions.join(nodes, "node").groupBy("key").agg(F.min(F.struct("least", "node"))["node"].alias("a"))
-    starred = stored(regions.join(pivots, "key").where("node <> a"))
-    pairs = starred.select("a", F.col("node").alias("b")).distinct().join(marks.withColumnRenamed("node", "a"), "a").join(other, "b").where(_may_link(percent)).select("a", "b")
-    links = stored(_compare(pairs, sets, percent).where("linked").select("a", "b"))
-    state = components(nodes, links)
-    regions, turn, before = _sized(starred.select("key", "node"), state), 0, float("inf")
-    while True:
-        left = regions.select("key", "size", "pairs").distinct().agg(F.sum("pairs").alias("pairs"), F.sum(F.when(F.col("pairs") > F.col("size") * PARTNERS, F.col("pairs"))).alias("large")).first()
-        if left.pairs is None:
-            return state
-        few = F.col("pairs") <= F.col("size") * PARTNERS
-        if left.large is not None and left.large > before / 2:  # parting no longer helps: the texts are all near
-            few = F.lit(True)
-        before = left.large or 0
-        small = regions.where(few).select("key", "node", "least").join(marks, "node")
-        right = small.select("key", F.col("node").alias("b"), F.col("least").alias("l"), F.col("n").alias("m"), F.col("sketch").alias("other"))
-        pairs = small.withColumnRenamed("node", "a").join(right, "key").where("least <> l and a < b").where(_may_link(percent)).select("a", "b").distinct()
-        links = stored(links.union(_compare(pairs, sets, percent).where("linked").select("a", "b")))
-        state = components(nodes, links)
-        if left.large is None or before == 0:
-            return state
-        turn += 1
-        regions = _sized(_split(regions.where(~few), sets, percent, turn), state)
-
-
-def _linked(docs: DataFrame, text: str, shingle: int, percent: int, label) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows of documents (doc, row, n, node), nodes (node, least) and state (node, least) after all links; label: of a node's first document at."""
-    rows, n = C.in_chunks(docs, text)
-    by_chunk = rows.groupBy("chunk")
-    live = by_chunk.applyInArrow(_send_keys(n, shingle, percent), C.KEYS_DDL).groupBy("bucket").applyInArrow(lambda t: C.live_keys(t, 1 << 30), C.LIVE_DDL)
-    described = stored(by_chunk.cogroup(live.groupBy("chunk")).applyInArrow(_describe(shingle, percent), _DOCS_DDL))
-    nodes = stored(described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row", "chunk")).alias("at"), F.first("keys").alias("keys")).select("node", label.alias("least"), "at.row", "at.chunk", "keys"))
-    held = nodes.select("node", F.explode("keys").alias("key"))
-    regions = stored(_shared(held))
-    wanted = nodes.join(regions.select("node").distinct(), "node").select("chunk", "row", "node", "least")
-    sets = stored(by_chunk.cogroup(wanted.select("chunk", "row", "node").groupBy("chunk")).applyInArrow(_sets(shingle), _SETS_DDL))
-    return described, nodes, link_nodes(regions, wanted.select("node", "least"), sets, percent)
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast after counting up to the limit; larger ones are left to a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _families(members: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
+    """(tag, family) of the nodes that may have a partner."""
+    members = members.distinct()
+    size = members.groupBy("group").agg(F.count("*").alias("size"))
+    large = stored(size.where(F.col("size") > GROUP))
+    block = members.join(_small(large), "group", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64("tag"), F.col("blocks"))
+    cut = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn(
+        "group", F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least(own, "other"), F.greatest(own, "other")))
+    )
+    described = cut.select("group", "tag").join(nodes.select("tag", "n", "sketch"), "tag")
+    edges = stored(described.groupBy(F.pmod("group", F.lit(4 * buckets)).alias("bucket")).applyInArrow(lambda t: _balls(percent)(t), "a long, b long").distinct())
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("least", F.col("node"))
+    return components(ends, edges).select(F.col("node").alias("tag"), F.col("least").alias("family"))
+
+
+def _cells(families: DataFrame) -> DataFrame:
+    """families (row, tag, family, n) with cell and side, a row for each task that sees the node."""
+    sizes = families.groupBy("family").agg(F.sum("n").alias("elements"))
+    large = _small(stored(sizes.where(F.col("elements") * 8 > LEAF_BYTES)))
+    block = families.join(large, "family", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("elements") * 16 / LEAF_BYTES), F.lit(1)).cast("int"))
+    own = F.pmod(F.xxhash64("tag"), F.col("blocks"))
+    other = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    cell = F.when(F.col("blocks") == 1, F.col("family")).otherwise(F.xxhash64("family", F.least(own, "other"), F.greatest(own, "other")))
+    # the pair of a block with itself compares all within, other pairs only what is of different blocks
+    side = F.when(own == F.col("other"), 0).when(own < F.col("other"), 1).otherwise(2)
+    return other.select("row", cell.alias("cell"), side.alias("side"))
+
+
+def _linked(docs: DataFrame, text: str, shingle: int, percent: int, label) -> tuple[DataFrame, DataFrame]:
+    """Rows of documents (doc, row, n, node), and (node, least) of the nodes with links or several rows; label: of a row's node at."""
+    buckets = parts(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("doc"), F.xxhash64("doc_id", text).alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
+    met = stored(rows.mapInArrow(_describe(buckets, shingle, percent), _SENT_DDL).groupBy("bucket").applyInArrow(lambda t: _meet(t), _MET_DDL))
+    described = met.where("group is null").select("doc", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "tag", "sketch")
+    nodes = stored(described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("at"), F.count("*").alias("rows"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.max("sketch").alias("sketch")).select("node", "tag", "n", "sketch", "rows", label.alias("least"), "at.row"))
+    families = _families(met.where("group is not null").select("group", "tag"), nodes, percent, buckets)
+    placed = stored(families.join(nodes.select("tag", "n", "row"), "tag"))
+    wanted = stored(_cells(placed).groupBy("row").agg(F.collect_set(F.struct("cell", "side")).alias("cells")))
+    sets = rows.join(_small(wanted), "row").select("content", "cells").mapInArrow(_sets(shingle), "tag long, cells array<struct<cell:bigint,side:int>>, elements binary")
+    held = sets.select("tag", F.explode("cells").alias("c"), "elements").select("tag", "c.*", "elements").groupBy(F.pmod(F.xxhash64("cell"), F.lit(4 * buckets)).alias("bucket"))
+    links = stored(held.applyInArrow(lambda t: _join(percent)(t), "a long, b long"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("tag")).distinct().join(nodes.select("tag", "least"), "tag").groupBy("tag").agg(F.min("least").alias("least"))
+    state = components(ends.select(F.col("tag").alias("node"), "least"), links).select(F.col("node").alias("tag"), F.col("least").alias("reached"))
+    joined = nodes.select("node", "tag", "least", "rows").join(state, "tag", "left").where("rows > 1 or reached is not null")
+    return described.select("doc", "row", "n", "node"), stored(joined.select("node", F.coalesce("reached", "least").alias("least")))
 
 
 def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
-    described, nodes, state = _linked(docs, text, shingle, percent, F.col("at.doc"))
+    described, least = _linked(docs, text, shingle, percent, F.col("at.doc"))
+    found = described.join(_small(least), "node", "left").select("doc", "n", F.coalesce("least", "doc").alias("least"))
     # where a doc_id comes with several sets, they are one document
-    several = described.groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    same = described.join(several.select("doc", "a"), "doc").where("node > a").select("a", F.col("node").alias("b"))
-    if same.head(1):
-        ends = same.union(state.join(nodes.withColumnRenamed("least", "own"), "node").where("least < own").join(nodes.select(F.col("least").alias("own2"), F.col("node").alias("to")), F.col("least") == F.col("own2")).select(F.col("to").alias("a"), F.col("node").alias("b")))
-        state = components(nodes, ends)
-    found = described.join(nodes.select("node", "least"), "node", "left").join(state.withColumnRenamed("least", "reached"), "node", "left")
-    doc = F.when(F.col("doc") != C.NO_ID, F.col("doc"))
-    reached = F.least("doc", "least", "reached")
-    return found.select(doc.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(reached != C.NO_ID, reached).alias("component_id"))
+    several = described.where("node is not null").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    if several.head(1):
+        found = stored(found)
+        ends = found.select(F.col("doc").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
+        ids = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("least", F.col("node"))
+        whole = components(ids, ends).select(F.col("node").alias("doc"), F.col("least").alias("whole"))
+        found = found.join(_small(whole), "doc", "left").select("doc", "n", F.coalesce("whole", "least").alias("least"))
+    return found.select(F.when(F.col("doc") != C.NO_ID, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("least") != C.NO_ID, F.col("least")).alias("component_id"))
 
 
 def first_rows(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row of docs for each class of texts, the first by (doc_id, row), and all without a set; equal ids join nothing."""
-    described, nodes, state = _linked(docs, text, shingle, percent, F.struct("at.doc", "at.row"))
-    first = nodes.select("node", "least").join(state.withColumnRenamed("least", "reached"), "node", "left").select("node", F.coalesce("reached", "least").alias("least"))
-    placed = described.where("n > 0").select("doc", "row", "node")
+    described, least = _linked(docs, text, shingle, percent, F.struct("at.doc", "at.row"))
     key = ["_doc", "_row"]
     named = lambda df: df.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"))
-    later = placed.join(first, "node").where("doc <> least.doc or row <> least.row").distinct()
+    later = described.join(_small(least), "node").where("doc <> least.doc or row <> least.row")
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), "_row": F.xxhash64("doc_id", text)})
-    kept = keyed.join(named(later), key, "left_anti")
-    repeated = stored(named(placed.groupBy("doc", "row").agg(F.count("*").alias("c")).where("c > 1")))
+    kept = keyed.join(_small(stored(named(later).distinct())), key, "left_anti")
+    repeated = stored(named(described.where("n > 0").groupBy("doc", "row").agg(F.count("*").alias("c")).where("c > 1")))
     if repeated.head(1):
-        one = kept.join(repeated, key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_one"))
-        return kept.join(repeated, key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
+        one = kept.join(_small(repeated), key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_one"))
+        return kept.join(_small(repeated), key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
     return kept.select(*docs.columns)
 
 

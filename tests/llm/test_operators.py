@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talliard.llm import block_dedup, chunks, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, suffix_dedup, token_files, url_filter
+from talliard.llm import block_dedup, chunks, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, shingle_sets, suffix_dedup, token_files, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -162,13 +162,51 @@ def brute_classes(rows, shingle, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("shingle", "percent", "partners"), [(3, 90, 32), (5, 80, 32), (3, 90, 1)])
-def test_jaccard_join(docs, rows, shingle, percent, partners, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PARTNERS", partners)
+@pytest.mark.parametrize(("shingle", "percent", "bounds"), [(3, 90, {}), (5, 80, {}), (3, 90, {"GROUP": 8, "LEAF_BYTES": 20_000, "LEAF": 4}), (5, 80, {"GROUP": 5, "LEAF_BYTES": 9_000, "LEAF": 2, "PIVOTS": 3, "BROADCAST_ROWS": 0})])
+def test_jaccard_join(docs, rows, shingle, percent, bounds, monkeypatch):
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard_join, name, value)
     want = brute_classes(rows, shingle, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs, shingle=shingle, percent=percent).collect()} == want
 
 
+@pytest.mark.parametrize("percent", [50, 80, 90])
+def test_linked_sets_share_a_key(percent):
+    rng, linked = np.random.default_rng(percent), 0
+    for _ in range(2000):
+        a = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 80)).astype(np.uint64))
+        b = np.delete(a, rng.choice(len(a), int(rng.integers(0, max(2, len(a) // 4))) % len(a), replace=False))
+        b = np.unique(np.concatenate((b, rng.integers(0, 1 << 62, rng.integers(0, max(2, len(a) // 5))).astype(np.uint64))))
+        assert shingle_sets.apart(shingle_sets.sketch(a, 512), shingle_sets.folded(shingle_sets.sketch(b, 2048), 512)[None])[0] <= len(np.setxor1d(a, b))
+        if len(b) and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            linked += 1
+            of, keys = shingle_sets.part_keys(np.concatenate((a, b)), np.array([len(a), len(b)]), percent)
+            assert len(np.intersect1d(keys[of == 0], keys[of == 1]))
+            assert shingle_sets.linked(a, b, percent) and len(np.setxor1d(a, b)) <= min(shingle_sets.most_apart(np.array([len(a), len(b)]), percent))
+        else:
+            assert not shingle_sets.linked(a, b, percent)
+    assert linked > 300
+
+
+def test_regions_of_near_sets():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 120).astype(np.uint64)
+    sets = [rng.integers(0, 1 << 62, 90).astype(np.uint64) for _ in range(200)]
+    for k in range(300):
+        s = np.concatenate((base if k % 3 else sets[k % 40], rng.integers(0, 1 << 62, 2).astype(np.uint64)))
+        sets.append(np.delete(s, rng.choice(len(s), int(rng.integers(0, 24)), replace=False)))
+    sets = [np.unique(s) for s in sets]
+    inter = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+    n = inter.diagonal()
+    link, want = 100 * inter >= 80 * (n[:, None] + n[None] - inter), np.arange(len(sets))
+    while (least := np.where(link, want[None], len(sets)).min(1)).tolist() != want.tolist():
+        want = least
+    got = np.arange(len(sets))
+    for members in jaccard_join.region_classes(sets, 80):
+        got[members] = members.min()
+    assert got.tolist() == want.tolist()
+
+
 def test_jaccard_join_same_ids(spark):
     a, b = " ".join(f"w{k}" for k in range(60)), " ".join(f"v{k}" for k in range(60))
     rows = [(9, a), (3, a), (3, b), (7, b), (8, "alone"), (None, None), (None, "alone too")]
