@@ -155,24 +155,34 @@ def _meet(t: pa.Table) -> pa.Table:
 
 
 def _balls(percent: int):
-    """Edges (a, b) that hold the members of each ball together."""
+    """Edges (a, b) that hold the members of each ball together, and balls that share members: fewer than members seen."""
 
     def run(t: pa.Table) -> pa.Table:
-        group, tags, n = t["group"].to_numpy(), t["tag"].to_numpy(), t["n"].to_numpy()
-        sketches = t["sketch"].to_pylist()
-        order = np.lexsort((tags, group))
-        cuts = np.flatnonzero(np.diff(group[order])) + 1
-        edges = set()
-        for members in np.split(order, cuts):
+        group, sketches = t["group"].to_numpy(), t["sketch"].to_pylist()
+        tags, node = np.unique(t["tag"].to_numpy(), return_inverse=True)
+        n, joined = t["n"].to_numpy(), list(range(len(tags)))
+        order = np.argsort(group, kind="stable")
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        for members in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             bits = S.width(int(n[members].min()))
             held = np.stack([S.folded(np.frombuffer(sketches[k], np.uint64), bits) for k in members])
             most = S.most_apart(n[members], percent)
             rest = np.arange(len(members))
             while len(rest) > 1:
                 far = S.apart(held[rest[0]], held[rest])
-                ball = rest[far <= 2 * most[rest].max()]
-                edges.update(S.tree(tags[members[ball]]))
+                ball = node[members[rest[far <= 2 * most[rest].max()]]].tolist()
+                first = root(ball[0])
+                for x in ball[1:]:
+                    joined[root(x)] = first
                 rest = rest[far > most[rest]]
+        roots = np.array([root(x) for x in range(len(tags))], np.int64)
+        order = np.argsort(roots, kind="stable")
+        edges = [e for family in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) for e in S.tree(tags[family])]
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return run
