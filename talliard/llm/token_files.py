@@ -7,15 +7,17 @@ rank. TokenFile reads such a file: access(i), count(id), rank(id, i), select(id,
 The files are rows of a Parquet table in any store that Spark can write to (shard and file order, number of ids,
 bytes), so commits and retries are Spark's.
 
-Encoding is by white-space pieces: the tokenizer drops white space before it merges, and no merge, composition or
-special token of it crosses a blank or line feed. Each distinct piece is encoded once while a bounded table of
-pieces lasts, then the ids of pieces are joined. A test holds this against encoding whole texts.
+Where the loaded tokenizer's normalizer, splitter and special tokens are those for which no composition, match or
+token crosses a blank or line feed (parts_at_blanks), each distinct piece between these is encoded once while a
+bounded table of pieces lasts, and the ids of pieces are joined; a test holds this against whole texts of letters that
+compose, marks, digits and special tokens. With any other tokenizer whole texts are encoded.
 
 Null and empty texts hold the end id only. A null doc_id is written as NO_ID, the smallest long, and read as null. Documents with the same doc_id follow each other by text, null first;
 equal rows are alike. An empty table gives no file and no rows. Other columns are ignored.
 """
 
 import io
+import json
 import os
 import struct
 import zlib
@@ -35,12 +37,26 @@ END_ID = 2
 SHARD_TOKENS = 1 << 22
 #: Pieces that a worker remembers before it starts over.
 PIECES = 1_000_000
-#: Marks that the tokenizer splits off behind letters, and the end of the Latin letters whose cases Python and it fold alike.
-MARKS, LATIN = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250"
+#: Marks behind letters; the end of the Latin letters that neither composing nor folding changes into anything but one letter, but for one.
+MARKS, LATIN, FALLS_APART = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250", "\u0130"
+#: A normalizer that neither moves nor drops anything across a blank, and a splitter whose matches hold none.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bits for each entry of a plane's directory.
 RANK_BITS = 4096
 
 
+def parts_at_blanks(tokenizer: dict) -> bool:
+    """Whether a tokenizer, given as its file's JSON, encodes a text as its pieces between blanks and line feeds one by one."""
+    splits = (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    return (
+        tokenizer.get("normalizer") == {"type": "Sequence", "normalizers": NORMALIZERS}
+        and splits[0] == {"type": "Split", "pattern": {"Regex": SPLITTER}, "behavior": "Removed", "invert": True}
+        and splits[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        and not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or len(t["content"].split()) != 1 for t in tokenizer["added_tokens"])
+    )
+
+
 def write_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The bytes of one shard's file."""
     import zstandard
@@ -167,7 +183,7 @@ class TokenFile:
 
 
 class Encoder:
-    """Ids of texts by their pieces between blanks and line feeds; what is known stays for later tasks of a worker."""
+    """Ids of texts. Where blanks and line feeds part a text for the loaded tokenizer, each distinct piece is encoded once; else whole texts are."""
 
     made: dict[str, "Encoder"] = {}
 
@@ -177,6 +193,7 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.by_piece = parts_at_blanks(json.loads(self.tokenizer.to_str()))
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -184,25 +201,32 @@ class Encoder:
             cls.made[path] = cls(path)
         return cls.made[path]
 
+    def encoded(self, texts: list[str]):
+        return (np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
     def learn(self, pieces: list[str]) -> None:
-        """Letters with marks behind are two pieces: the tokenizer splits there; Latin letters in either case are one: it folds them."""
-        known, parts = self.known, {}
+        """Latin letters with ASCII marks behind are two pieces, as the tokenizer splits there, in small letters; any other piece stays whole."""
+        known, found = self.known, {}
         for p in pieces:
             core = p.rstrip(MARKS)
-            if not core.isalpha():
-                parts[p] = p, ""
+            if core.isalpha() and max(core) < LATIN and FALLS_APART not in core:
+                found[p] = core.lower(), p[len(core) :]
             else:
-                parts[p] = core.lower() if core.isascii() or max(core) < LATIN and "İ" not in core else core, p[len(core) :]
-        new = [x for x in {x for pair in parts.values() for x in pair} if x not in known]
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(e.ids, self.kind).tobytes()
-        for p, (core, marks) in parts.items():
+                found[p] = p, ""
+        new = [x for x in {x for pair in found.values() for x in pair} if x not in known]
+        for piece, ids in zip(new, self.encoded(new), strict=True):
+            known[piece] = ids.tobytes()
+        for p, (core, marks) in found.items():
             known[p] = known[core] + known[marks]
 
     def all(self, texts: list[str | None]):
         """The ids of each text; a few texts at a time, as their pieces are held."""
         for at in range(0, len(texts), 64):
-            pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts[at : at + 64]]
+            few = [t or "" for t in texts[at : at + 64]]
+            if not self.by_piece:
+                yield from self.encoded(few)
+                continue
+            pieces = [t.replace("\n", " ").split(" ") for t in few]
             if len(self.known) > PIECES:
                 self.known = {"": b""}
             self.learn([p for p in set().union(*pieces) if p not in self.known])

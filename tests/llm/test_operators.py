@@ -238,6 +238,18 @@ def test_token_files(spark, docs, rows):
     assert token_files.token_files(empty(spark)).count() == 0
 
 
+def test_encoder_on_any_script():
+    encoder, rng = token_files.Encoder(token_files.default_tokenizer()), random.Random(11)
+    assert encoder.by_piece
+    odd = "\u095c\u092c\u09dc\u0a33\ufb2a\u0f43\u0130\u0131\u00df\u01c5\u0300\u0301\u0327\u093c\u0338\u03a3\u03c2\u1e9e\u00aa\u0345\u212b\u2126\uac00\u1100\u1161\u11a8\u00a0\u2003\t\r\x1c\x85\u200d\u4e2d\U0001f600"
+    some = [*odd, *"aZé9 \n!.,'-<|>", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "Word", "İst", " ", " "]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(1, 14))) for _ in range(20_000)] + [a + b + c for a in odd for b in odd for c in "!x "]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.all(texts)] == want
+    encoder.by_piece = False
+    assert [x.tolist() for x in encoder.all(texts[:500])] == want[:500]
+
+
 def test_token_files_null_ids(spark):
     docs = spark.createDataFrame([(-1, "minus"), (None, "none"), (-7, "seven"), (3, "three")], "doc_id long, text string")
     got = sorted(token_files.token_files(docs).collect(), key=lambda r: r.start)
@@ -255,7 +267,7 @@ def test_wavelet_queries():
 
 
 def test_pii(spark):
-    text = "Ünder a.b@c.de.f, 10.0.0.256 1.2.3.4.5 4111 1111 1111 1111 +1 (222) 555-0100 token = \"9b0b3c6a43eb78aa\" http://u:pw@h.org/x account no: 12345678 @@x.y"
+    text = "Ünder a.b@c.de.f, 10.0.0.256 1.2.3.4.5; 4111 1111 1111 1111 +1 (222) 555-0100 token = \"9b0b3c6a43eb78aa\" http://u:pw@h.org/x account no: 12345678 @@x.y"
     r = pii.find_spans(spark.createDataFrame([(1, text, "clash"), (2, None, ""), (3, "", "")], "doc_id long, text string, spans string")).orderBy("doc_id").collect()
     kinds = {s.kind: text[s.start : s.end] for s in r[0].spans}
     assert [text[s.start : s.end] for s in r[0].spans if s.kind == "email"] == ["a.b@c.de.f", "pw@h.org"]  # the base has no rule for credentials in an address
