@@ -214,8 +214,11 @@ class Encoder:
             else:
                 found[p] = p, ""
         new = [x for x in {x for pair in found.values() for x in pair} if x not in known]
-        for piece, ids in zip(new, self.encoded(new), strict=True):
-            known[piece] = ids.tobytes()
+        # a word of small ASCII letters is what the splitter hands to the model as it is
+        plain, model = [x.isascii() and x.isalpha() and x.islower() for x in new], self.tokenizer.model
+        rest = self.encoded([x for x, p in zip(new, plain, strict=True) if not p])
+        for piece, p in zip(new, plain, strict=True):
+            known[piece] = np.array([t.id for t in model.tokenize(piece)], self.kind).tobytes() if p else next(rest).tobytes()
         for p, (core, marks) in found.items():
             known[p] = known[core] + known[marks]
 
