@@ -32,6 +32,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hidden(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names that no operator uses for its own, and these names by column."""
+    names = {c: f"_in{k}" for k, c in enumerate(df.columns)}
+    return df.select(*(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in names.items())), names
+
+
+def shown(names: dict[str, str], *but: str) -> list:
+    """The columns of hidden() under their own names, without some."""
+    return [F.col(n).alias(c) for c, n in names.items() if c not in but]
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which grow with the input where the cluster sets them so."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

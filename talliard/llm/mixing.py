@@ -1,9 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 A source's target is its weight's share of all words, but at most EPOCHS times its size; what is cut off goes to
-the others by weight. Targets are counted in blocks of equal size. Blocks are dealt to sources by the highest
-quotients weight / (2 seats + 1), and each source's blocks to its shards in the same way, which gives every shard
-an integer quota. A shard lays its documents end to end in a seeded order and cuts them into equal blocks; a
+the others by weight. Targets are counted in blocks of equal size, sources with much smaller targets in smaller ones,
+so that small sources are met and large ones are not cut into single words. Blocks of one size are dealt to their sources
+by the highest quotients weight / (2 seats + 1), and each source's blocks to its shards in the same way, which gives
+every shard an integer quota. A shard lays its documents end to end in a seeded order and cuts them into equal blocks; a
 quota takes all blocks as often as it can, and the rest by a seeded walk through the blocks.
 
 The apportionment never ranks all quotients: bounds on the divisor give every party the seats that it has in any
@@ -20,14 +21,14 @@ through, those that clash with a result's name are replaced.
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talliard.llm.common import WORD, n_words
+from talliard.llm.common import WORD, hidden, n_words, shown
 from talliard.tables import table
 
 EPOCHS = 3
 SEED = 17
 SHARD_WORDS = 1 << 19
-#: Blocks are of the smallest target's 128th part, but in these bounds.
-BLOCK_WORDS = (8, 4096)
+#: A source's blocks are of the power of two below its target's BLOCKS-th part, from one word to BLOCK_WORDS.
+BLOCKS, BLOCK_WORDS = 128, 4096
 WEIGHTS = (1, 2, 3)
 
 
@@ -46,7 +47,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS) -> DataFram
         .withColumn("rate", F.col("left_over") / F.sum("weight").over(above))
         .withColumn("level", F.coalesce(F.min(F.when(F.col("rate") <= F.col("ratio"), F.struct("ratio", "ord", "rate"))).over(every)["rate"], F.lit(0.0)))
         .withColumn("target", share)
-        .withColumn("block", F.coalesce(F.least(F.lit(BLOCK_WORDS[1]), F.greatest(F.lit(BLOCK_WORDS[0]), F.floor(F.min(F.when(F.col("target") > 0, F.col("target"))).over(every) / 128))), F.lit(BLOCK_WORDS[0])).cast("long"))
+        .withColumn("block", F.expr(f"cast(least({BLOCK_WORDS}, if(target >= {2 * BLOCKS}, power(2, floor(log2(target / {BLOCKS}))), 1)) as long)"))
         .select("source", "ord", "source_size", "target", "block")
     )
 
@@ -77,51 +78,56 @@ def sainte_lague(parties: DataFrame, within: list[str], order: str, weight: str,
     )
 
 
-def _sized(docs: DataFrame, text: str) -> DataFrame:
-    """docs with size, source_size, target, and the shard's place: words, blocks, quota, walk and the document's first word."""
-    docs = docs.drop(*({"size", "source_size", "target", "taken"} & set(docs.columns))).withColumn("size", n_words(text))
-    goal = targets(docs.select("source", "size"))
-    near = docs.alias("d").join(goal.alias("g"), F.expr("d.source <=> g.source")).select("d.*", "g.ord", "g.source_size", "g.target", "g.block")
-    near = near.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)))
+def _sized(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """docs under hidden names with size, source_size, target, taken, and epochs and runs of words that are taken; and the names."""
+    rows, names = hidden(docs)
+    doc_id, source = F.col(names["doc_id"]), names["source"]
+    rows = rows.withColumn("size", n_words(names[text]))
+    goal = targets(rows.select(F.col(source).alias("source"), "size"))
+    near = rows.join(goal, F.col(source).eqNullSafe(F.col("source"))).drop("source")
+    near = near.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), doc_id), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)))
     shards = near.groupBy("ord", "shard", "source_size", "target", "block").agg(F.sum("size").alias("words"))
     shards = shards.withColumn("n_blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")))).otherwise(0).cast("long"))
-    wanted = shards.groupBy("ord").agg(F.sum("n_blocks").alias("all_blocks"), F.max(F.struct("target", "source_size")).alias("t")).selectExpr("ord", "all_blocks", "if(t.source_size > 0, t.target / t.source_size * all_blocks, 0D) as share")
-    wanted = wanted.withColumn("_seats", F.round(F.sum("share").over(Window.partitionBy())).cast("long"))
-    dealt = sainte_lague(wanted, [], "ord", "share", "_seats", "_blocks").selectExpr("ord", f"least(_blocks, {EPOCHS} * all_blocks) as source_blocks")
+    wanted = shards.groupBy("ord", "block").agg(F.sum("n_blocks").alias("all_blocks"), F.max(F.struct("target", "source_size")).alias("t")).selectExpr("ord", "block", "all_blocks", "if(t.source_size > 0, t.target / t.source_size * all_blocks, 0D) as share")
+    wanted = wanted.withColumn("_seats", F.round(F.sum("share").over(Window.partitionBy("block"))).cast("long"))
+    dealt = sainte_lague(wanted, ["block"], "ord", "share", "_seats", "_blocks").selectExpr("ord", f"least(_blocks, {EPOCHS} * all_blocks) as source_blocks")
     quota = sainte_lague(shards.join(dealt, "ord"), ["ord"], "shard", "n_blocks", "source_blocks", "quota")
     quota = quota.select("ord", "shard", "words", "n_blocks", "quota").where("n_blocks > 0")
-    order = Window.partitionBy("ord", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    order = Window.partitionBy("ord", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), doc_id), doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    found = (
         near.withColumn("first_word", F.coalesce(F.sum("size").over(order), F.lit(0)))
         .join(quota, ["ord", "shard"], "left")
         .withColumn("epochs", F.when(F.col("size") > 0, F.expr("quota div n_blocks")).otherwise(0).cast("long"))
-        .withColumn("_step", F.expr("if(n_blocks % 1000003 = 0, 1000033L, 1000003L)"))
-        .withColumn("_walk", F.pmod(F.xxhash64(F.lit(SEED + 2), "ord", "shard"), F.col("n_blocks")))
+        .withColumn("step", F.expr("if(n_blocks % 1000003 = 0, 1000033L, 1000003L)"))
+        .withColumn("walk", F.pmod(F.xxhash64(F.lit(SEED + 2), "ord", "shard"), F.col("n_blocks")))
         .withColumn("runs", F.expr("""case when size > 0 and quota % n_blocks > 0 then filter(transform(filter(
             sequence(greatest(first_word * n_blocks div words - 1, 0), least((first_word + size) * n_blocks div words + 1, n_blocks - 1)),
-            i -> (i * _step + _walk) % n_blocks < quota % n_blocks),
+            i -> (i * step + walk) % n_blocks < quota % n_blocks),
             i -> struct(greatest(i * words div n_blocks, first_word) - first_word as start, least((i + 1) * words div n_blocks, first_word + size) - first_word as end)),
             r -> r.start < r.end) else array() end"""))
         .withColumn("taken", F.col("epochs") * F.col("size") + F.expr("aggregate(runs, 0L, (a, r) -> a + r.end - r.start)"))
-        .drop("ord", "block", "shard", "words", "n_blocks", "quota", "first_word", "_step", "_walk")
     )
+    return found, names
 
 
 def mix(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes, repeats counted)."""
-    return _sized(docs, text).drop("epochs", "runs")
+    found, names = _sized(docs, text)
+    results = ["size", "source_size", "target", "taken"]
+    return found.select(*shown(names, *results), *results)
 
 
 def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     """The mix itself, with the columns of docs: a row for every copy of a whole text, and one for the words of a part, joined by spaces."""
-    part = F.expr(f"array_join(flatten(transform(runs, r -> slice(regexp_extract_all(`{text}`, '{WORD.replace(chr(92), chr(92) * 2)}', 0), cast(r.start as int) + 1, cast(r.end - r.start as int)))), ' ')")
-    found = _sized(docs, text)
+    found, names = _sized(docs, text)
+    whole_text = F.col(names[text])
+    part = F.expr(f"array_join(flatten(transform(runs, r -> slice(regexp_extract_all({names[text]}, '{WORD.replace(chr(92), chr(92) * 2)}', 0), cast(r.start as int) + 1, cast(r.end - r.start as int)))), ' ')")
     copies = F.concat(F.expr("if(epochs > 0, array_repeat(true, cast(epochs as int)), array())"), F.expr("if(size(runs) > 0, array(false), array())"))
-    whole = F.col("_whole") | (F.col("taken") - F.col("epochs") * F.col("size") == F.col("size"))
-    out = found.withColumn("_whole", F.explode(copies)).withColumn(text, F.when(whole, F.col(text)).otherwise(part))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(*docs.columns)
+    whole = F.col("whole") | (F.col("taken") - F.col("epochs") * F.col("size") == F.col("size"))
+    out = found.withColumn("whole", F.explode(copies)).withColumn(names[text], F.when(whole, whole_text).otherwise(part))
+    if "n_chars" in names:
+        out = out.withColumn(names["n_chars"], F.length(names[text]).cast("long"))
+    return out.select(*shown(names))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
