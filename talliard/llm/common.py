@@ -43,6 +43,15 @@ def shown(names: dict[str, str], *but: str) -> list:
     return [F.col(n).alias(c) for c, n in names.items() if c not in but]
 
 
+#: Rows of a broadcast side at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be broadcast, after counting up to the limit; a larger one is left to a shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def parts(spark: SparkSession) -> int:
     """Shuffle partitions of the session, which grow with the input where the cluster sets them so."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

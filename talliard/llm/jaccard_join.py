@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from talliard.llm import chunks as C
 from talliard.llm import shingle_sets as S
-from talliard.llm.common import parts, stored
+from talliard.llm.common import parts, small, stored
 from talliard.tables import table
 
 SHINGLE = 3
@@ -52,9 +52,6 @@ GROUP = 4096
 LEAF_BYTES = 24 << 20
 #: Pivots of a region, and sets of a region in which all are compared.
 PIVOTS, LEAF = 16, 128
-#: Rows of a broadcast side at most.
-BROADCAST_ROWS = 1_000_000
-
 TAG_BITS = 48
 _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("tags", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary()), ("sketches", pa.list_(pa.binary()))])
 _SENT_DDL = "bucket int, keys binary, tags binary, docs binary, rows binary, sizes binary, nodes binary, sketches array<binary>"
@@ -287,17 +284,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = stored(moved.join(jump, moved.least == jump["from"], "left").select("node", F.least("least", "to").alias("least")))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast after counting up to the limit; larger ones are left to a shuffle."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _families(members: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(tag, family) of the nodes that may have a partner."""
     members = members.distinct()
     size = members.groupBy("group").agg(F.count("*").alias("size"))
     large = stored(size.where(F.col("size") > GROUP))
-    block = members.join(_small(large), "group", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)).cast("int"))
+    block = members.join(small(large), "group", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("tag"), F.col("blocks"))
     cut = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn(
         "group", F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least(own, "other"), F.greatest(own, "other")))
@@ -311,7 +303,7 @@ def _families(members: DataFrame, nodes: DataFrame, percent: int, buckets: int)
 def _cells(families: DataFrame) -> DataFrame:
     """families (row, tag, family, n) with cell and side, a row for each task that sees the node."""
     sizes = families.groupBy("family").agg(F.sum("n").alias("elements"))
-    large = _small(stored(sizes.where(F.col("elements") * 8 > LEAF_BYTES)))
+    large = small(stored(sizes.where(F.col("elements") * 8 > LEAF_BYTES)))
     block = families.join(large, "family", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("elements") * 16 / LEAF_BYTES), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("tag"), F.col("blocks"))
     other = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
@@ -331,7 +323,7 @@ def _linked(docs: DataFrame, text: str, shingle: int, percent: int, label) -> tu
     families = _families(met.where("group is not null").select("group", "tag"), nodes, percent, buckets)
     placed = stored(families.join(nodes.select("tag", "n", "row"), "tag"))
     wanted = stored(_cells(placed).groupBy("row").agg(F.collect_set(F.struct("cell", "side")).alias("cells")))
-    sets = rows.join(_small(wanted), "row").select("content", "cells").mapInArrow(_sets(shingle), "tag long, cells array<struct<cell:bigint,side:int>>, elements binary")
+    sets = rows.join(small(wanted), "row").select("content", "cells").mapInArrow(_sets(shingle), "tag long, cells array<struct<cell:bigint,side:int>>, elements binary")
     held = sets.select("tag", F.explode("cells").alias("c"), "elements").select("tag", "c.*", "elements").groupBy(F.pmod(F.xxhash64("cell"), F.lit(4 * buckets)).alias("bucket"))
     links = stored(held.applyInArrow(lambda t: _join(percent)(t), "a long, b long"))
     ends = links.select(F.explode(F.array("a", "b")).alias("tag")).distinct().join(nodes.select("tag", "least"), "tag").groupBy("tag").agg(F.min("least").alias("least"))
@@ -343,7 +335,7 @@ def _linked(docs: DataFrame, text: str, shingle: int, percent: int, label) -> tu
 def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id that links reach."""
     described, least = _linked(docs, text, shingle, percent, F.col("at.doc"))
-    found = described.join(_small(least), "node", "left").select("doc", "n", F.coalesce("least", "doc").alias("least"))
+    found = described.join(small(least), "node", "left").select("doc", "n", F.coalesce("least", "doc").alias("least"))
     # where a doc_id comes with several sets, they are one document
     several = described.where("node is not null").groupBy("doc").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
     if several.head(1):
@@ -351,7 +343,7 @@ def classes(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, percent
         ends = found.select(F.col("doc").alias("a"), F.col("least").alias("b")).where("a <> b").distinct()
         ids = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("least", F.col("node"))
         whole = components(ids, ends).select(F.col("node").alias("doc"), F.col("least").alias("whole"))
-        found = found.join(_small(whole), "doc", "left").select("doc", "n", F.coalesce("whole", "least").alias("least"))
+        found = found.join(small(whole), "doc", "left").select("doc", "n", F.coalesce("whole", "least").alias("least"))
     return found.select(F.when(F.col("doc") != C.NO_ID, F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("least") != C.NO_ID, F.col("least")).alias("component_id"))
 
 
@@ -360,13 +352,13 @@ def first_rows(docs: DataFrame, text: str = "text", shingle: int = SHINGLE, perc
     described, least = _linked(docs, text, shingle, percent, F.struct("at.doc", "at.row"))
     key = ["_doc", "_row"]
     named = lambda df: df.select(F.col("doc").alias("_doc"), F.col("row").alias("_row"))
-    later = described.join(_small(least), "node").where("doc <> least.doc or row <> least.row")
+    later = described.join(small(least), "node").where("doc <> least.doc or row <> least.row")
     keyed = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)), "_row": F.xxhash64("doc_id", text)})
-    kept = keyed.join(_small(stored(named(later).distinct())), key, "left_anti")
+    kept = keyed.join(small(stored(named(later).distinct())), key, "left_anti")
     repeated = stored(named(described.where("n > 0").groupBy("doc", "row").agg(F.count("*").alias("c")).where("c > 1")))
     if repeated.head(1):
-        one = kept.join(_small(repeated), key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_one"))
-        return kept.join(_small(repeated), key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
+        one = kept.join(small(repeated), key, "left_semi").groupBy(*key).agg(F.min(F.struct(*docs.columns)).alias("_one"))
+        return kept.join(small(repeated), key, "left_anti").select(*docs.columns).unionByName(one.select("_one.*"))
     return kept.select(*docs.columns)
 
 

@@ -48,7 +48,7 @@ from d join words using (doc_id) left join gone using (doc_id)
 
 OP7 = f"""
 with l as (select doc_id, unnest(range(0, len(t))) as line_no, unnest(t) as line from (select doc_id, string_split(text, chr(10)) as t from documents)),
-ln as (select doc_id, line_no, doc_id * 1000000 + line_no as place, regexp_extract_all(line, {_WORD}) as w from l where regexp_matches(line, {_WORD})),
+ln as (select doc_id, line_no, {'d': doc_id, 'l': line_no} as place, regexp_extract_all(line, {_WORD}) as w from l where regexp_matches(line, {_WORD})),
 f as (select w, min(place) as first from ln group by w),
 v as (select first, i, list_concat(w[:i - 1], w[i + 1:]) as k from (select *, unnest(range(1, len(w) + 1)) as i from f where len(w) >= 5)),
 near as (

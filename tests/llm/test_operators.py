@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talliard.llm import block_dedup, chunks, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, shingle_sets, suffix_dedup, token_files, url_filter
+from talliard.llm import block_dedup, chunks, common, decontaminate, jaccard_join, line_dedup, mixing, pii, quality, shingle_sets, suffix_dedup, token_files, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -165,7 +165,7 @@ def brute_classes(rows, shingle, percent):
 @pytest.mark.parametrize(("shingle", "percent", "bounds"), [(3, 90, {}), (5, 80, {}), (3, 90, {"GROUP": 8, "LEAF_BYTES": 20_000, "LEAF": 4}), (5, 80, {"GROUP": 5, "LEAF_BYTES": 9_000, "LEAF": 2, "PIVOTS": 3, "BROADCAST_ROWS": 0})])
 def test_jaccard_join(docs, rows, shingle, percent, bounds, monkeypatch):
     for name, value in bounds.items():
-        monkeypatch.setattr(jaccard_join, name, value)
+        monkeypatch.setattr(common if name == "BROADCAST_ROWS" else jaccard_join, name, value)
     want = brute_classes(rows, shingle, percent)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.classes(docs, shingle=shingle, percent=percent).collect()} == want
 
@@ -223,6 +223,50 @@ def test_line_dedup(spark):
     assert line_dedup.duplicate_lines(empty(spark)).count() == 0
 
 
+def brute_lines(rows):
+    """(doc, row, line_no) to equal, near or None; rows are (doc_id, text, order of the row among those of the id)."""
+    places = []
+    for doc, text, row in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[2])):
+        places += [((doc, row, k), WORD.findall(line)) for k, line in enumerate((text or "").split("\n")) if WORD.findall(line)]
+    one_edit = lambda a, b: len(b) - len(a) in (0, 1) and any(a[:k] == b[:k] and a[k + (len(a) == len(b)) :] == b[k + 1 :] for k in range(len(b)))
+    why = {}
+    for i, (place, w) in enumerate(places):
+        first = next(k for k, (_, v) in enumerate(places) if v == w)
+        near = len(w) >= line_dedup.MIN_WORDS and any(len(v) >= line_dedup.MIN_WORDS and one_edit(*sorted((v, w), key=len)) for _, v in places[:first])
+        why[place] = "equal" if first < i else "near" if near else None
+    return why
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_line_dedup_against_brute_force(spark, most, monkeypatch, tmp_path):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    rng, made = random.Random(4), []
+    for doc in [None, -5, *range(40)]:
+        lines = []
+        for _ in range(rng.randint(0, 9)):
+            w = [rng.choice("abc") for _ in range(rng.choice([0, 1, 4, 5, 6, 7, 7, 8]))] if rng.random() < 0.7 else list("abcabcabc")
+            if w and rng.random() < 0.5:
+                w[rng.randrange(len(w))] = rng.choice("abcxyz")
+            lines.append(rng.choice(["", "  ", "\t"]) + rng.choice([" ", "  ", "\x0b"]).join(w))
+        made.append((doc, "\n".join(lines)))
+    made += [(100, None), (101, ""), (102, " \n\t"), (103, "v w x y z " * 300), (104, "v w x y z " * 299 + "v w x q z"), (7, made[9][1] + "\nmore of it here now"), (None, "a b c a b c a"), made[20], made[20]]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    order = {(r.doc_id, r.text): r.h for r in df.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).collect()}
+    want = brute_lines(sorted({(d, t, order[d, t]) for d, t in made}, key=str))
+    got = line_dedup.duplicate_lines(df).collect()
+    told = defaultdict(set)
+    for (doc, _, k), w in want.items():
+        told[doc, k].add(w)
+    assert {(r.doc_id, r.line_no, r.why) for r in got} == {(d, k, w) for (d, k), ws in told.items() for w in ws}
+    df.withColumn("place", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = line_dedup.op7(spark, str(tmp_path)).collect()
+    expect = []
+    for d, t in made:
+        own = {k: w for (doc, row, k), w in want.items() if doc == d and row == order[d, t]}
+        expect.append((d, len(own), sum(w == "equal" for w in own.values()), sum(w == "near" for w in own.values()), ",".join(str(k) for k in sorted(k for k, w in own.items() if w))))
+    assert sorted(map(tuple, rows), key=str) == sorted(expect, key=str)
+
+
 def test_token_files(spark, docs, rows):
     from tokenizers import Tokenizer
 
