@@ -72,6 +72,20 @@ def from_planes(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def short(keys: np.ndarray) -> np.ndarray:
+    """The first 48 bits of keys. Where two keys share these by chance, more is sent and compared, nothing is lost."""
+    return keys >> np.uint64(16)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Short keys in six bytes each."""
+    return planes(keys)[: 6 * len(keys)]
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return from_planes(data + bytes(len(data) // 3), "u8")
+
+
 def by_target(target: np.ndarray, arrays: list[np.ndarray]):
     """(target, its part of each array), in order; within a target the order stays."""
     order = np.argsort(target, kind="stable")
@@ -94,6 +108,7 @@ LIVE_DDL = "chunk int, keys binary, flags binary"
 
 def keys_to_buckets(chunk: int, n: int, keys: np.ndarray, docs: np.ndarray, flags: np.ndarray) -> pa.Table:
     """The chunk's distinct keys, each once; flags of equal keys together, and bit 1 where two documents hold the key."""
+    keys = short(keys)
     order = np.lexsort((docs, keys))
     keys, docs, flags = keys[order], docs[order], flags[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -101,13 +116,13 @@ def keys_to_buckets(chunk: int, n: int, keys: np.ndarray, docs: np.ndarray, flag
     together = np.bitwise_or.reduceat(flags, first) if len(keys) else flags
     together = together | np.where(docs[first] != docs[last], 2, 0).astype(np.uint8)
     target = (keys[first] % np.uint64(n)).astype(np.int64)
-    return row_table([(b, chunk, k.tobytes(), f.tobytes()) for b, (k, f) in by_target(target, [keys[first], together])], KEYS)
+    return row_table([(b, chunk, packed(k), f.tobytes()) for b, (k, f) in by_target(target, [keys[first], together])], KEYS)
 
 
 def live_keys(table: pa.Table, many: int, needs: int = 0) -> pa.Table:
     """For each chunk, its keys in a bucket that two documents hold and some chunk flags with needs; flag 4 marks keys of many chunks."""
     chunks = table["chunk"].to_numpy()
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
+    keys = [unpacked(k) for k in table["keys"].to_pylist()]
     flags = np.concatenate([np.frombuffer(f, np.uint8) for f in table["flags"].to_pylist()])
     of = np.repeat(chunks, [len(k) for k in keys])
     keys = np.concatenate(keys)
@@ -119,12 +134,12 @@ def live_keys(table: pa.Table, many: int, needs: int = 0) -> pa.Table:
     out = np.zeros(len(keys), np.uint8)
     out[order] = np.repeat(np.where(live, 1 | np.where(counts >= many, 4, 0), 0), counts)
     at = np.flatnonzero(out)
-    return row_table([(c, k.tobytes(), f.tobytes()) for c, (k, f) in by_target(of[at], [keys[at], out[at]])], LIVE)
+    return row_table([(c, packed(k), f.tobytes()) for c, (k, f) in by_target(of[at], [keys[at], out[at]])], LIVE)
 
 
 def sorted_live(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """A chunk's live keys in order, with their flags."""
-    keys = np.frombuffer(b"".join(table["keys"].to_pylist()), np.uint64)
+    keys = np.concatenate([np.zeros(0, np.uint64), *map(unpacked, table["keys"].to_pylist())])
     flags = np.frombuffer(b"".join(table["flags"].to_pylist()), np.uint8)
     order = np.argsort(keys)
     return keys[order], flags[order]
@@ -134,6 +149,7 @@ def looked_up(keys: np.ndarray, live: np.ndarray, flags: np.ndarray) -> np.ndarr
     """Flags of keys, 0 where they are not live."""
     if not len(live):
         return np.zeros(len(keys), np.uint8)
+    keys = short(keys)
     at = np.minimum(np.searchsorted(live, keys), len(live) - 1)
     return np.where(live[at] == keys, flags[at], 0).astype(np.uint8)
 

@@ -19,6 +19,7 @@ first. Overlaps count; what goes is judged on the input. Empty tables give no ro
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,10 +169,10 @@ def _send_pieces(n: int):
             else:
                 sent.append((int(C.digest(s)[0]) if key < 0 else key, doc, a, b - a if not w else -(b - a), s))
         rows = []
-        key_array = np.array([x[0] for x in sent], np.uint64)
+        key_array, pack = C.short(np.array([x[0] for x in sent], np.uint64)), zstandard.ZstdCompressor(level=1).compress
         arrays = [key_array, np.array([x[1] for x in sent], np.int64), np.array([x[2] for x in sent], np.uint32), np.array([x[3] for x in sent], np.int32), np.arange(len(sent))]
         for bucket, (k, d, p, z, i) in C.by_target((key_array % np.uint64(n)).astype(np.int64), arrays):
-            rows.append((bucket, number, k.tobytes(), C.planes(d), C.planes(p), C.planes(z), b"".join(sent[x][4] for x in i.tolist()), b"", b""))
+            rows.append((bucket, number, C.packed(k), C.planes(d), C.planes(p), C.planes(z), pack(b"".join(sent[x][4] for x in i.tolist())), b"", b""))
         if done:
             a, b = np.array(done, np.uint32).T
             rows.append((number % n, number, b"", b"", b"", b"", b"", C.planes(np.ascontiguousarray(a)), C.planes(np.ascontiguousarray(b))))
@@ -182,19 +183,20 @@ def _send_pieces(n: int):
 
 def _judge(table: pa.Table) -> pa.Table:
     """Spans that go, for each chunk; documents and pieces in one bucket."""
-    of, keys, docs, places, sizes, text, spans = [], [], [], [], [], [], []
+    of, keys, docs, places, sizes, text, spans, unpack = [], [], [], [], [], [], [], zstandard.ZstdDecompressor().decompress
     for r in table.to_pylist():
         if r["starts"]:
             spans.append((r["chunk"], C.from_planes(r["starts"], "u4"), C.from_planes(r["ends"], "u4")))
         if r["keys"]:
             z, at = C.from_planes(r["sizes"], "i4"), 0
-            keys.append(np.frombuffer(r["keys"], np.uint64))
+            keys.append(C.unpacked(r["keys"]))
+            held = unpack(r["text"])
             docs.append(C.from_planes(r["docs"], "i8"))
             places.append(C.from_planes(r["places"], "u4"))
             sizes.append(z)
             of.append(np.full(len(z), r["chunk"]))
             for size in z.tolist():
-                text.append(r["text"][at : at + (size if size > 0 else 16)])
+                text.append(held[at : at + (size if size > 0 else 16)])
                 at += size if size > 0 else 16
     if text:
         of, keys, docs, places, sizes = map(np.concatenate, (of, keys, docs, places, sizes))
