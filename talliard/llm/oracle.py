@@ -48,12 +48,12 @@ from d join words using (doc_id) left join gone using (doc_id)
 
 OP7 = f"""
 with l as (select doc_id, unnest(range(0, len(t))) as line_no, unnest(t) as line from (select doc_id, string_split(text, chr(10)) as t from documents)),
-ln as (select doc_id, line_no, {'d': doc_id, 'l': line_no} as place, regexp_extract_all(line, {_WORD}) as w from l where regexp_matches(line, {_WORD})),
+ln as (select doc_id, line_no, {{'d': doc_id, 'l': line_no}} as place, regexp_extract_all(line, {_WORD}) as w from l where regexp_matches(line, {_WORD})),
 f as (select w, min(place) as first from ln group by w),
 v as (select first, i, list_concat(w[:i - 1], w[i + 1:]) as k from (select *, unnest(range(1, len(w) + 1)) as i from f where len(w) >= 5)),
 near as (
   select a.first from v a join v b on a.k = b.k and a.i = b.i where b.first < a.first
-  union select greatest(f.first, v.first) from f join v on f.w = v.k where len(f.w) >= 5),
+  union select case when f.first < v.first then v.first else f.first end from f join v on f.w = v.k where len(f.w) >= 5),
 why as (select doc_id, line_no, case when f.first < place then 'equal' when n.first is not null then 'near' end as why from ln join f using (w) left join near n on n.first = f.first),
 r as (select doc_id, count(*) as n_lines, count(*) filter (where why = 'equal') as n_equal, count(*) filter (where why = 'near') as n_near,
   string_agg(cast(line_no as varchar), ',' order by line_no) filter (where why is not null) as removed from why group by doc_id)
