@@ -10,8 +10,9 @@ sketches differ are a metric too, never above the distance of the sets. The join
 2. Parts. Random texts are at distance 1 of each other and of any pivot, so pivots over a whole ring would copy all of
    them into all regions. So sets of a ring first come together by hashes of parts of their shingles: linked ones
    agree in a part that holds shingles (see shingle_sets.part_keys). Groups with the same members are one.
-3. Groups. Each group takes a member as pivot; its ball holds all members within twice the distance of links, and the
-   members within once that distance are done, as by the triangle inequality all their partners lie in the ball.
+3. Groups. Each group takes a member as pivot; members no farther from it than links reach are done, and its ball holds
+   all members that are at most one link farther than the farthest of these, where by the triangle inequality all their
+   partners lie.
    The others go on with the next pivot, until none is left. Balls that share members are one family, so each set
    is in one family and all of its partners are too. Groups of very many members are cut into pairs of blocks.
 4. Families. A family's sets come together in a task. It takes pivots, gives each set to the nearest one (its Voronoi
@@ -172,7 +173,8 @@ def _balls(percent: int):
             rest = np.arange(len(members))
             while len(rest) > 1:
                 far = S.apart(held[rest[0]], held[rest])
-                ball = node[members[rest[far <= 2 * most[rest].max()]]].tolist()
+                reach = far[far <= most[rest]].max() + most[rest].max()
+                ball = node[members[rest[far <= reach]]].tolist()
                 first = root(ball[0])
                 for x in ball[1:]:
                     joined[root(x)] = first

@@ -104,8 +104,8 @@ def part_keys(hashes: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarr
 
 
 def width(n: int) -> int:
-    """Bits of the sketch of n elements."""
-    return max(SKETCH, 1 << (n - 1).bit_length())
+    """Bits of the sketch of n elements: twice as many, so that sketches of unrelated sets differ by much more than linked ones may."""
+    return max(SKETCH, 1 << (2 * n - 1).bit_length())
 
 
 def sketch(elements: np.ndarray, bits: int) -> np.ndarray:
