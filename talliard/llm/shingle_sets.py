@@ -13,7 +13,7 @@ TURNS = 3
 #: Least bits of a sketch.
 SKETCH = 512
 #: Words whose hashes a task remembers before it starts over.
-KNOWN = 1_000_000
+KNOWN = 250_000
 
 _FACTORS = C.numbers(21, 256) | np.uint64(1)
 _FIRST = np.array([True])

@@ -36,7 +36,9 @@ END_ID = 2
 #: Ids in a shard, but for its last document.
 SHARD_TOKENS = 1 << 22
 #: Pieces that a worker remembers before it starts over.
-PIECES = 1_000_000
+PIECES = 250_000
+#: Texts that are in pieces at once.
+TEXTS = 32
 #: Marks behind letters; the end of the Latin letters that neither composing nor folding changes into anything but one letter, but for one.
 MARKS, LATIN, FALLS_APART = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250", "\u0130"
 #: A normalizer that neither moves nor drops anything across a blank, and a splitter whose matches hold none.
@@ -223,18 +225,17 @@ class Encoder:
             known[p] = known[core] + known[marks]
 
     def all(self, texts: list[str | None]):
-        """The ids of each text; a few texts at a time, as their pieces are held."""
-        for at in range(0, len(texts), 64):
-            few = [t or "" for t in texts[at : at + 64]]
-            if not self.by_piece:
-                yield from self.encoded(few)
-                continue
-            pieces = [t.replace("\n", " ").split(" ") for t in few]
-            if len(self.known) > PIECES:
-                self.known = {"": b""}
-            self.learn([p for p in set().union(*pieces) if p not in self.known])
-            for p in pieces:
-                yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), self.kind)
+        """The ids of each text; pieces of all are held."""
+        few = [t or "" for t in texts]
+        if not self.by_piece:
+            yield from self.encoded(few)
+            return
+        pieces = [t.replace("\n", " ").split(" ") for t in few]
+        if len(self.known) > PIECES:
+            self.known = {"": b""}
+        self.learn([p for p in set().union(*pieces) if p not in self.known])
+        for p in pieces:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), self.kind)
 
 
 def default_tokenizer() -> str:
@@ -262,12 +263,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         for batch in batches:
             encoder = encoder or Encoder.of(tokenizer or default_tokenizer())
             end = np.array([end_id], encoder.kind)
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.all(texts(batch)), strict=True):
-                held.append((doc_id, np.concatenate((ids, end))))
-                size += len(held[-1][1])
-                if size >= shard_tokens:
-                    yield flush()
-                    file, held, size = file + 1, [], 0
+            for few in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+                for doc_id, ids in zip(few.column(0).to_pylist(), encoder.all(texts(few)), strict=True):
+                    held.append((doc_id, np.concatenate((ids, end))))
+                    size += len(held[-1][1])
+                    if size >= shard_tokens:
+                        yield flush()
+                        file, held, size = file + 1, [], 0
         if held:
             yield flush()
 
