@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that the one before kept
 of documents. Rejected documents go and failing lines of the others too; of each class of near duplicates the first
 by doc_id stays, one row where ids repeat or are null; documents with a benchmark window go; the mix takes texts once, up to three times or in
 part, so a doc_id may repeat from there on; the last stage writes token files and returns what they hold.
+
+Null and empty texts are rejected by the first stage. Null and repeated doc_ids are documents of their own: near duplicates
+go by texts and rows, and ties by the least doc_id, null first, then by a hash of the row. Empty tables give no rows. Extra
+columns pass through all stages but the last.
 """
 
 from pyspark.sql import DataFrame, SparkSession
