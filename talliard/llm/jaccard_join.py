@@ -18,8 +18,9 @@ sketches differ are a metric too, never above the distance of the sets. The join
 4. Families. A family's sets come together in a task. It takes pivots, gives each set to the nearest one (its Voronoi
    region) and copies it into those that are farther by no more than the window of the triangle inequality. Large
    regions are cut again in the same way; in small ones all sets are compared, by sketches and then by elements,
-   unless links join them already. Families above LEAF_BYTES are first cut into Voronoi regions by Spark, and what
-   still is above is cut into pairs of blocks. Links go on as a tree, so no number of pairs is ever sent.
+   unless links join them already. Where the windows are wider than the regions, as all sets are near each other, the
+   whole region is compared in the same way. Families above LEAF_BYTES are cut into pairs of blocks, each a task's work.
+   Links go on as a tree, so no number of pairs is ever sent.
 
 Equal sets are one node, so copies make no pairs. Texts stay where they are; only keys are shuffled, and sets of families.
 
