@@ -37,11 +37,15 @@ def severity(used_percent: Column) -> Column:
 
 
 def compact(n: Column) -> Column:
-    """A count as 950, 12.3K, 4.5M, 6.7B."""
-    steps = F.when(n < 1_000, n.cast("string"))
-    for size, mark in ((1_000, "K"), (1_000_000, "M"), (1_000_000_000, "B")):
-        steps = steps.when(n < size * 999.5, F.concat(F.format_number(n / size, 1), F.lit(mark)))
-    return steps.otherwise(F.concat(F.format_number(n / 1e12, 1), F.lit("T")))
+    """A count as 950, 12.3K, 150K, 4.5M: one digit below a hundred units, none where it is zero; 0 for none."""
+    text = F.floor(n + 0.5).cast("string")
+    for size, mark in ((1e3, "K"), (1e6, "M"), (1e9, "B"), (1e12, "T")):
+        tenths = F.floor(n * 10 / size + 0.5).cast("bigint")
+        whole = F.floor(tenths / 10).cast("string")
+        fine = F.when(tenths % 10 == 0, whole).otherwise(F.concat(whole, F.lit("."), (tenths % 10).cast("string")))
+        label = F.when(n / size < 100, fine).otherwise(F.floor(n / size + 0.5).cast("string"))
+        text = F.when(n >= size * 0.9995, F.concat(label, F.lit(mark))).otherwise(text)
+    return F.when(F.coalesce(n > 0, F.lit(False)), text).otherwise("0")
 
 
 def window_of_minutes(minutes: Column) -> Column:

@@ -1,42 +1,24 @@
 """All usage-analytics queries by name, with their SQL for the oracle."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from talliard.functions import ids
 from talliard.functions.metrics import compact, effective, tokens
-from talliard.operators import archive, asof, cost, history, limits, merge, reconcile, rollup, validate, views
+from talliard.operators import archive, asof, cost, history, limits, merge, reconcile, rollup, views
+from talliard.plans import checks, scalars  # noqa: F401  they register their queries
+from talliard.plans.catalog import ORACLE_SQL, QUERIES, TOK, query
+from talliard.plans.catalog import merged as _merged
+from talliard.plans.catalog import tagged as _tagged
 from talliard.plans.oracle import ACTIVITY, MERGED, PROMPTS, USAGE
 from talliard.sources import adapter
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "ag_01_day_rollup"
 FIRST, LAST = "1996-01-01", "1997-12-31"
-SOME_MONTHS = ("1996-03", "1996-04")
 NOW, LATER = "1998-06-15 12:00:00", "2018-06-15 12:00:00"
-TOK = "(tok_in + cache_w + cache_r + tok_out)"
 KEY = b"synthetic key of the tests"
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return register
-
-
-def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merge_usage(adapter.usage_events(spark, sf_dir))
-
-
-def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(spark, sf_dir).withColumn("tokens", tokens())
-
-
 MEAS = ["tok_in", "cache_w", "cache_w1h", "cache_r", "tok_out", "reasoning", "calls"]
 SUMS = ", ".join(f"cast(sum({m}) as bigint) as {m}" for m in MEAS)
 
@@ -173,23 +155,6 @@ def fn_07(spark, sf_dir):
     return _merged(spark, sf_dir).groupBy("provider").agg(F.sum(tokens()).cast("long").alias("tokens"), F.round(F.sum(effective()), 3).alias("effective"), F.sum("tok_out").cast("long").alias("output"))
 
 
-def _later(usage: DataFrame) -> DataFrame:
-    """Times at which events may have happened."""
-    return usage.withColumn("ts", F.expr("ts + interval 20 years"))
-
-
-@query("fi_01_validation", f"with {USAGE} select case when ts > timestamp '{NOW}' + interval 2 days then 'ts' end as reason, count(*) as n from u group by all")
-def fi_01(spark, sf_dir):
-    return validate.judged(_later(adapter.usage_events(spark, sf_dir)), LATER).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query("fi_06_routing", f"with {USAGE} select case when ts > timestamp '{NOW}' + interval 2 days then 'rejected' else 'accepted' end as route, count(*) as n, cast(sum(least(cache_w1h, cache_w)) as bigint) as cache_w1h from u group by all")
-def fi_06(spark, sf_dir):
-    good, bad = validate.routed(_later(adapter.usage_events(spark, sf_dir)), LATER)
-    count = lambda df, route: df.groupBy(F.lit(route).alias("route")).agg(F.count("*").alias("n"), F.sum("cache_w1h").cast("long").alias("cache_w1h"))
-    return count(good, "accepted").unionByName(count(bad, "rejected"))
-
-
 @query("fi_15_country_collapse", f"with {MERGED} select date, provider, 'ZZ' as cc, cast(sum({TOK}) as bigint) as tokens from m group by all")
 def fi_15(spark, sf_dir):
     return _tagged(spark, sf_dir).groupBy("date", "provider", F.lit("ZZ").alias("cc")).agg(F.sum("tokens").cast("long").alias("tokens"))
@@ -299,17 +264,16 @@ def jn_05(spark, sf_dir):
     return cost.price_names(_merged(spark, sf_dir).select("model"), current, fallbacks)
 
 
-def _snapshots(spark, sf_dir, months=None):
-    """Reported totals: each labelled account's days, of some months or all, with a surplus on every fifth, and an older reading of each."""
+def _snapshots(spark, sf_dir):
+    """Reported totals: each labelled account's days, with a surplus on every fifth, and an older reading of each."""
     rows = rollup.ledger(_merged(spark, sf_dir)).where("acct <> ''").groupBy("date", "provider", "source", "acct").agg(F.sum("tokens").alias("tokens"))
-    rows = rows.where(F.substring("date", 1, 7).isin(*months)) if months else rows
     extra = F.when(F.expr("cast(substr(date, 9, 2) as int) % 5 = 0"), F.lit(1000)).otherwise(0)
     new = rows.select("date", "provider", "source", "acct", (F.col("tokens") + extra).cast("long").alias("total_tokens"), F.lit("1996-05-02").cast("timestamp").alias("observed_at"))
     return new.unionByName(new.withColumn("observed_at", F.lit("1996-05-01").cast("timestamp")).withColumn("total_tokens", F.col("total_tokens") * 2))
 
 
 @query("cx_01_reconcile", f"""with {MERGED}, l as (select strftime(ts, '%Y-%m-%d') as date, provider, source, case when acct_q in ('recorded', 'session', 'timeline', 'bounded') then acct else '' end as acct, sum({TOK}) as tokens from m group by all),
-s as (select date, source, acct, tokens + case when cast(substr(date, 9, 2) as int) % 5 = 0 then 1000 else 0 end as total, case when date >= '1996-04-28' then date else 'closed' end as win from l where acct <> '' and substr(date, 1, 7) in ('1996-03', '1996-04')),
+s as (select date, source, acct, tokens + case when cast(substr(date, 9, 2) as int) % 5 = 0 then 1000 else 0 end as total, case when date >= '1998-06-15' then date else 'closed' end as win from l where acct <> ''),
 un as (select date, source, sum(tokens) as unsure from l where acct = '' group by all), lo as (select date, source, acct, sum(tokens) as tokens from l where acct <> '' group by all),
 w as (select source, acct, win, min(date) as fd, max(date) as td, sum(total) as reported, sum(greatest(0, total - coalesce(tokens, 0) - coalesce(unsure, 0))) as deficits from s left join lo using (date, source, acct) left join un using (date, source) group by all),
 sp as (select source, acct, win, fd, td, strftime(unnest(generate_series(cast(fd as timestamp) - interval 1 day, cast(td as timestamp) + interval 1 day, interval 1 day)), '%Y-%m-%d') as date from w),
@@ -320,42 +284,24 @@ k as (select *, case when pending then 'pending' when deficits > gap then 'confl
 select td as date, source, acct, win, cast(reported as bigint) as reported, cast(matched as bigint) as matched, cast(uncertain as bigint) as uncertain, cast(deficits as bigint) as deficits, status, cast(case when status = 'recovered' then gap else 0 end as bigint) as recovered from k""")
 def cx_01(spark, sf_dir):
     ledger = rollup.ledger(_merged(spark, sf_dir))
-    return reconcile.reconcile(_snapshots(spark, sf_dir, SOME_MONTHS), ledger, ledger.select("date").distinct(), "1996-04-28")
-
-
-@query("cx_01_reconcile_whole", ORACLE_SQL["cx_01_reconcile"].replace(" and substr(date, 1, 7) in ('1996-03', '1996-04')", "").replace("1996-04-28", NOW[:10]))
-def cx_01_whole(spark, sf_dir):
-    ledger = rollup.ledger(_merged(spark, sf_dir))
-    return reconcile.reconcile(_snapshots(spark, sf_dir), ledger, ledger.select("date").distinct(), NOW[:10])
+    return reconcile.reconcile(_snapshots(spark, sf_dir), ledger, ledger.select("date").distinct(), "1998-06-15")
 
 
 @query("mg_16_newest_total", f"""with {MERGED}, l as (select strftime(ts, '%Y-%m-%d') as date, provider, source, acct, sum({TOK}) as tokens from m where acct_q in ('recorded', 'session', 'timeline', 'bounded') and acct <> '' group by all)
-select date, provider, source, acct, cast(tokens + case when cast(substr(date, 9, 2) as int) % 5 = 0 then 1000 else 0 end as bigint) as total_tokens, timestamp '1996-05-02' as observed_at from l where substr(date, 1, 7) in ('1996-03', '1996-04')""")
+select date, provider, source, acct, cast(tokens + case when cast(substr(date, 9, 2) as int) % 5 = 0 then 1000 else 0 end as bigint) as total_tokens, timestamp '1996-05-02' as observed_at from l""")
 def mg_16(spark, sf_dir):
-    return merge.newest(_snapshots(spark, sf_dir, SOME_MONTHS), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
+    return merge.newest(_snapshots(spark, sf_dir), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
 
 
-@query("mg_16_newest_total_whole", ORACLE_SQL["mg_16_newest_total"].replace(" where substr(date, 1, 7) in ('1996-03', '1996-04')", ""))
-def mg_16_whole(spark, sf_dir):
-    return merge.newest(_snapshots(spark, sf_dir), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
+#: Days without activity, by weight and not by leaving rows out, so that every radius occurs.
+_IDLE = "machine = 'm_0' or substr(date, 9, 2) between '10' and '25'"
 
 
-@query("cx_04_shares_by_radius", f"""with {MERGED}, ac as (select provider, date, machine, sum({TOK}) as weight from m where machine <> 'm_0' group by all), h as (select distinct provider, date from m where substr(date, 9, 2) = '15'),
+@query("cx_04_shares_by_radius", f"""with {MERGED}, ac as (select provider, date, machine, sum(case when {_IDLE} then 0 else {TOK} end) as weight from m group by all), h as (select distinct provider, date from m),
 x as (select h.provider, h.date, o.off, ac.machine, ac.weight from h cross join (select unnest(generate_series(-7, 7)) as off) o join ac on ac.provider = h.provider and ac.date = strftime(cast(h.date as timestamp) + to_days(cast(o.off as integer)), '%Y-%m-%d') where weight > 0),
 b as (select provider, date, min(abs(off)) as radius from x group by all)
 select provider, date, machine, cast(radius as integer) as radius, cast(sum(weight) as bigint) as weight from x join b using (provider, date) where (radius < 2 and abs(off) = radius) or (radius >= 2 and abs(off) <= radius) group by all""")
 def cx_04(spark, sf_dir):
-    rows = _tagged(spark, sf_dir)
-    activity = rows.where("machine <> 'm_0'").groupBy("provider", "date", "machine").agg(F.sum("tokens").alias("weight"))
-    return history.shares_by_radius(rows.where("substr(date, 9, 2) = '15'").select("provider", "date").distinct(), activity)
-
-
-#: Days without activity, by weight and not by leaving rows out, so that every radius occurs.
-_IDLE = "machine = 'm_0' or substr(date, 9, 2) between '10' and '25'"
-
-
-@query("cx_04_shares_by_radius_whole", ORACLE_SQL["cx_04_shares_by_radius"].replace(" where substr(date, 9, 2) = '15'", "").replace(f"sum({TOK}) as weight from m where machine <> 'm_0'", f"sum(case when {_IDLE} then 0 else {TOK} end) as weight from m"))
-def cx_04_whole(spark, sf_dir):
     rows = _tagged(spark, sf_dir)
     activity = rows.groupBy("provider", "date", "machine").agg(F.sum(F.when(F.expr(_IDLE), 0).otherwise(F.col("tokens"))).alias("weight"))
     return history.shares_by_radius(rows.select("provider", "date").distinct(), activity)
@@ -372,22 +318,6 @@ def cx_03(spark, sf_dir):
     return history.rates(rows)
 
 
-@query("jn_11_nearest_sample", f"""with {ACTIVITY}, s as (select provider, ts as at, min(machine) as seen from a where seq like '%7' group by all), e as (select id, provider, ts from a where seq like '%3'),
-x as (select e.id, e.provider, e.ts, s.at, s.seen, row_number() over (partition by e.id, e.ts order by abs(epoch_us(e.ts) - epoch_us(s.at)), s.at) as rn from e join s using (provider)) select id, provider, ts, seen, x."at" from x where rn = 1""")
-def jn_11(spark, sf_dir):
-    a = adapter.activity_events(spark, sf_dir)
-    samples = a.where("seq like '%7'").groupBy("provider", "ts").agg(F.min("machine").alias("seen"))
-    return asof.nearest(a.where("seq like '%3'").select("id", "provider", "ts"), samples, ["provider"], "seen")
-
-
-@query("jn_12_last_before", f"""with {ACTIVITY}, s as (select provider, ts as at, min(machine) as seen from a where seq like '%7' group by all), e as (select id, provider, ts from a where seq like '%3')
-select e.id, e.provider, e.ts, s.seen, s.at from e asof left join s on e.provider = s.provider and e.ts >= s.at""")
-def jn_12(spark, sf_dir):
-    a = adapter.activity_events(spark, sf_dir)
-    samples = a.where("seq like '%7'").groupBy("provider", "ts").agg(F.min("machine").alias("seen"))
-    return asof.last_before(a.where("seq like '%3'").select("id", "provider", "ts"), samples, ["provider"], "seen")
-
-
 def _lookups(spark, sf_dir):
     """All activity, and the samples that a poll took of all of it, each up to ten minutes later."""
     a = adapter.activity_events(spark, sf_dir)
@@ -399,15 +329,15 @@ _LOOKUPS = f"""{ACTIVITY}, s as (select provider, ts + to_seconds(cast(seq as bi
 be as (select a.id, a.provider, a.ts, s.seen, s.at from a asof left join s on a.provider = s.provider and a.ts >= s.at)"""
 
 
-@query("jn_11_nearest_sample_whole", f"""with {_LOOKUPS}, x as (select be.*, s.seen as seen_a, s.at as at_a from be asof left join s on be.provider = s.provider and be.ts < s.at),
+@query("jn_11_nearest_sample", f"""with {_LOOKUPS}, x as (select be.*, s.seen as seen_a, s.at as at_a from be asof left join s on be.provider = s.provider and be.ts < s.at),
 y as (select *, coalesce(at_a is null or epoch_us(ts) - epoch_us(x."at") <= epoch_us(at_a) - epoch_us(ts), false) as back from x)
 select id, provider, ts, case when back then seen else seen_a end as seen, case when back then y."at" else at_a end as at from y""")
-def jn_11_whole(spark, sf_dir):
+def jn_11(spark, sf_dir):
     return asof.nearest(*_lookups(spark, sf_dir), ["provider"], "seen")
 
 
-@query("jn_12_last_before_whole", f'with {_LOOKUPS} select id, provider, ts, seen, be."at" from be')
-def jn_12_whole(spark, sf_dir):
+@query("jn_12_last_before", f'with {_LOOKUPS} select id, provider, ts, seen, be."at" from be')
+def jn_12(spark, sf_dir):
     return asof.last_before(*_lookups(spark, sf_dir), ["provider"], "seen")
 
 
@@ -471,10 +401,16 @@ def cx_16(spark, sf_dir):
     return limits.accounts(limits.current(_readings(spark, sf_dir)))
 
 
-@query("fn_13_compact", f"with {MERGED}, s as (select provider, cast(sum({TOK}) as bigint) as n from m group by all) select provider, n, case when n < 1000 then cast(n as varchar) when n < 999500 then format('{{:.1f}}K', n / 1e3) when n < 999500000 then format('{{:.1f}}M', n / 1e6) when n < 999500000000 then format('{{:.1f}}B', n / 1e9) else format('{{:.1f}}T', n / 1e12) end as label from s")
+_COMPACT = "case when n <= 0 then '0' " + " ".join(
+    f"when n >= {size} * 0.9995 then concat(case when n / {size} < 100 then regexp_replace(cast(cast(floor(n * 10 / {size} + 0.5) as bigint) / 10 as varchar), '[.]0$', '') else cast(cast(floor(n / {size} + 0.5) as bigint) as varchar) end, '{mark}')"
+    for size, mark in (("1e12", "T"), ("1e9", "B"), ("1e6", "M"), ("1e3", "K"))
+) + " else cast(cast(floor(n + 0.5) as bigint) as varchar) end"
+
+
+@query("fn_13_compact", f"with {MERGED}, s as (select model, date, cast(sum({TOK}) as bigint) as n from m group by all) select model, date, n, {_COMPACT} as label from s")
 def fn_13(spark, sf_dir):
-    sums = _tagged(spark, sf_dir).groupBy("provider").agg(F.sum("tokens").cast("long").alias("n"))
-    return sums.select("provider", "n", compact(F.col("n")).alias("label"))
+    sums = _tagged(spark, sf_dir).groupBy("model", "date").agg(F.sum("tokens").cast("long").alias("n"))
+    return sums.select("model", "date", "n", compact(F.col("n")).alias("label"))
 
 
 @query("fn_03_account_hash")

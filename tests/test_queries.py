@@ -47,17 +47,17 @@ def test_query(spark, duck, name):
 
 def test_lookups_over_whole_tables(spark, duck):
     (events,) = duck.execute("select count(*) from events").fetchone()
-    for name in ("jn_11_nearest_sample_whole", "jn_12_last_before_whole"):
+    for name in ("jn_11_nearest_sample", "jn_12_last_before"):
         assert registry.QUERIES[name](spark, DIR).count() == events
 
 
 def test_history_over_whole_tables(spark):
     rows = registry.QUERIES["ag_01_day_rollup"](spark, DIR)
-    totals = registry.QUERIES["mg_16_newest_total_whole"](spark, DIR)
+    totals = registry.QUERIES["mg_16_newest_total"](spark, DIR)
     months = {r[0] for r in rows.selectExpr("substr(date, 1, 7)").distinct().collect()}
     assert len(months - {r[0] for r in totals.selectExpr("substr(date, 1, 7)").distinct().collect()}) <= 1
-    assert registry.QUERIES["cx_01_reconcile_whole"](spark, DIR).agg({"date": "max"}).first()[0] > "1998-11"
-    radii = registry.QUERIES["cx_04_shares_by_radius_whole"](spark, DIR).selectExpr("radius", "substr(date, 9, 2) as day").distinct().collect()
+    assert registry.QUERIES["cx_01_reconcile"](spark, DIR).agg({"date": "max"}).first()[0] > "1998-11"
+    radii = registry.QUERIES["cx_04_shares_by_radius"](spark, DIR).selectExpr("radius", "substr(date, 9, 2) as day").distinct().collect()
     assert len({r.day for r in radii}) > 25 and {r.radius for r in radii} == set(range(8))
 
 
