@@ -29,12 +29,25 @@ def weekly(readings: DataFrame, now: str) -> DataFrame:
 
 
 def accounts(readings: DataFrame) -> DataFrame:
-    """(provider, acct) with its session and week percentages, state and place: most left first, exhausted, unread last."""
-    pick = lambda win: F.max(F.when(F.col("win") == win, F.col("used_percent")))
-    rows = readings.groupBy("provider", "acct").agg(pick("session").alias("session_percent"), pick("week").alias("week_percent"))
-    worst = F.greatest("session_percent", "week_percent")
-    rows = rows.withColumn("state", severity(worst)).withColumn("_group", F.when(worst.isNull(), 2).when(worst >= 100, 1).otherwise(0))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("_group", worst, "provider", "acct"))).drop("_group")
+    """(provider, acct) with its session and week percentages, state, and place among its provider's accounts.
+
+    The weekly meter alone decides the place: most left first, then those with nothing left by soonest reset, then those without a
+    reading; ties by account. Percentages outside 0 to 100 are no readings.
+    """
+    used = F.when(F.col("used_percent").between(0, 100), F.col("used_percent"))
+    pick = lambda win, value: F.max(F.when(F.col("win") == win, value))
+    rows = readings.groupBy("provider", "acct").agg(pick("session", used).alias("session_percent"), pick("week", used).alias("week_percent"), pick("week", F.col("resets_at")).alias("resets_at"))
+    week = F.col("week_percent")
+    group = F.when(week.isNull(), 2).when(week >= 100, 1).otherwise(0)
+    order = Window.partitionBy("provider").orderBy(group, F.when(group == 0, week), F.when(group == 1, F.col("resets_at")).asc_nulls_last(), "acct")
+    return rows.withColumn("state", severity(F.greatest("session_percent", "week_percent"))).withColumn("place", F.row_number().over(order))
+
+
+def with_known_labels(readings: DataFrame) -> DataFrame:
+    """Readings without a label get that of their account, if all its readings name the same one, whatever its case."""
+    label = F.nullif(F.btrim("label"), F.lit(""))
+    known = readings.where(label.isNotNull() & (F.coalesce("acct", F.lit("")) != "")).groupBy("provider", "acct").agg(F.max(label).alias("_label"), F.min(F.lower(label)).alias("_a"), F.max(F.lower(label)).alias("_b")).where("_a = _b")
+    return readings.join(known.drop("_a", "_b"), ["provider", "acct"], "left").withColumn("label", F.coalesce(label, "_label", F.lit(""))).drop("_label")
 
 
 def usage_in_windows(usage: DataFrame, windows: list[tuple[str, str, str]], name: str, value) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliard.functions.metrics import heat_level
+from talliard.tables import staged
 
 
 def dates(spark, first: str, last: str, step: str = "1 day") -> DataFrame:
@@ -28,7 +29,7 @@ def series(days: DataFrame, value: Column, first: str, last: str, step: str) ->
     spine = dates(days.sparkSession, first, last, step).select(F.date_format("date", "yyyy-MM-dd").alias("bucket"))
     rows = days.where(F.col("date").between(first, last))
     found = rows.groupBy(F.date_format(F.date_trunc(unit, F.to_date("date")), "yyyy-MM-dd").alias("bucket"), "provider").agg(F.sum(value).cast("long").alias("value"))
-    every = spine.crossJoin(F.broadcast(days.select("provider").distinct()))  # a date list by five providers
+    every = days.select("provider").distinct().crossJoin(spine)  # a list of dates, beside each provider
     return every.join(found, ["bucket", "provider"], "left").select("bucket", "provider", F.coalesce("value", F.lit(0)).alias("value"))
 
 
@@ -66,9 +67,26 @@ def calendar(spark, month: str) -> DataFrame:
 
 
 def dense_aliases(rows: DataFrame, column: str, prefix: str) -> DataFrame:
-    """(value, alias) of the distinct values in order: prefix1, prefix2, ..."""
+    """(value, alias) of the distinct values in order: prefix1, prefix2, ...
+
+    Values are dealt in ranges, numbered in each, and each range begins behind the sum of those before: one row a range.
+    """
     values = rows.select(F.col(column).alias("value")).where("value <> ''").distinct()
-    return values.withColumn("alias", F.concat(F.lit(prefix), F.dense_rank().over(Window.orderBy("value")).cast("string")))
+    ranges = staged(values.repartitionByRange("value").withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = ranges.withColumn("_k", F.row_number().over(Window.partitionBy("_range").orderBy("value"))).join(sizes.select("_range", before.alias("_before")), "_range")
+    return numbered.select("value", F.concat(F.lit(prefix), (F.col("_k") + F.col("_before")).cast("string")).alias("alias"))
+
+
+def machine_scope(cells: DataFrame, machine: str, values: list[str]) -> DataFrame:
+    """One machine's part of cells (date, provider, ws, machine, model, values): models are exact where a day's provider or workspace had
+    this machine alone, else unknown and partial."""
+    alone = cells.groupBy("date", "provider", "ws").agg(F.min("machine").alias("a"), F.max("machine").alias("b"))
+    day = alone.groupBy("date", "provider").agg(F.min("a").alias("day_a"), F.max("b").alias("day_b"))
+    own = cells.where(F.col("machine") == machine).join(alone, ["date", "provider", "ws"]).join(day, ["date", "provider"])
+    partial = (F.col("a") != F.col("b")) & (F.col("day_a") != F.col("day_b"))
+    return own.groupBy("date", "provider", "ws", F.when(partial, "unknown").otherwise(F.col("model")).alias("model"), partial.alias("partial")).agg(*(F.sum(v).cast("long").alias(v) for v in values))
 
 
 def largest_remainder(rows: DataFrame, within: list[str], key: str, amount: str, weight: str) -> DataFrame:

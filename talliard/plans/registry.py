@@ -33,11 +33,21 @@ def mg_10(spark, sf_dir):
     return merge.merge_activity(adapter.activity_events(spark, sf_dir))
 
 
-@query("mg_11_prompt_upsert", f"with {PROMPTS} select id, provider, source, ts, tz_offset_min, acct, workspace, machine, session, text, model from p")
+@query("mg_11_prompt_upsert", f"""with {PROMPTS} select id, provider, case when source = 'claude-code' then 'native-claude' else source end as source, ts, tz_offset_min, workspace, machine, session, text, model,
+case when acct_q = 'recorded' then acct else 'a_late' end as acct, 'recorded' as acct_q, case when acct_q = 'recorded' then concat('name ', substr(acct, 3)) else 'late name' end as label from p""")
 def mg_11(spark, sf_dir):
+    """Each prompt once more, later: with other text and model, by the app's own channel, and of a recorded account."""
     p = adapter.prompt_records(spark, sf_dir)
-    later = p.withColumn("seq", F.concat(F.lit("9"), "seq")).withColumn("text", F.lit("a later sighting")).withColumn("model", F.when(F.col("model") == "", "").otherwise("model-late"))
-    return merge.merge_prompts(p.unionByName(later))
+    later = p.withColumns({"seq": F.concat(F.lit("9"), "seq"), "text": F.lit("a later sighting"), "model": F.when(F.col("model") == "", "").otherwise("model-late"), "acct": F.lit("a_late"), "acct_q": F.lit("recorded"), "label": F.lit("late name")})
+    return merge.merge_prompts(p.unionByName(later.withColumn("source", F.when(F.col("source") == "claude-code", "native-claude").otherwise(F.col("source")))))
+
+
+@query("mg_09_channels", f"""with {ACTIVITY} select id, case provider when 'anthropic' then 'web-claude' else source end as source, case provider when 'anthropic' then 'm_browser' else machine end as machine from am""")
+def mg_09(spark, sf_dir):
+    """Every event seen again by an app and a browser: better evidence of the client moves channel and reporter, for one provider only."""
+    a = adapter.activity_events(spark, sf_dir)
+    seen = lambda source, machine: a.where("provider = 'anthropic'").withColumns({"source": F.lit(source), "machine": F.lit(machine), "seq": F.concat(F.lit("9"), "seq")})
+    return merge.merge_activity(a.unionByName(seen("native-claude", "m_app")).unionByName(seen("web-claude", "m_browser"))).select("id", "source", "machine")
 
 
 @query("mg_14_unchanged_rows", f"with {MERGED} select id, tok_in, model from m where tok_in % 2 = 0")
@@ -107,9 +117,41 @@ def ag_09(spark, sf_dir):
     return rows.groupBy("source", F.substring("date", 1, 7).alias("month"), "acct_q").agg(F.sum("tokens").cast("long").alias("tokens"), F.count("*").alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
-@query("ag_10_prompt_counts", f"with {PROMPTS} select strftime(ts + to_minutes(tz_offset_min), '%Y-%m-%d') as date, provider, machine, model, count(*) as n, bool_and(machine <> 'unknown') as machine_known from p group by all")
+#: Machines by id and label: one archived name is a label, one stands for two machines.
+_MACHINES = "('m_0', 'desk'), ('m_1', 'm_2'), ('m_4', 'm_3'), ('m_5', 'm_3')"
+_COUNTS = f"""{PROMPTS}, ma(id, label) as (values {_MACHINES}), nm as (select id as value, id as machine_id from ma union all select label, min(id) from ma where label not in (select id from ma) group by label having count(*) = 1),
+pc as (select strftime(ts + to_minutes(tz_offset_min), '%Y-%m-%d') as date, provider, coalesce(machine_id, 'unknown') as machine, coalesce(nullif(model, ''), 'unknown') as model, count(*) as n from p left join nm on p.machine = nm.value group by all),
+co as (select *, bool_and(machine <> 'unknown') over (partition by date, provider) as complete from pc)"""
+
+
+def _counts(spark, sf_dir):
+    machines = spark.sql(f"select col1 as id, col2 as label from values {_MACHINES}")
+    return archive.counts(adapter.prompt_records(spark, sf_dir).withColumn("date", ids.local_date(F.col("ts"), F.col("tz_offset_min"))), machines)
+
+
+@query("ag_10_prompt_counts", f"with {_COUNTS} select * from co")
 def ag_10(spark, sf_dir):
-    return archive.counts(adapter.prompt_records(spark, sf_dir).withColumn("date", ids.local_date(F.col("ts"), F.col("tz_offset_min"))))
+    return _counts(spark, sf_dir)
+
+
+@query("jn_16_archive_overlay", f"""with {_COUNTS}, d as (select distinct date, provider from co union select strftime(date '2025-06-15' + to_days(cast(k as integer)), '%Y-%m-%d'), 'xai' from range(0, 60) t(k)),
+o as (select date, provider, case when complete then model end as model, complete as known, case when complete then sum(n) end as n from co where not complete or machine = 'm_1' group by date, provider, case when complete then model end, complete)
+select date, provider, model, coalesce(known, true) as known, cast(n as bigint) as n from d left join o using (date, provider)""")
+def jn_16(spark, sf_dir):
+    counted = _counts(spark, sf_dir)
+    days = views.dates(spark, "2025-06-15", "2025-08-13").select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.lit("xai").alias("provider"))
+    return archive.overlay(counted.select("date", "provider").union(days), counted, "m_1")
+
+
+@query("fi_12_capture_exclusion", f"with {PROMPTS} select id, acct from p where (provider, acct) not in (('openai', 'a_1'), ('xai', 'a_2'))")
+def fi_12(spark, sf_dir):
+    excluded = spark.sql("select col1 as provider, col2 as acct from values ('openai', 'a_1'), ('xai', 'a_2')")
+    return archive.without_accounts(adapter.prompt_records(spark, sf_dir), excluded).select("id", "acct")
+
+
+@query("st_02_months", f"with {PROMPTS}, {ACTIVITY} select strftime(ts, '%Y-%m') as month from p union select strftime(ts, '%Y-%m') from a")
+def st_02(spark, sf_dir):
+    return archive.months(adapter.prompt_records(spark, sf_dir), adapter.activity_events(spark, sf_dir))
 
 
 _FACETS = ["provider", "source", "model", "machine", "acct", "workspace"]
@@ -393,12 +435,55 @@ def fn_16(spark, sf_dir):
     return limits.weekly(limits.current(_readings(spark, sf_dir)).where("win = 'week'"), "1998-08-10 00:00:00").select("provider", "acct", "win", "used_percent", "resets_at")
 
 
-@query("cx_16_quota_accounts", f"""with {_READ}, g as (select provider, acct, max(case when win = 'session' then used_percent end) as session_percent, max(case when win = 'week' then used_percent end) as week_percent from c group by all),
-s as (select *, greatest(session_percent, week_percent) as worst from g)
-select provider, acct, session_percent, week_percent, case when worst is null then 'unread' when worst >= 100 then 'exhausted' when worst >= 90 then 'critical' when worst >= 75 then 'warning' else 'ok' end as state,
-  cast(row_number() over (order by case when worst is null then 2 when worst >= 100 then 1 else 0 end, worst, provider, acct) as integer) as place from s""")
+@query("cx_16_quota_accounts", f"""with {_READ}, n as (select timestamp '1998-08-10' as now),
+k as (select provider, acct, win, case when win = 'week' and resets_at <= now then 0.0 else used_percent end as used, case when win = 'week' and resets_at <= now then resets_at + to_days(cast(7 * (floor((epoch(now) - epoch(resets_at)) / 604800) + 1) as integer)) else resets_at end as resets_at from c cross join n),
+g as (select provider, acct, max(case when win = 'session' and used between 0 and 100 then used end) as session_percent, max(case when win = 'week' and used between 0 and 100 then used end) as week_percent, max(case when win = 'week' then resets_at end) as resets_at from k group by all),
+s as (select *, greatest(session_percent, week_percent) as worst, case when week_percent is null then 2 when week_percent >= 100 then 1 else 0 end as grp from g)
+select provider, acct, session_percent, week_percent, resets_at, case when worst is null then 'unread' when worst >= 100 then 'exhausted' when worst >= 90 then 'critical' when worst >= 75 then 'warning' else 'ok' end as state,
+  cast(row_number() over (partition by provider order by grp, case when grp = 0 then week_percent end, case when grp = 1 then resets_at end nulls last, acct) as integer) as place from s""")
 def cx_16(spark, sf_dir):
-    return limits.accounts(limits.current(_readings(spark, sf_dir)))
+    return limits.accounts(limits.weekly(limits.current(_readings(spark, sf_dir)), "1998-08-10 00:00:00"))
+
+
+@query("jn_20_known_labels", f"""with r as (select o_orderkey, o_custkey % 40 as acct, case when o_orderkey % 9 = 0 then concat(case when o_orderkey % 2 = 0 then 'U' else 'u' end, o_custkey % 40 % 30, case when o_custkey % 40 < 5 then o_orderkey % 4 end, '@x.org') else '' end as label from orders),
+k as (select acct, max(label) as label from r where label <> '' group by acct having count(distinct lower(label)) = 1)
+select o_orderkey, coalesce(nullif(r.label, ''), k.label, '') as label from r left join k using (acct)""")
+def jn_20(spark, sf_dir):
+    acct, key = F.col("o_custkey") % 40, F.col("o_orderkey")
+    name = F.concat(F.when(key % 2 == 0, "U").otherwise("u"), (acct % 30).cast("string"), F.when(acct < 5, (key % 4).cast("string")).otherwise(""), F.lit("@x.org"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.lit("openai").alias("provider"), acct.cast("string").alias("acct"), F.when(key % 9 == 0, name).otherwise("").alias("label"))
+    return limits.with_known_labels(rows).select("o_orderkey", "label")
+
+
+@query("ag_24_machine_scope", f"""with {MERGED}, ce as (select date, provider, ws, machine, model, cast(sum({TOK}) as bigint) as tokens from m group by all), al as (select date, provider, ws, count(distinct machine) as n from ce group by all),
+da as (select date, provider, count(distinct machine) as dn from ce group by all), x as (select *, n > 1 and dn > 1 as partial from ce join al using (date, provider, ws) join da using (date, provider) where machine = 'm_1')
+select date, provider, ws, case when partial then 'unknown' else model end as model, partial, cast(sum(tokens) as bigint) as tokens from x group by date, provider, ws, case when partial then 'unknown' else model end, partial""")
+def ag_24(spark, sf_dir):
+    cells = _tagged(spark, sf_dir).groupBy("date", "provider", "ws", "machine", "model").agg(F.sum("tokens").cast("long").alias("tokens"))
+    return views.machine_scope(cells, "m_1", ["tokens"])
+
+
+def _history(spark, sf_dir):
+    """Account history of every day and provider, and what machines did, with days on which nobody did anything."""
+    rows = _tagged(spark, sf_dir)
+    idle = F.expr(_IDLE)
+    tokens_ = F.when(idle | (F.col("l") % 3 == 0), 0).otherwise(F.col("tokens"))
+    places = rows.withColumn("l", F.conv(F.substring("id", 1, 6), 16, 10).cast("long")).groupBy("provider", "date", "machine").agg(F.sum(tokens_).cast("long").alias("tokens"), F.count_if(~idle).alias("prompts"))
+    days = places.groupBy("provider", "date").agg(F.floor(F.sum("prompts") / 2).cast("long").alias("missing"), (F.sum("tokens") % 10007 + 1).cast("long").alias("amount"))
+    activity = history.unlogged(places, days.select("provider", "date", "missing"))
+    countries = spark.sql("select col1 as machine, col2 as cc from values ('m_0', 'de'), ('m_1', 'FR'), ('m_2', 'DE'), ('m_3', '')")
+    return places, history.moves(days.select("provider", "date", "amount", F.col("amount").alias("zz")), activity, countries)
+
+
+@query("cx_05_history_moves")
+def cx_05(spark, sf_dir):
+    return _history(spark, sf_dir)[1]
+
+
+@query("cx_07_machine_with_history")
+def cx_07(spark, sf_dir):
+    places, moved = _history(spark, sf_dir)
+    return history.with_assigned(places.where("machine = 'm_1'").select("provider", "date", "tokens"), moved, "m_1")
 
 
 _COMPACT = "case when n <= 0 then '0' " + " ".join(

@@ -68,7 +68,8 @@ def prompt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids.event_id("prompt", provider, source, F.concat(conv.cast("string"), F.lit(":"), F.col("turn").cast("string"))).alias("id"), provider.alias("provider"), source.alias("source"),
         F.timestamp_seconds(F.lit(1_750_000_000) + conv * 3600 + F.col("turn") * 60).alias("ts"), ((conv % 3 - 1) * 480).cast("long").alias("tz_offset_min"),
         F.when(F.col("turn") % 3 == 0, "").otherwise(F.concat(F.lit("model-"), (conv % 7).cast("string"))).alias("model"),
-        F.concat(F.lit("a_"), (conv % 9).cast("string")).alias("acct"), F.concat(F.lit("m_"), (conv % 4).cast("string")).alias("machine"),
+        F.concat(F.lit("a_"), (conv % 9).cast("string")).alias("acct"), _nth(["inferred", "recorded", "timeline", "bounded"], conv % 4).alias("acct_q"), F.concat(F.lit("name "), (conv % 9).cast("string")).alias("label"),
+        F.concat(F.lit("m_"), (conv % 4).cast("string")).alias("machine"),
         F.concat(F.lit("/home/u/project-"), (conv % 6).cast("string")).alias("workspace"),
         ids.session_key(provider, conv.cast("string")).alias("session"), "text", F.concat(F.lpad(conv.cast("string"), 12, "0"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("seq"),
     )

@@ -11,8 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """df written below spark.checkpoint.dir (a temporary folder only where that is unset) and read back."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/talliard-stage"
+    """df written below spark.checkpoint.dir (a temporary folder only where that is unset, on a local master) and read back."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        base = f"file://{tempfile.gettempdir()}/talliard-stage"
     path = f"{base}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
