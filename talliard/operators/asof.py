@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _lookup(events: DataFrame, samples: DataFrame, keys: list[str], value: str, ahead: bool) -> DataFrame:
+def around(events: DataFrame, samples: DataFrame, keys: list[str], value: str, ahead: bool) -> DataFrame:
     """events' columns, _b (the last sample not later: at, value) and, if asked for, _a (the first one later)."""
     none = lambda schema, c: F.lit(None).cast(schema[c].dataType).alias(c)
     mine = events.select("id", *keys, "ts", none(samples.schema, value).alias("_v"), F.lit(1).alias("_e"))
@@ -30,14 +30,14 @@ def _lookup(events: DataFrame, samples: DataFrame, keys: list[str], value: str,
 
 def last_before(events: DataFrame, samples: DataFrame, keys: list[str], value: str) -> DataFrame:
     """events (id, keys, ts) with value and at of the last sample not later; no range join."""
-    return _lookup(events, samples, keys, value, False).select("id", *keys, "ts", f"_b.{value}", "_b.at")
+    return around(events, samples, keys, value, False).select("id", *keys, "ts", f"_b.{value}", "_b.at")
 
 
 def nearest(events: DataFrame, samples: DataFrame, keys: list[str], value: str) -> DataFrame:
     """The sample nearest in time, ties to the earlier one."""
     gap = lambda c: F.abs(F.unix_micros("ts") - F.unix_micros(F.col(f"{c}.at")))
     pick = F.when(F.col("_a").isNull() | (gap("_b") <= gap("_a")), F.col("_b")).otherwise(F.col("_a"))
-    return _lookup(events, samples, keys, value, True).withColumn("_s", pick).select("id", *keys, "ts", f"_s.{value}", "_s.at")
+    return around(events, samples, keys, value, True).withColumn("_s", pick).select("id", *keys, "ts", f"_s.{value}", "_s.at")
 
 
 def intervals(records: DataFrame, keys: list[str], value: str) -> DataFrame:
