@@ -7,10 +7,14 @@ from talliard.functions.metrics import heat_level
 from talliard.tables import staged
 
 
+def _sequence(first: str, last: str, step: str) -> str:
+    start = {"1 day": f"date'{first}'", "1 week": f"cast(date_trunc('week', date'{first}') as date)", "1 month": f"trunc(date'{first}', 'month')"}[step]
+    return f"explode(sequence({start}, date'{last}', interval {step})) as date"
+
+
 def dates(spark, first: str, last: str, step: str = "1 day") -> DataFrame:
     """(date) from first to last; monday-based weeks and months when the step says so."""
-    start = {"1 day": f"date'{first}'", "1 week": f"cast(date_trunc('week', date'{first}') as date)", "1 month": f"trunc(date'{first}', 'month')"}[step]
-    return spark.sql(f"select explode(sequence({start}, date'{last}', interval {step})) as date")
+    return spark.sql(f"select {_sequence(first, last, step)}")
 
 
 def period_summary(days: DataFrame, value: Column, first: str, last: str) -> DataFrame:
@@ -26,10 +30,9 @@ def period_summary(days: DataFrame, value: Column, first: str, last: str) -> Dat
 def series(days: DataFrame, value: Column, first: str, last: str, step: str) -> DataFrame:
     """(bucket, provider, value) for each bucket, zero where nothing was; weeks begin on Monday."""
     unit = step.split()[1]
-    spine = dates(days.sparkSession, first, last, step).select(F.date_format("date", "yyyy-MM-dd").alias("bucket"))
     rows = days.where(F.col("date").between(first, last))
     found = rows.groupBy(F.date_format(F.date_trunc(unit, F.to_date("date")), "yyyy-MM-dd").alias("bucket"), "provider").agg(F.sum(value).cast("long").alias("value"))
-    every = days.select("provider").distinct().crossJoin(spine)  # a list of dates, beside each provider
+    every = days.select("provider").distinct().selectExpr("provider", _sequence(first, last, step)).select("provider", F.date_format("date", "yyyy-MM-dd").alias("bucket"))
     return every.join(found, ["bucket", "provider"], "left").select("bucket", "provider", F.coalesce("value", F.lit(0)).alias("value"))
 
 
