@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL."""
 
-from talliard.llm import block_dedup, decontaminate, jaccard_join, line_dedup, merkle, mixing, oracle, pii, quality, suffix_dedup, token_files, url_filter
+from talliard.llm import block_dedup, decontaminate, jaccard_join, line_dedup, merkle, mixing, oracle, pii, quality, resample, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_token_files": token_files.op8,
     "op9_url_filters": url_filter.op9,
     "op10_mixing": mixing.op10,
+    "op11_importance_resampling": resample.op11,
     "op13_merkle_manifest": merkle.op13,
 }
 ORACLE_SQL = {
