@@ -1,6 +1,6 @@
 """The corpus operators' queries and their SQL."""
 
-from talliard.llm import block_dedup, decontaminate, jaccard_join, line_dedup, merkle, mixing, oracle, pii, quality, resample, suffix_dedup, token_files, url_filter
+from talliard.llm import block_dedup, decontaminate, embedding_dedup, jaccard_join, line_dedup, merkle, mixing, oracle, pii, quality, resample, suffix_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_url_filters": url_filter.op9,
     "op10_mixing": mixing.op10,
     "op11_importance_resampling": resample.op11,
+    "op12_embedding_dedup": embedding_dedup.op12,
     "op13_merkle_manifest": merkle.op13,
 }
 ORACLE_SQL = {
