@@ -22,16 +22,20 @@ import hashlib
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from talliard.llm.common import parts, stored
+from talliard.llm.common import stored
+from talliard.llm.ranks import placed
 from talliard.tables import table
 
 FANOUT = 16
 #: Levels and leaves of a block.
 HEIGHT = 2
 BLOCK = FANOUT**HEIGHT
+#: Blocks whose trees a task has in memory.
+AT_ONCE = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Of the key's crc32, so that the query tampers with one row in TAMPERED.
 TAMPERED = 5
@@ -88,41 +92,6 @@ def folded(node: str, path: list[str]) -> str:
     return node
 
 
-def _numbered(batches):
-    """Rows with their partition and their number among the rows of their group in it."""
-    from pyspark import TaskContext
-
-    import numpy as np
-
-    part, last, n = TaskContext.get().partitionId(), None, 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        groups = batch.column(batch.schema.get_field_index("grp"))
-        codes = groups.dictionary_encode()
-        idx = codes.indices.to_numpy(zero_copy_only=False)
-        first = np.concatenate(([0], np.flatnonzero(np.diff(idx)) + 1))
-        size = np.diff(np.concatenate((first, [len(idx)])))
-        k = np.arange(len(idx)) - np.repeat(first, size)
-        if groups[0].as_py() == last:
-            k[: size[0]] += n
-        last, n = groups[len(idx) - 1].as_py(), int(k[-1]) + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(idx), part), pa.int32()), pa.array(k, pa.int64())], [*batch.schema.names, "part", "k"])
-
-
-def _placed(df: DataFrame, *order: Column) -> DataFrame:
-    """df (with grp) and pos, each row's place in its group by order, in runs of consecutive places. Equal rows are spread."""
-    n = parts(df.sparkSession)
-    spread = F.monotonically_increasing_id()
-    ranged = df.withColumn("spread", spread).repartitionByRange(n, F.asc("grp"), *order, "spread").sortWithinPartitions("grp", *order).drop("spread")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    numbered = stored(ranged.mapInArrow(_numbered, f"{fields}, part int, k long"))
-    before = Window.partitionBy("grp").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = numbered.groupBy("grp", "part").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(before))
-    carried = counts.where("before is not null").select("grp", "part", "before")  # one row a partition at most
-    return numbered.join(F.broadcast(carried), ["grp", "part"], "left").withColumn("pos", F.col("k") + F.coalesce("before", F.lit(0))).drop("part", "k", "before")
-
-
 def _pieces(schema: pa.Schema):
     """Runs of consecutive leaves of a block, as one row each; a run that ends with its batch waits for the next one."""
 
@@ -163,8 +132,7 @@ def _flat(a) -> pa.Array:
 def _blocks(placed: DataFrame) -> DataFrame:
     """(grp, block, keys, leaves, others): a row for each block of BLOCK leaves or the last ones of a group."""
     fields = placed.select("key", "leaf", "other").schema
-    to_arrow = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    schema = pa.schema([(f.name, to_arrow[f.dataType.typeName() if f.dataType.typeName() != "integer" else "int"]) for f in fields])
+    schema = to_arrow_schema(fields)
     ddl = "grp string, block long, at long, " + ", ".join(f"{f.name} array<{f.dataType.simpleString()}>" for f in fields)
     pieces = stored(placed.select("grp", "pos", "key", "leaf", "other").mapInArrow(_pieces(schema), ddl))
     whole = pieces.where(F.size("leaf") == BLOCK)
@@ -173,15 +141,26 @@ def _blocks(placed: DataFrame) -> DataFrame:
     return stored(whole.select("grp", "block", "key", "leaf", "other").unionByName(joined))
 
 
-def _roots(batches):
+def _slices(batches):
+    """A few blocks at a time."""
     for batch in batches:
-        nodes = [_tree(leaves, _levels(block, len(leaves)))[-1][0] for block, leaves in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        for k in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(k, AT_ONCE)
+
+
+def _grown(block: int, leaves: list[bytes]) -> list[list[str]]:
+    return _tree([x.hex() for x in leaves], _levels(block, len(leaves)))
+
+
+def _roots(batches):
+    for batch in _slices(batches):
+        nodes = [_grown(block, leaves)[-1][0] for block, leaves in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.string())], ["grp", "pos", "node"])
 
 
 def _climbed(batches):
     """For each block of nodes its root, and the nodes' paths to it."""
-    for batch in batches:
+    for batch in _slices(batches):
         roots, paths = [], []
         for block, nodes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             tree = _tree(nodes, _levels(block, len(nodes)))
@@ -214,11 +193,11 @@ def manifest(docs: DataFrame, key: str = "doc_id", group: str = "source", fields
     other = leaf([(changed or {}).get(f, q(f)) for f in fields]) if changed else F.lit(None).cast("string")
     # groups in the order of their bytes, null first
     grp = F.coalesce(F.concat(F.lit("="), q(group).cast("string")), F.lit(""))
-    leaves = stored(docs.select(grp.alias("grp"), q(key).alias("key"), first.alias("leaf"), other.alias("other")))
-    blocks = _blocks(_placed(leaves, F.asc_nulls_first("key"), F.asc("leaf")))
+    leaves = stored(docs.select(grp.alias("grp"), q(key).alias("key"), F.unhex(first).alias("leaf"), F.unhex(other).alias("other")))
+    blocks = _blocks(placed(leaves, F.asc_nulls_first("key"), F.asc("leaf")))
     roots = stored(blocks.select("grp", "block", "leaf").mapInArrow(_roots, "grp string, pos long, node string"))
     subroots, within = _climb(roots)
-    named = stored(_placed(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "node"), F.asc("name")))
+    named = stored(placed(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("name"), "node"), F.asc("name")))
     tops, above = _climb(named.select("grp", "pos", "node"))
     root = tops.head(1)
     sources = named.select("name", "pos", F.col("node").alias("subroot")).join(above.select("pos", F.col("path").alias("above")), "pos").drop("pos")
@@ -230,16 +209,17 @@ def _proofs(root: str | None, digest: bool):
     """Rows of blocks, with the siblings on the way to the root or a digest of them and the root that the other leaf leads to."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             block, keys, leaves, others, above, subroot = (batch.column(k) for k in range(6))
-            out = []
-            for b, own, other, path in zip(block.to_pylist(), leaves.to_pylist(), others.to_pylist(), above.to_pylist(), strict=True):
-                tree = _tree(own, _levels(b, len(own)))
-                for k, node in enumerate(own):
+            first, of, out = [], [], []
+            for n, (b, own, other, path) in enumerate(zip(block.to_pylist(), leaves.to_pylist(), others.to_pylist(), above.to_pylist(), strict=True)):
+                tree = _grown(b, own)
+                first += tree[0]
+                of += [n] * len(own)
+                for k, node in enumerate(tree[0]):
                     proof = _path(tree, k) + path
-                    out.append((_hash(proof), folded(other[k] or node, proof)) if digest else proof)
-            of = pa.array([k for k, x in enumerate(leaves.to_pylist()) for _ in x], pa.int64())
-            columns = [keys.flatten(), leaves.flatten(), subroot.take(of), pa.array([root] * len(of), pa.string())]
+                    out.append((_hash(proof), folded(other[k].hex() if other[k] else node, proof)) if digest else proof)
+            columns = [keys.flatten(), pa.array(first, pa.string()), subroot.take(pa.array(of, pa.int64())), pa.array([root] * len(of), pa.string())]
             if digest:
                 proof, led = zip(*out, strict=True) if out else ((), ())
                 columns += [pa.array(proof, pa.string()), pa.array(led, pa.string()), pa.array([x == root for x in led], pa.bool_())]
