@@ -60,3 +60,69 @@ r as (select doc_id, count(*) as n_lines, count(*) filter (where why = 'equal')
 select doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_equal, 0) as bigint) as n_equal, cast(coalesce(n_near, 0) as bigint) as n_near, coalesce(removed, '') as removed
 from documents left join r using (doc_id)
 """
+
+_CRC_TABLE = "(select list(c order by i) as crc_table from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c from (select unnest(range(256)) as i)))"
+
+
+def _crc(t: str) -> str:
+    """The crc32 of a text, byte by byte through a table of 256 remainders."""
+    b = f"list_transform(range(0, octet_length(encode({t})), 1), lambda k: cast('0x' || hex(encode({t}))[2 * k + 1:2 * k + 2] as bigint))"
+    return f"xor(list_reduce(list_concat([4294967295], {b}), lambda c, x: xor(c >> 8, crc_table[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def _leaf(text: str) -> str:
+    field = lambda v: f"coalesce(octet_length(encode(cast({v} as varchar))) || ':' || {v}, '-')"
+    return "sha256(" + " || ".join(field(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP13 = f"""
+with recursive leaves as (select source, doc_id, {_leaf('text')} as leaf,
+    case when {_crc('cast(doc_id as varchar)')} % 5 = 0 then {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} else {_leaf('text')} end as other from documents, {_CRC_TABLE}),
+places as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by source) as n from leaves),
+lv as (select source, 0 as lvl, pos, leaf as h, n from places
+  union all select source, lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from lv where n > 1 group by source, lvl, pos // 16, n),
+subs as (select source, h as subroot, row_number() over (order by encode(source) nulls first) - 1 as pos, count(*) over () as n from lv where n = 1),
+top as (select 0 as lvl, pos, subroot as h, n from subs
+  union all select lvl + 1, pos // 16, sha256(string_agg(h, '' order by pos)), (n + 15) // 16 from top where n > 1 group by lvl, pos // 16, n),
+steps as (
+  select p.source, p.doc_id, p.pos as leaf_pos, a.lvl as step, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), '') as l, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '') as r
+  from places p join lv a on a.source is not distinct from p.source and a.n > 1 and a.pos = p.pos // (16 ** a.lvl)::bigint
+    join lv b on b.source is not distinct from a.source and b.lvl = a.lvl and b.pos // 16 = a.pos // 16 group by all
+  union all
+  select p.source, p.doc_id, p.pos, 100 + a.lvl, coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos < a.pos), ''), coalesce(string_agg(b.h, '' order by b.pos) filter (where b.pos > a.pos), '')
+  from places p join subs s on s.source is not distinct from p.source join top a on a.n > 1 and a.pos = s.pos // (16 ** a.lvl)::bigint
+    join top b on b.lvl = a.lvl and b.pos // 16 = a.pos // 16 group by all),
+ordered as (select *, row_number() over (partition by source, leaf_pos order by step) as k from steps),
+fold as (select source, pos, 0::bigint as k, other as h from places
+  union all select f.source, f.pos, o.k, sha256(o.l || f.h || o.r) from fold f join ordered o on o.source is not distinct from f.source and o.leaf_pos = f.pos and o.k = f.k + 1),
+proof as (select source, leaf_pos, sha256(string_agg(l || r, '' order by k)) as proof_sha256, max(k) as k from ordered group by all),
+root as (select h as root from top where n = 1)
+select p.doc_id, p.leaf, s.subroot, root, coalesce(q.proof_sha256, sha256('')) as proof_sha256, f.h as folded_root, f.h = root as verified
+from places p join subs s on s.source is not distinct from p.source cross join root
+  left join proof q on q.source is not distinct from p.source and q.leaf_pos = p.pos
+  join fold f on f.source is not distinct from p.source and f.pos = p.pos and f.k = coalesce(q.k, 0)
+"""
+
+OP11 = f"""
+with d as (select doc_id, {_FOLDED} as w from documents), it as (select unnest({_FOLDED}) as w from benchmark),
+dw as (select row, doc_id, unnest(w) as w from (select *, row_number() over () as row from d)),
+known as (select w, {_crc('w')} % 10000 as bucket from (select w from dw union select w from it), {_CRC_TABLE}),
+s as (select bucket, count(*) as s from dw join known using (w) group by bucket), t as (select bucket, count(*) as t from it join known using (w) group by bucket),
+totals as (select (select count(*) from dw) as ss, (select count(*) from it) as tt),
+gain as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * (ss + 10000)::double / ((coalesce(s, 0) + 1)::double * (tt + 10000)::double))) as gain from s full join t using (bucket) cross join totals),
+weights as (select row, count(*) as n, cast(floor(sum(gain) / count(*)) as bigint) as weight from dw join known using (w) join gain using (bucket) group by row),
+noise as (select *, cast(('0x' || substr(sha256('2024:' || coalesce(cast(doc_id as varchar), '')), 1, 8)) as bigint) as h from (select doc_id, row_number() over () as row from d)),
+scored as (select doc_id, coalesce(n, 0) as n_features, coalesce(weight, 0) as weight, coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296::double))) as bigint) as score from noise left join weights using (row)),
+ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls first) as r, count(*) filter (where n_features >= 20) over () as long from scored)
+select doc_id, cast(n_features as bigint) as n_features, weight, score, case when n_features >= 20 and r <= 10 * long // 100 then r end as rank from ranked
+"""
+
+OP12 = """
+with recursive v as (select row_number() over () as row, vec_id, cast(embedding as double[]) as e from embeddings),
+ok as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is not null and isfinite(x))) = len(e) and len(list_filter(e, lambda x: x <> 0)) > 0),
+links as (select a.row as a, b.row as b, b.vec_id from ok a join ok b on a.row <> b.row and list_cosine_similarity(a.e, b.e) >= 0.9),
+reach as (select row, row as at, vec_id from v union select r.row, l.b, l.vec_id from reach r join links l on l.a = r.at),
+found as (select row, min(vec_id) as component_id from reach group by row),
+counts as (select a as row, count(*) as n from links group by a)
+select vec_id, cast(coalesce(n, 0) as bigint) as n_links, component_id, vec_id is not distinct from component_id as kept from v join found using (row) left join counts using (row)
+"""

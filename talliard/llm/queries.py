@@ -24,4 +24,7 @@ ORACLE_SQL = {
     "op6_block_dedup": oracle.OP6,
     "op7_line_dedup": oracle.OP7,
     "op9_url_filters": url_filter.OP9_SQL,
+    "op11_importance_resampling": oracle.OP11,
+    "op12_embedding_dedup": oracle.OP12,
+    "op13_merkle_manifest": oracle.OP13,
 }
