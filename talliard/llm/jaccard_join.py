@@ -54,16 +54,19 @@ GROUP = 4096
 LEAF_BYTES = 24 << 20
 #: Pivots of a region, and sets of a region in which all are compared.
 PIVOTS, LEAF = 16, 128
+#: Bits of a set's digest that its keys carry. Sets that share them are told apart by their numbers from then on.
 TAG_BITS = 48
+#: Bytes of text of a bucket at most, on average.
+BUCKET_BYTES = 16 << 20
 _SENT = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("tags", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("sizes", pa.binary()), ("nodes", pa.binary()), ("sketches", pa.list_(pa.binary()))])
 _SENT_DDL = "bucket int, keys binary, tags binary, docs binary, rows binary, sizes binary, nodes binary, sketches array<binary>"
 _MET = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("sketch", pa.binary()), ("tag", pa.int64()), ("group", pa.int64())])
 _MET_DDL = "doc long, row long, n long, node binary, sketch binary, tag long, group long"
 
 
-def _tags(nodes: bytes) -> np.ndarray:
-    """A node's first TAG_BITS bits; 0 where a text has no set."""
-    return np.frombuffer(nodes, np.uint64)[::2] >> np.uint64(64 - TAG_BITS)
+def _tags(nodes: bytes, bits: int) -> np.ndarray:
+    """A node's first bits; 0 where a text has no set."""
+    return np.frombuffer(nodes, np.uint64)[::2] >> np.uint64(64 - bits)
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -82,7 +85,7 @@ def _slices(sizes: list[int], most: int):
         yield start, len(sizes)
 
 
-def _describe(buckets: int, shingle: int, percent: int):
+def _describe(buckets: int, shingle: int, percent: int, bits: int):
     """For each document its node and sketch; for each node that is new in the task, its keys, by buckets."""
 
     def run(batches):
@@ -94,7 +97,7 @@ def _describe(buckets: int, shingle: int, percent: int):
         def sent():
             k, t = np.concatenate(keys), np.concatenate(tags)
             by_bucket = C.by_target((k % np.uint64(buckets)).astype(np.int64), [k, t])
-            return [(b, k.tobytes(), C.planes(t)[: TAG_BITS // 8 * len(t)], None, None, None, None, None) for b, (k, t) in by_bucket]
+            return [(b, k.tobytes(), C.planes(t)[: -(-bits // 8) * len(t)], None, None, None, None, None) for b, (k, t) in by_bucket]
 
         for batch in batches:
             content = batch.column(2)
@@ -115,7 +118,7 @@ def _describe(buckets: int, shingle: int, percent: int):
                 if fresh:
                     of, found = S.part_keys(np.concatenate([sets[k] for k in fresh]), n[fresh], percent)
                     keys.append(found)
-                    tags.append(_tags(b"".join(nodes[k] for k in fresh))[of])
+                    tags.append(_tags(b"".join(nodes[k] for k in fresh), bits)[of])
                     held += len(found)
                 if held >= SEND_KEYS:
                     rows += sent()
@@ -127,16 +130,16 @@ def _describe(buckets: int, shingle: int, percent: int):
     return run
 
 
-def _meet(t: pa.Table) -> pa.Table:
+def _meet(t: pa.Table, bits: int) -> pa.Table:
     """Documents as rows, and the members of groups: keys of two nodes or more, those with the same members as one."""
     out = []
     for docs, rows, sizes, nodes, sketches in zip(*(t[c].to_pylist() for c in ("docs", "rows", "sizes", "nodes", "sketches")), strict=True):
         if docs is not None:
             docs, rows, sizes = (np.frombuffer(x, np.int64) for x in (docs, rows, sizes))
             nodes_of = [nodes[k * 16 : k * 16 + 16] for k in range(len(docs))]
-            out.append(pa.Table.from_arrays([pa.array(docs), pa.array(rows), pa.array(sizes), pa.array(nodes_of, pa.binary()), pa.array(sketches, pa.binary()), pa.array(_tags(nodes).view(np.int64)), pa.nulls(len(docs), pa.int64())], schema=_MET))
+            out.append(pa.Table.from_arrays([pa.array(docs), pa.array(rows), pa.array(sizes), pa.array(nodes_of, pa.binary()), pa.array(sketches, pa.binary()), pa.array(_tags(nodes, bits).view(np.int64)), pa.nulls(len(docs), pa.int64())], schema=_MET))
     keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in t["keys"].to_pylist() if k)])
-    tags = np.concatenate([np.zeros(0, np.uint64), *(C.from_planes(k + bytes(len(k) // (TAG_BITS // 8) * (8 - TAG_BITS // 8)), "u8") for k in t["tags"].to_pylist() if k)])
+    tags = np.concatenate([np.zeros(0, np.uint64), *(C.from_planes(k + bytes(len(k) // -(-bits // 8) * (8 - -(-bits // 8))), "u8") for k in t["tags"].to_pylist() if k)])
     order = np.lexsort((tags, keys))
     keys, tags = keys[order], tags[order]
     new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])))[: len(keys)]
@@ -158,7 +161,7 @@ def _balls(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         group, sketches = t["group"].to_numpy(), t["sketch"].to_pylist()
-        tags, node = np.unique(t["tag"].to_numpy(), return_inverse=True)
+        tags, node = np.unique(t["id"].to_numpy(), return_inverse=True)
         n, joined = t["n"].to_numpy(), list(range(len(tags)))
         order = np.argsort(group, kind="stable")
 
@@ -192,7 +195,7 @@ def _balls(percent: int):
 
 
 def _sets(shingle: int):
-    """(tag, cells, elements) of texts, each once in a task."""
+    """(id, cells, elements) of the nodes that rows of texts are wanted for, each once in a task; a row's hash may be another text's too."""
 
     def run(batches):
         known, seen = S.WordHashes(), set()
@@ -202,11 +205,12 @@ def _sets(shingle: int):
                 found = {}
                 for k, text in enumerate(content.slice(a, z - a).to_pylist(), a):
                     s = S.shingle_set(text, known, shingle)
-                    if len(s) and (node := _digest(s)) not in seen:
+                    node = batch.column(2)[k].as_py()
+                    if node not in seen and _digest(s) == node:
                         seen.add(node)
-                        found[node] = k, s
-                tags, cells = _tags(b"".join(found)).view(np.int64), batch.column(1).take(pa.array([k for k, _ in found.values()], pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(tags), cells, pa.array([s.tobytes() for _, s in found.values()], pa.binary())], ["tag", "cells", "elements"])
+                        found[k] = s
+                at = pa.array(list(found), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(3).take(at), pa.array([s.tobytes() for s in found.values()], pa.binary())], ["id", "cells", "elements"])
 
     return run
 
@@ -260,7 +264,7 @@ def _join(percent: int):
     """Links (a, b) within each region (cell), as trees; side tells the two blocks of a pair apart."""
 
     def run(t: pa.Table) -> pa.Table:
-        cells, tags, side, elements = t["cell"].to_numpy(), t["tag"].to_numpy(), t["side"].to_numpy(), t["elements"].to_pylist()
+        cells, tags, side, elements = t["cell"].to_numpy(), t["id"].to_numpy(), t["side"].to_numpy(), t["elements"].to_pylist()
         order = np.lexsort((tags, cells))
         cells, tags = cells[order], tags[order]
         cuts = np.flatnonzero(np.diff(cells)) + 1
@@ -291,8 +295,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _families(members: DataFrame, nodes: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """(tag, family) of the nodes that may have a partner."""
-    members = members.distinct()
+    """(id, family) of the nodes that may have a partner. Members come by tag; nodes that share one are a group besides."""
+    twins = nodes.groupBy("tag").agg(F.count("*").alias("c")).where("c > 1")
+    members = members.distinct().unionByName(twins.select(F.xxhash64(F.lit("twins"), "tag").alias("group"), "tag"))
     size = members.groupBy("group").agg(F.count("*").alias("size"))
     large = stored(size.where(F.col("size") > GROUP))
     block = members.join(small(large), "group", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / GROUP), F.lit(1)).cast("int"))
@@ -300,41 +305,42 @@ def _families(members: DataFrame, nodes: DataFrame, percent: int, buckets: int)
     cut = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn(
         "group", F.when(F.col("blocks") == 1, F.col("group")).otherwise(F.xxhash64("group", F.least(own, "other"), F.greatest(own, "other")))
     )
-    described = cut.select("group", "tag").join(nodes.select("tag", "n", "sketch"), "tag")
+    described = cut.select("group", "tag").join(nodes.select("tag", "id", "n", "sketch"), "tag").drop("tag")
     edges = stored(described.groupBy(F.pmod("group", F.lit(4 * buckets)).alias("bucket")).applyInArrow(lambda t: _balls(percent)(t), "a long, b long").distinct())
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("least", F.col("node"))
-    return components(ends, edges).select(F.col("node").alias("tag"), F.col("least").alias("family"))
+    return components(ends, edges).select(F.col("node").alias("id"), F.col("least").alias("family"))
 
 
 def _cells(families: DataFrame) -> DataFrame:
-    """families (row, tag, family, n) with cell and side, a row for each task that sees the node."""
+    """families (row, id, node, family, n) with cell and side, a row for each task that sees the node."""
     sizes = families.groupBy("family").agg(F.sum("n").alias("elements"))
     large = small(stored(sizes.where(F.col("elements") * 8 > LEAF_BYTES)))
     block = families.join(large, "family", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("elements") * 16 / LEAF_BYTES), F.lit(1)).cast("int"))
-    own = F.pmod(F.xxhash64("tag"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     other = block.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     cell = F.when(F.col("blocks") == 1, F.col("family")).otherwise(F.xxhash64("family", F.least(own, "other"), F.greatest(own, "other")))
     # the pair of a block with itself compares all within, other pairs only what is of different blocks
     side = F.when(own == F.col("other"), 0).when(own < F.col("other"), 1).otherwise(2)
-    return other.select("row", cell.alias("cell"), side.alias("side"))
+    return other.select("row", "id", "node", cell.alias("cell"), side.alias("side"))
 
 
 def _linked(docs: DataFrame, text: str, shingle: int, percent: int, label) -> tuple[DataFrame, DataFrame]:
     """Rows of documents (doc, row, n, node), and (node, least) of the nodes with links or several rows; label: of a row's node at."""
-    buckets = parts(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NO_ID)).alias("doc"), F.xxhash64("doc_id", text).alias("row"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("content"))
-    met = stored(rows.mapInArrow(_describe(buckets, shingle, percent), _SENT_DDL).groupBy("bucket").applyInArrow(lambda t: _meet(t), _MET_DDL))
+    buckets, bits = max(parts(docs.sparkSession), -(-(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0) // BUCKET_BYTES)), TAG_BITS
+    met = stored(rows.mapInArrow(_describe(buckets, shingle, percent, bits), _SENT_DDL).groupBy("bucket").applyInArrow(lambda t: _meet(t, bits), _MET_DDL))
     described = met.where("group is null").select("doc", "row", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"), "tag", "sketch")
-    nodes = stored(described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("at"), F.count("*").alias("rows"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.max("sketch").alias("sketch")).select("node", "tag", "n", "sketch", "rows", label.alias("least"), "at.row"))
+    one = described.where("n > 0").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("at"), F.count("*").alias("rows"), F.first("tag").alias("tag"), F.first("n").alias("n"), F.max("sketch").alias("sketch"))
+    nodes = stored(one.select(F.monotonically_increasing_id().alias("id"), "node", "tag", "n", "sketch", "rows", label.alias("least"), "at.row"))
     families = _families(met.where("group is not null").select("group", "tag"), nodes, percent, buckets)
-    placed = stored(families.join(nodes.select("tag", "n", "row"), "tag"))
-    wanted = stored(_cells(placed).groupBy("row").agg(F.collect_set(F.struct("cell", "side")).alias("cells")))
-    sets = rows.join(small(wanted), "row").select("content", "cells").mapInArrow(_sets(shingle), "tag long, cells array<struct<cell:bigint,side:int>>, elements binary")
-    held = sets.select("tag", F.explode("cells").alias("c"), "elements").select("tag", "c.*", "elements").groupBy(F.pmod(F.xxhash64("cell"), F.lit(4 * buckets)).alias("bucket"))
+    placed = stored(families.join(nodes.select("id", "node", "n", "row"), "id"))
+    wanted = stored(_cells(placed).groupBy("row", "id", "node").agg(F.collect_set(F.struct("cell", "side")).alias("cells")))
+    sets = rows.join(small(wanted), "row").select("content", "id", "node", "cells").mapInArrow(_sets(shingle), "id long, cells array<struct<cell:bigint,side:int>>, elements binary")
+    held = sets.select("id", F.explode("cells").alias("c"), "elements").select("id", "c.*", "elements").groupBy(F.pmod(F.xxhash64("cell"), F.lit(4 * buckets)).alias("bucket"))
     links = stored(held.applyInArrow(lambda t: _join(percent)(t), "a long, b long"))
-    ends = links.select(F.explode(F.array("a", "b")).alias("tag")).distinct().join(nodes.select("tag", "least"), "tag").groupBy("tag").agg(F.min("least").alias("least"))
-    state = components(ends.select(F.col("tag").alias("node"), "least"), links).select(F.col("node").alias("tag"), F.col("least").alias("reached"))
-    joined = nodes.select("node", "tag", "least", "rows").join(state, "tag", "left").where("rows > 1 or reached is not null")
+    ends = links.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "least"), "id")
+    state = components(ends.select(F.col("id").alias("node"), "least"), links).select(F.col("node").alias("id"), F.col("least").alias("reached"))
+    joined = nodes.select("node", "id", "least", "rows").join(state, "id", "left").where("rows > 1 or reached is not null")
     return described.select("doc", "row", "n", "node"), stored(joined.select("node", F.coalesce("reached", "least").alias("least")))
 
 

@@ -162,7 +162,7 @@ def brute_classes(rows, shingle, percent):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
-@pytest.mark.parametrize(("shingle", "percent", "bounds"), [(3, 90, {}), (5, 80, {}), (3, 90, {"GROUP": 8, "LEAF_BYTES": 20_000, "LEAF": 4}), (5, 80, {"GROUP": 5, "LEAF_BYTES": 9_000, "LEAF": 2, "PIVOTS": 3, "BROADCAST_ROWS": 0})])
+@pytest.mark.parametrize(("shingle", "percent", "bounds"), [(3, 90, {}), (5, 80, {}), (3, 90, {"GROUP": 8, "LEAF_BYTES": 20_000, "LEAF": 4}), (5, 80, {"GROUP": 5, "LEAF_BYTES": 9_000, "LEAF": 2, "PIVOTS": 3, "BROADCAST_ROWS": 0}), (3, 90, {"TAG_BITS": 8}), (5, 80, {"TAG_BITS": 2, "GROUP": 8})])
 def test_jaccard_join(docs, rows, shingle, percent, bounds, monkeypatch):
     for name, value in bounds.items():
         monkeypatch.setattr(common if name == "BROADCAST_ROWS" else jaccard_join, name, value)
