@@ -85,7 +85,7 @@ def _sized(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
     rows = rows.withColumn("size", n_words(names[text]))
     goal = targets(rows.select(F.col(source).alias("source"), "size"))
     near = rows.join(goal, F.col(source).eqNullSafe(F.col("source"))).drop("source")
-    near = near.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), doc_id), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)))
+    near = near.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), doc_id, names[text]), F.ceil((F.col("source_size") + 1) / SHARD_WORDS)))
     shards = near.groupBy("ord", "shard", "source_size", "target", "block").agg(F.sum("size").alias("words"))
     shards = shards.withColumn("n_blocks", F.when(F.col("words") > 0, F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")))).otherwise(0).cast("long"))
     wanted = shards.groupBy("ord", "block").agg(F.sum("n_blocks").alias("all_blocks"), F.max(F.struct("target", "source_size")).alias("t")).selectExpr("ord", "block", "all_blocks", "if(t.source_size > 0, t.target / t.source_size * all_blocks, 0D) as share")
@@ -93,7 +93,7 @@ def _sized(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
     dealt = sainte_lague(wanted, ["block"], "ord", "share", "_seats", "_blocks").selectExpr("ord", f"least(_blocks, {EPOCHS} * all_blocks) as source_blocks")
     quota = sainte_lague(shards.join(dealt, "ord"), ["ord"], "shard", "n_blocks", "source_blocks", "quota")
     quota = quota.select("ord", "shard", "words", "n_blocks", "quota").where("n_blocks > 0")
-    order = Window.partitionBy("ord", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), doc_id), doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("ord", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), doc_id, names[text]), doc_id, "size").rowsBetween(Window.unboundedPreceding, -1)
     found = (
         near.withColumn("first_word", F.coalesce(F.sum("size").over(order), F.lit(0)))
         .join(quota, ["ord", "shard"], "left")

@@ -7,12 +7,13 @@ rejected. Apart from that stand the base counts: words, symbols, repeated lines,
 found more than once.
 
 Repeated windows are found within the row: windows are packed as hash bits and position into one long, sorted, and
-neighbours compared. Equal hashes are compared by their words too; where hashes collide, the row's windows are
-compared as texts instead, so the count is exact.
+neighbours compared. Equal hashes are compared by their words too; where hashes collide, as they do in texts of millions
+of words, the windows with equal hashes are sorted by their words instead. So the count is exact, and the time n log n.
 
 Null and empty texts have zero counts, are base_failed and not kept. Ties, repeated rows and extra columns do not
 matter, as each row is judged by itself; columns whose names clash with a result are replaced. An empty table
-gives an empty result.
+gives an empty result. A text of any length is one row's work: its words and windows are in memory, some hundred bytes
+each.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,9 +56,10 @@ def _line_passes(line: str) -> str:
 
 _SAME = "get(_words, cast({a} as int)) = get(_words, cast({b} as int))"
 _EQUAL = " and ".join(f"get(_words, cast((x & _mask) + {i} as int)) = get(_words, cast((get(_dup, j - 1) & _mask) + {i} as int))" for i in range(3))
-_EXACT = """aggregate(transform(filter(sequence(0, n_words - 3), i -> size(filter(sequence(0, n_words - 3),
-    k -> get(_words, i) = get(_words, k) and get(_words, i + 1) = get(_words, k + 1) and get(_words, i + 2) = get(_words, k + 2))) > 1), i -> cast(i as long)),
-    struct(0L as n, -3L as last), (a, p) -> struct(a.n + least(3L, p - a.last) as n, p as last), a -> a.n)"""
+_HASH = "xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))"
+_OWN = "transform(_dup, x -> cast(x & _mask as int))"
+_BY_WORDS = f"sort_array(transform({_OWN}, p -> struct(get(_words, p) as a, get(_words, p + 1) as b, get(_words, p + 2) as c, p as p)))"
+_NEXT = "x.a = get(_by_words, {j}).a and x.b = get(_by_words, {j}).b and x.c = get(_by_words, {j}).c"
 
 
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -75,14 +77,16 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         })
         .withColumn("n_dup_lines", F.expr("cast(size(_lines) - size(array_distinct(_lines)) as long)"))
         .withColumn("_mask", F.expr("shiftleft(1L, _bits) - 1L"))
-        .withColumn("_keys", F.expr("transform(if(n_words < 3, cast(array() as array<int>), sequence(0, n_words - 3)), i -> shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), _bits) | i)"))
+        .withColumn("_keys", F.expr(f"transform(if(n_words < 3, cast(array() as array<int>), sequence(0, n_words - 3)), i -> shiftleft({_HASH}, _bits) | i)"))
         .withColumn("_sorted", F.sort_array("_keys"))
         .withColumn("_dup", F.expr("filter(_sorted, (x, j) -> (j > 0 and (x & ~_mask) = (get(_sorted, j - 1) & ~_mask)) or (x & ~_mask) = coalesce(get(_sorted, j + 1) & ~_mask, ~x))"))
         .withColumn("_clash", F.expr(f"size(filter(_dup, (x, j) -> j > 0 and (x & ~_mask) = (get(_dup, j - 1) & ~_mask) and not ({_EQUAL}))) > 0"))
-        .withColumn("_at", F.sort_array(F.expr("transform(_dup, x -> x & _mask)")))
-        .withColumn("n_repeat_words", F.expr(f"case when _clash then {_EXACT} else aggregate(transform(_at, (p, k) -> least(3L, coalesce(get(_at, k + 1) - p, 3L))), 0L, (a, x) -> a + x) end"))
+        .withColumn("_by_words", F.expr(f"case when _clash then {_BY_WORDS} end"))
+        .withColumn("_same", F.expr(f"filter(_by_words, (x, j) -> coalesce(j > 0 and {_NEXT.format(j='j - 1')}, false) or coalesce({_NEXT.format(j='j + 1')}, false))"))
+        .withColumn("_at", F.sort_array(F.expr(f"case when _clash then transform(_same, x -> x.p) else {_OWN} end")))
+        .withColumn("n_repeat_words", F.expr("aggregate(transform(_at, (p, k) -> least(3, coalesce(get(_at, k + 1) - p, 3))), 0L, (a, x) -> a + x)"))
         .withColumn("n_words", F.col("n_words").cast("long"))
-        .drop("_text", "_words", "_lines", "_bits", "_mask", "_keys", "_sorted", "_dup", "_clash", "_at")
+        .drop("_text", "_words", "_lines", "_bits", "_mask", "_keys", "_sorted", "_dup", "_clash", "_by_words", "_same", "_at")
     )
 
 

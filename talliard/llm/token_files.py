@@ -274,7 +274,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield flush()
 
     spark = docs.sparkSession
-    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange(parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    # equal doc_ids, and null ones, are dealt by their texts, equal rows by where they came from
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").withColumns({"_of_text": F.xxhash64("text"), "_spread": F.monotonically_increasing_id()})
+    ordered = rows.repartitionByRange(parts(spark), "doc_id", "_of_text", "_spread").sortWithinPartitions("doc_id", "_of_text", "text").drop("_of_text", "_spread")
     ordered.mapInArrow(encode, "part int, file int, n_ids long, n_docs long, data binary").write.parquet(path)
 
 

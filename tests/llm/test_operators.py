@@ -43,7 +43,9 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def test_quality_base_counts(docs, rows):
+@pytest.mark.parametrize("hashed", [quality._HASH, "pmod(length(get(_words, i)), 3)"])
+def test_quality_base_counts(docs, rows, hashed, monkeypatch):
+    monkeypatch.setattr(quality, "_HASH", hashed)
     got = {r.doc_id: r for r in quality.judge(docs.withColumn("kept", F.lit("clash"))).collect()}
     for doc_id, text, *_ in rows:
         words = WORD.findall(text or "")
@@ -57,6 +59,12 @@ def test_quality_base_counts(docs, rows):
         assert r.base_failed == (len(words) < 50 or 100 * len(hit) > 50 * len(words)) and (r.kept is False or not r.base_failed)
 
 
+def test_quality_of_a_long_text_with_clashes(spark, monkeypatch):
+    monkeypatch.setattr(quality, "_HASH", "pmod(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), 1000)")
+    long = spark.range(1).selectExpr("id as doc_id", "array_join(transform(sequence(1, 300000), x -> if(x < 200000, x, x % 20)), ' ') as text")
+    assert quality.base_counts(long).first().n_repeat_words == 100_001 + 19  # the first words come again, too
+
+
 def test_quality_lines(spark):
     text = "A sentence of some words stands here.\nHome | About | Contact | More\nA### b$$$ c%%%\nPlease accept cookies."
     r = quality.clean_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
@@ -429,6 +437,12 @@ def test_mixing(docs, rows, spark):
     assert mixing.mix(empty(spark)).count() == 0 and mixing.mixed(clash).columns == clash.columns
 
 
+def test_mixing_spreads_null_ids(spark):
+    one = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'s' as source", "array_join(transform(sequence(1, 2000), x -> x * id), ' ') as text")
+    found, _ = mixing._sized(one, "text")
+    assert found.select("shard").distinct().count() > 6
+
+
 def test_mixing_targets(spark):
     sized = spark.createDataFrame([("a", 100), ("b", 10), ("c", 500), (None, 390)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sized).collect()}
