@@ -74,15 +74,32 @@ def _typed(content: str) -> Column:
     return F.when(F.col(content).isNull() | F.col(f"{content}.tool"), None).when(~blank, F.col(f"{content}.text")).when(F.col(f"{content}.image"), "[image]")
 
 
-def claude(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(usage, prompts) of transcripts: streamed lines of a message count once, with the largest measures."""
-    rows = lines(spark, path).select(
+def transcript(rows: DataFrame) -> DataFrame:
+    """The fields of transcript lines (file, at, v), and whether a line's usage counts."""
+    rows = rows.select(
         "file", "at", "v", text("$.type").alias("type"), F.try_to_timestamp(get("$.timestamp")).alias("ts"), text("$.sessionId").alias("session"), text("$.uuid").alias("uuid"),
         text("$.cwd").alias("cwd"), text("$.message.model").alias("model"), F.when(present("$.message.usage"), get("$.message.usage", "variant")).alias("u"),
     )
     counted = (F.col("type") == "assistant") & F.col("u").isNotNull() & (F.col("model") != "<synthetic>") & F.col("ts").isNotNull()
+    return rows.withColumn("counted", F.coalesce(counted, F.lit(False)))
+
+
+def transcript_prompt(rows: DataFrame) -> DataFrame:
+    """rows of transcript() with text: what a person wrote in the line, else null."""
+    flag = lambda path: F.coalesce(get(path, "boolean"), F.lit(False))
+    rows = rows.withColumns({"said": _content("$.message.content", ["text"]), "queued": _content("$.attachment.prompt", ["text"])}).withColumns({"said": _typed("said"), "queued": _typed("queued")})
+    start = F.regexp_replace("said", r"^\s+", "")
+    human = ~flag("$.isMeta") & ~flag("$.isCompactSummary") & text("$.origin.kind").isin("", "human") & ~start.startswith("[Request interrupted by user") & (~start.startswith("<") | (text("$.promptSource") == "typed"))
+    later = (text("$.attachment.type") == "queued_command") & ~flag("$.attachment.isMeta") & (text("$.attachment.commandMode") == "prompt") & (text("$.attachment.origin.kind") == "human") & (F.col("uuid") != "")
+    said = F.when((F.col("type") == "user") & human, F.col("said")).when((F.col("type") == "attachment") & later, F.col("queued"))
+    return rows.withColumn("text", F.when(F.col("ts").isNotNull() & ~flag("$.isSidechain"), said))
+
+
+def claude(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(usage, prompts) of transcripts: streamed lines of a message count once, with the largest measures."""
+    rows = transcript(lines(spark, path))
     org = F.when((F.col("type") == "attachment") & (text("$.attachment.type") == "credential_org") & F.col("ts").isNotNull(), F.nullif(get("$.attachment.organizationUuid"), F.lit("")))
-    rows = rows.withColumn("counted", F.coalesce(counted, F.lit(False))).withColumn("hint", _so_far(org))
+    rows = rows.withColumn("hint", _so_far(org))
     key = F.coalesce(F.nullif(text("$.message.id"), F.lit("")), F.nullif(text("$.requestId"), F.lit("")), F.concat("session", F.lit(":"), "uuid"))
     fields = {"tok_in": "input_tokens", "cache_w": "cache_creation_input_tokens", "cache_w1h": "cache_creation.ephemeral_1h_input_tokens", "cache_r": "cache_read_input_tokens", "tok_out": "output_tokens", "reasoning": "output_tokens_details.thinking_tokens"}
     first = lambda c: F.coalesce(F.min_by(c, F.when(F.col(c) != "", F.col("at"))), F.lit(""))
@@ -93,14 +110,8 @@ def claude(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             F.min_by("hint", "at").alias("hint"), *(F.max(m).alias(m) for m in fields), F.lit(1).cast("long").alias("calls"),
         )
     )
-    flag = lambda path: F.coalesce(get(path, "boolean"), F.lit(False))
     rows = rows.withColumn("model", F.coalesce(_ahead(F.when(F.col("counted"), F.nullif("model", F.lit("")))), F.lit("")))
-    rows = rows.withColumns({"said": _content("$.message.content", ["text"]), "queued": _content("$.attachment.prompt", ["text"])}).withColumns({"said": _typed("said"), "queued": _typed("queued")})
-    start = F.regexp_replace("said", r"^\s+", "")
-    human = ~flag("$.isMeta") & ~flag("$.isCompactSummary") & text("$.origin.kind").isin("", "human") & ~start.startswith("[Request interrupted by user") & (~start.startswith("<") | (text("$.promptSource") == "typed"))
-    later = (text("$.attachment.type") == "queued_command") & ~flag("$.attachment.isMeta") & (text("$.attachment.commandMode") == "prompt") & (text("$.attachment.origin.kind") == "human") & (F.col("uuid") != "")
-    said = F.when((F.col("type") == "user") & human, F.col("said")).when((F.col("type") == "attachment") & later, F.col("queued"))
-    prompts = rows.where(F.col("ts").isNotNull() & ~flag("$.isSidechain")).withColumn("text", said).where("text is not null")
+    prompts = transcript_prompt(rows).where("text is not null")
     prompts = prompts.select("file", F.col("uuid").alias("native_key"), "ts", "session", "model", "cwd", "text", F.lit(True).alias("has_usage"))
     return _named(usage, "anthropic", "claude-code"), _named(prompts, "anthropic", "claude-code")
 
