@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliard.operators.asof import around, last_before
+from talliard.operators.eras import by_era, plan_eras
 from talliard.operators.merge import acct_rank
 
 KEYS = ["provider", "home"]
@@ -114,11 +115,12 @@ def recorded(events: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
     return best.select("id", "r.*")
 
 
-def fallback(events: DataFrame, samples: DataFrame, bounds: DataFrame) -> DataFrame:
+def fallback(events: DataFrame, samples: DataFrame, bounds: DataFrame, eras: DataFrame | None = None) -> DataFrame:
     """(id, acct, acct_q) by identity samples (ts, acct) around an event.
 
     Between two logins samples that agree, or those on both sides, bound it (anthropic); the nearest without a login between carries on
-    (xai); samples of one account on both sides, or the only account ever, carry on (cursor). Else the nearest sample: inferred.
+    (xai); samples of one account on both sides, or the only account ever, carry on (cursor); so does the era of a plan with one account
+    (openai). Else the nearest sample: inferred.
     """
     logins = bounds.select(*KEYS, "ts", F.lit(1).alias("_login"))
     since = F.coalesce("at", F.lit("0001-01-01").cast("timestamp"))
@@ -142,17 +144,24 @@ def fallback(events: DataFrame, samples: DataFrame, bounds: DataFrame) -> DataFr
     kept = kept.when((p == "xai") & F.col("near_here").isNotNull(), F.struct(F.col("near_here").alias("acct"), F.lit("lineage").alias("acct_q")))
     kept = kept.when((p == "cursor") & between.isNotNull(), F.struct(between.alias("acct"), F.lit("lineage").alias("acct_q")))
     kept = kept.otherwise(F.struct(pick("_b", "_a").alias("acct"), F.lit("inferred").alias("acct_q")))
-    return every.select("id", kept.alias("k")).select("id", "k.*").where("acct is not null")
+    found = every.select("id", "provider", kept.alias("k")).select("id", "provider", "k.*")
+    if eras is not None:
+        own = by_era(events.where("provider = 'openai'"), eras).select("id", F.col("acct").alias("_era"))
+        held = (F.col("provider") == "openai") & F.col("_era").isNotNull()
+        found = found.join(own, "id", "left").withColumns({"acct": F.when(held, F.col("_era")).otherwise(F.col("acct")), "acct_q": F.when(held, "lineage").otherwise(F.col("acct_q"))})
+    return found.select("id", "acct", "acct_q").where("acct is not null")
 
 
 def attributed(events: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
     """(id, acct, acct_q) of every event: its own record, else the timeline of logins, else evidence, else the nearest login.
 
-    evidence: probes, bounds, sessions, orgs, spans, users, folders, owners, samples; any may be empty.
+    evidence: probes, bounds, sessions, orgs, spans, users, folders, owners, samples, and plans where there are any; any may be empty.
     """
+    plans = evidence.get("plans")
+    eras = plan_eras(plans, evidence["sessions"].select(*KEYS, "ts", "acct").unionByName(evidence["samples"].select(*KEYS, "ts", "acct"))) if plans is not None else None
     own = recorded(events, evidence).select("id", F.struct("acct", "acct_q").alias("_own"))
     seen = by_probe(events, evidence["probes"]).select("id", F.struct("acct", "acct_q").alias("_seen"))
-    other = fallback(events, evidence["samples"], evidence["bounds"]).select("id", F.struct("acct", "acct_q").alias("_other"))
+    other = fallback(events, evidence["samples"], evidence["bounds"], eras).select("id", F.struct("acct", "acct_q").alias("_other"))
     rows = events.select("id").join(own, "id", "left").join(seen, "id", "left").join(other, "id", "left")
     on_time = F.when(F.col("_seen.acct_q") == "timeline", F.col("_seen"))
     return rows.select("id", F.coalesce("_own", on_time, "_other", "_seen").alias("r")).select("id", "r.*")
