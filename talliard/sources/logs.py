@@ -40,7 +40,7 @@ def number(path: str, v: str = "v") -> Column:
 def present(path: str, v: str = "v") -> Column:
     """Neither absent nor a JSON null."""
     found = get(path, "variant", v)
-    return F.coalesce(~F.is_variant_null(found), F.lit(False))
+    return found.isNotNull() & ~F.is_variant_null(found)  # which is false for null
 
 
 def _so_far(value: Column) -> Column:

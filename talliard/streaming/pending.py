@@ -6,8 +6,9 @@ a model. State holds the waiting prompts alone, so a file that is quiet leaves n
 """
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -15,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 WAIT = 10 * 60 * 1000
 #: Events may be this late, where waiting goes by the events' times.
 LATE = "1 minute"
+_STORE = "spark.sql.streaming.stateStore.providerClass"
 _PROMPT = "at long, ts timestamp, native_key string, session string, cwd string, text string"
 _OUT = "file string, at long, ts timestamp, native_key string, session string, cwd string, text string, model string"
 
@@ -85,3 +87,17 @@ def transcript_lines(lines: DataFrame) -> DataFrame:
     rows = logs.transcript(lines.select("file", "at", F.try_parse_json("value").alias("v")).where("v is not null"))
     prompt = logs.transcript_prompt(rows)
     return prompt.select("file", "at", "ts", F.when(F.col("counted"), F.col("model")).otherwise("").alias("model"), F.col("uuid").alias("native_key"), "session", "cwd", F.col("text"))
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that with_models needs, for queries that start within."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)

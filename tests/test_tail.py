@@ -13,10 +13,8 @@ from talliard.streaming import pending
 
 @pytest.fixture
 def rocks(spark):
-    key = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    yield
-    spark.conf.unset(key)
+    with pending.rocksdb(spark):
+        yield
 
 
 def append(path, text):
