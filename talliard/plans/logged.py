@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from talliard.operators import rollup
 from talliard.plans.catalog import merged, query
 from talliard.plans.oracle import MERGED
-from talliard.sources import history, published, quota, tail
+from talliard.sources import history, keyvalue, published, quota, tail
 from talliard.streaming import pending
 from talliard.tables import shared_path, table
 
@@ -179,3 +179,68 @@ def sk_01(spark, sf_dir):
     files = spark.read.option("wholetext", True).text(folder).withColumn("machine", F.col("machine").cast("string"))
     rows = published.usage_rows(files)
     return rows.groupBy("machine", F.substring("date", 1, 7).alias("month")).agg(F.count("*").alias("n"), F.sum("tok_in").cast("long").alias("tok_in"))
+
+
+def _databases(rows, folder: str):
+    """A database for each bucket of rows (bucket, key, value), written by its task into the shared folder."""
+
+    def write(batches):
+        import os
+        import sqlite3
+        import tempfile
+
+        import pyarrow as pa
+
+        from talliard.sources.tail import opened
+
+        with tempfile.TemporaryDirectory() as own:
+            held: dict[int, sqlite3.Connection] = {}
+            for batch in batches:
+                for bucket, key, value in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                    if bucket not in held:
+                        held[bucket] = sqlite3.connect(f"{own}/{bucket}")
+                        held[bucket].execute(f"create table {keyvalue.ENTRIES} (key text unique on conflict replace, value blob)")
+                    held[bucket].execute(f"insert into {keyvalue.ENTRIES} values (?, ?)", (key, value))
+            for bucket, db in held.items():
+                db.commit()
+                db.close()
+                system, path = opened(f"{folder}/{bucket}")
+                system.create_dir(path, recursive=True)
+                with open(f"{own}/{bucket}", "rb") as f, system.open_output_stream(f"{path}/state.vscdb") as out:
+                    while block := f.read(1 << 20):
+                        out.write(block)
+                os.remove(f"{own}/{bucket}")
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64())], ["bucket"])
+
+    rows.repartition("bucket").select("bucket", "key", "value").mapInArrow(write, "bucket long").collect()  # one number a database
+
+
+def _editor(spark, sf_dir):
+    """Conversations as chats of an editor: a quarter of the answers without a model, a fifth of all entries without a time."""
+    c, folder = table(spark, sf_dir, "conversations").where("role in ('user', 'assistant')"), shared_path(spark, "editor")
+    chat, bubble, kind = F.concat(F.lit("c"), "conv_id"), F.concat(F.lit("b"), "turn"), F.when(F.col("role") == "user", 1).otherwise(2)
+    stamp = F.when(F.col("turn") % 5 > 0, F.date_format(F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+    tokens = F.when((F.col("role") == "assistant") & (F.col("turn") % 7 > 0), F.struct(F.length("text").alias("inputTokens"), F.col("turn").alias("outputTokens")))
+    value = F.to_json(F.struct(kind.alias("type"), stamp.alias("createdAt"), F.struct(F.when(F.col("turn") % 4 > 0, F.concat(F.lit("m"), F.col("turn") % 3)).alias("modelName")).alias("modelInfo"), F.col("text"), tokens.alias("tokenCount")))
+    bucket = F.col("conv_id") % 6
+    entries = c.select(bucket.alias("bucket"), F.concat(F.lit(keyvalue.BUBBLE), chat, F.lit(":"), bubble).alias("key"), value.alias("value"))
+    heads = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.struct(bubble.alias("bubbleId"), kind.alias("type")).alias("h")))).alias("hs"))  # a conversation's turns
+    about = F.to_json(F.struct(((F.lit(1_700_000_000) + F.col("conv_id") * 3600) * 1000).alias("createdAt"), F.struct(F.lit("own").alias("modelName")).alias("modelConfig"), F.col("hs.h").alias("fullConversationHeadersOnly")))
+    chats = heads.where("conv_id % 9 > 0").select(bucket.alias("bucket"), F.concat(F.lit(keyvalue.COMPOSER), chat).alias("key"), about.alias("value"))
+    _databases(entries.unionByName(chats), folder)
+    return keyvalue.editor(spark, folder, rows=500)
+
+
+_CHATS = """with t as (select *, case when turn % 5 > 0 then timestamp '1970-01-01' + to_seconds(1700000000 + conv_id * 3600 + turn * 60) end as own_ts, case when conv_id % 9 > 0 then timestamp '1970-01-01' + to_seconds(1700000000 + conv_id * 3600) end as begun,
+  case when turn % 4 > 0 then concat('m', turn % 3) end as m, role = 'assistant' and turn % 7 > 0 and (length(text) > 0 or turn > 0) as counted from conversations where role in ('user', 'assistant')),
+n as (select *, coalesce(own_ts, begun) as ts, first_value(case when role = 'assistant' then turn end ignore nulls) over (partition by conv_id order by turn rows between 1 following and unbounded following) as next, bool_or(counted) over (partition by conv_id) as told from t)"""
+
+
+@query("pr_20_editor_usage", f"{_CHATS} select concat('c', conv_id, ':b', turn) as native_key, ts, case when own_ts is null then 'session-start' else 'event' end as ts_q, coalesce(m, case when begun is not null then 'own' end, '') as model, length(text) as tok_in, cast(turn as bigint) as tok_out from n where counted and ts is not null")
+def pr_20(spark, sf_dir):
+    return _editor(spark, sf_dir)[0].select("native_key", "ts", "ts_q", "model", "tok_in", "tok_out")
+
+
+@query("pr_21_editor_prompts", f"{_CHATS} select concat('c', n.conv_id, ':b', n.turn) as native_key, n.ts, case when n.begun is null then '' else coalesce(a.m, 'own') end as model, n.text, coalesce(n.told, false) as has_usage from n left join t a on a.conv_id = n.conv_id and a.turn = n.next where n.role = 'user' and n.ts is not null and regexp_matches(n.text, '\\S')")
+def pr_21(spark, sf_dir):
+    return _editor(spark, sf_dir)[1].select("native_key", "ts", "model", "text", "has_usage")
