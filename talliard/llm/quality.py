@@ -41,20 +41,19 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _line_passes(line: str) -> str:
-    """SQL for one line: true for lines without a word and for those that no rule fails."""
+    """SQL for one line: true for lines without a word and for those that no rule fails. Counts are made once, the costly ones where a plain search finds something."""
     chars = f"length(regexp_replace({line}, '[\\\\x20\\\\x09-\\\\x0D]+', ''))"
     words = f"regexp_count({line}, '[^\\\\x20\\\\x09-\\\\x0D]+')"
-    symbols = f"length(regexp_replace({line}, '[^#*$%&|<>]+', ''))"
-    phrases = " or ".join(f"contains(lower({line}), '{p}')" for p in PHRASES)
-    return f"""{chars} = 0 or not (
-        {symbols} >= {SYMBOL_SHARE} * {chars}
-        or 2 * regexp_count({line}, '!!') >= {words}
-        or (regexp_count({line}, '[|]') >= 3 and regexp_count({line}, '[|]') >= {BAR_SHARE} * {words})
-        or ({words} <= {BOILERPLATE_WORDS} and ({phrases}))
-        or ({words} < {STUB_WORDS} and not {line} rlike '[.!?…:;"»”)]\\\\s*$'))"""
+    symbols = "length(regexp_replace(y.t, '[^#*$%&|<>]+', ''))"
+    phrases = " or ".join(f"contains(l, '{p}')" for p in PHRASES)
+    return f"""exists(array(named_struct('t', {line}, 'c', {chars}, 'w', {words})), y -> y.c = 0 or not (
+        {symbols} >= {SYMBOL_SHARE} * y.c
+        or (contains(y.t, '!!') and 2 * regexp_count(y.t, '!!') >= y.w)
+        or (contains(y.t, '|') and regexp_count(y.t, '[|]') >= 3 and regexp_count(y.t, '[|]') >= {BAR_SHARE} * y.w)
+        or (y.w <= {BOILERPLATE_WORDS} and exists(array(lower(y.t)), l -> {phrases}))
+        or (y.w < {STUB_WORDS} and not y.t rlike '[.!?…:;"»”)]\\\\s*$')))"""
 
 
-_SAME = "get(_words, cast({a} as int)) = get(_words, cast({b} as int))"
 _EQUAL = " and ".join(f"get(_words, cast((x & _mask) + {i} as int)) = get(_words, cast((get(_dup, j - 1) & _mask) + {i} as int))" for i in range(3))
 _HASH = "xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2))"
 _OWN = "transform(_dup, x -> cast(x & _mask as int))"
