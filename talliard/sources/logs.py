@@ -95,9 +95,9 @@ def transcript_prompt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("ts").isNotNull() & ~flag("$.isSidechain"), said))
 
 
-def claude(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def claude(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(usage, prompts) of transcripts: streamed lines of a message count once, with the largest measures."""
-    rows = transcript(lines(spark, path))
+    rows = transcript(lines(spark, path, glob))
     org = F.when((F.col("type") == "attachment") & (text("$.attachment.type") == "credential_org") & F.col("ts").isNotNull(), F.nullif(get("$.attachment.organizationUuid"), F.lit("")))
     rows = rows.withColumn("hint", _so_far(org))
     key = F.coalesce(F.nullif(text("$.message.id"), F.lit("")), F.nullif(text("$.requestId"), F.lit("")), F.concat("session", F.lit(":"), "uuid"))
@@ -124,9 +124,9 @@ def _codex_measures(path: str) -> dict[str, Column]:
     }
 
 
-def codex(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def codex(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl") -> tuple[DataFrame, DataFrame]:
     """(usage, prompts) of rollouts: records of usage, or in files without any before, rises of a cumulative counter."""
-    rows = lines(spark, path, "rollout-*.jsonl").select("file", "at", "v", text("$.type").alias("type"), text("$.payload.type").alias("part"), F.try_to_timestamp(get("$.timestamp")).alias("ts"))
+    rows = lines(spark, path, glob).select("file", "at", "v", text("$.type").alias("type"), text("$.payload.type").alias("part"), F.try_to_timestamp(get("$.timestamp")).alias("ts"))
     is_meta, is_turn = F.col("type") == "session_meta", F.col("type") == "turn_context"
     in_file = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
@@ -179,9 +179,9 @@ def codex(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return _named(usage, "openai", "codex"), _named(prompts, "openai", "codex")
 
 
-def gemini(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def gemini(spark: SparkSession, path: str, glob: str = "session-*.json") -> tuple[DataFrame, DataFrame]:
     """(usage, prompts) of whole-file sessions; a prompt's model is the next answer's, even if that is empty."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "session-*.json").option("wholetext", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
     files = files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("s")).where("s is not null")
     session = F.coalesce(F.nullif(get("$.sessionId", v="s"), F.lit("")), F.regexp_extract("file", r"session-(.*)\.json$", 1))
     messages = files.select("file", session.alias("session"), F.posexplode(get("$.messages", "array<variant>", "s")).alias("at", "v"))
