@@ -80,15 +80,22 @@ def by_session(events: DataFrame, records: DataFrame) -> DataFrame:
 def by_process(events: DataFrame, spans: DataFrame, users: DataFrame) -> DataFrame:
     """(id, at, acct) by the process that ran the session (session, proc, from_ts, to_ts) and its user (proc, ts, acct).
 
-    The span around the event, else the last before, else the first; its user's last record that is at most a day older than the span.
+    The span around the event that began last, else the last before, else the first after; then its user's last record that is at most a
+    day older than the span. Spans are met by session and day, those before and after and the user's records as of a time, so
+    no event meets all spans of its session, nor all records of a process.
     """
-    near = events.where("session <> ''").select("id", *KEYS, "session", F.col("ts").alias("t")).join(spans, [*KEYS, "session"])
-    covers = F.col("t").between(_later("from_ts", -SLACK), _later("to_ts", SLACK))
-    start = F.unix_micros("from_ts")
-    order = F.when(covers, F.struct(F.lit(0).alias("k"), (-start).alias("s"))).when(F.col("from_ts") <= F.col("t"), F.struct(F.lit(1).alias("k"), (-start).alias("s"))).otherwise(F.struct(F.lit(2).alias("k"), start.alias("s")))
-    pick = near.groupBy("id", *KEYS).agg(F.min_by(F.struct("proc", "from_ts", "to_ts"), order).alias("p")).select("id", *KEYS, "p.*")
-    seen = pick.join(users, [*KEYS, "proc"]).where((F.col("ts") <= _later("to_ts", SLACK)) & (F.col("ts") >= _later("from_ts", -PROCESS_AGE)))
-    return seen.groupBy("id").agg(F.max(F.struct(F.col("ts").alias("at"), "acct")).alias("r")).select("id", "r.*")
+    keys = [*KEYS, "session"]
+    asked = events.where("session <> ''").select("id", *keys, "ts")
+    whole = F.struct("proc", "from_ts", "to_ts")
+    days = F.sequence(F.to_date(_later("from_ts", -SLACK)), F.to_date(_later("to_ts", SLACK)))
+    by_day = spans.where("to_ts >= from_ts").select(*keys, whole.alias("span"), F.explode(days).alias("_day"))
+    covers = asked.withColumn("_day", F.to_date("ts")).join(by_day, [*keys, "_day"]).where(F.col("ts").between(_later("span.from_ts", -SLACK), _later("span.to_ts", SLACK)))
+    around_it = covers.groupBy("id").agg(F.max_by("span", F.struct("span.from_ts", "span.proc")).alias("_in"))
+    near = around(asked, spans.select(*keys, F.col("from_ts").alias("ts"), whole.alias("span")), keys, "span", True)
+    pick = near.join(around_it, "id", "left").select("id", *KEYS, F.coalesce("_in", "_b.span", "_a.span").alias("p")).where("p is not null").select("id", *KEYS, "p.*")
+    seen = around(pick.select("id", *KEYS, "proc", _later("to_ts", SLACK).alias("ts")), users, [*KEYS, "proc"], "acct", False)
+    found = seen.select("id", "_b.at", "_b.acct").join(pick.select("id", "from_ts"), "id")
+    return found.where(F.col("at") >= _later("from_ts", -PROCESS_AGE)).select("id", "at", "acct")
 
 
 def by_folder(events: DataFrame, folders: DataFrame, owners: DataFrame) -> DataFrame:

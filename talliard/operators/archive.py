@@ -78,9 +78,3 @@ def months(*rows: DataFrame) -> DataFrame:
     for df in found[1:]:
         out = out.union(df)
     return out.distinct()
-
-
-def names_of_tags(prompts: DataFrame, activity: DataFrame) -> DataFrame:
-    """Workspace tags named by prompts at the same moment of the same session; a tag with two names has none."""
-    met = activity.select("provider", "session", "ts", "ws").join(prompts.select("provider", "session", "ts", "workspace"), ["provider", "session", "ts"])
-    return met.groupBy("ws").agg(F.when(F.count_distinct("workspace") == 1, F.max("workspace")).alias("name"))

@@ -61,12 +61,12 @@ def monthly(days: DataFrame, value: Column) -> DataFrame:
     return days.groupBy(F.substring("date", 1, 7).alias("month"), "provider", "model").agg(F.sum(value).cast("long").alias("value"), F.count_distinct("date").alias("days"))
 
 
-def calendar(spark, month: str) -> DataFrame:
-    """A month's grid of whole weeks: (date, weekday from Monday 0, week, inside)."""
-    return spark.sql(f"""
-        select date_format(d, 'yyyy-MM-dd') as date, weekday(d) as weekday, cast(datediff(d, s) div 7 as int) as week, date_format(d, 'yyyy-MM') = '{month}' as inside
-        from (select explode(sequence(s, date_add(e, 6 - weekday(e)))) as d, s
-              from (select cast(date_trunc('week', date'{month}-01') as date) as s, last_day(date'{month}-01') as e))""")
+def calendar(months: DataFrame) -> DataFrame:
+    """The grid of whole weeks of each month: (month, date, weekday from Monday 0, week, inside)."""
+    first = F.to_date(F.concat("month", F.lit("-01")))
+    start, end = F.date_trunc("week", first).cast("date"), F.last_day(first)
+    days = months.select("month", start.alias("s"), F.explode(F.sequence(start, F.date_add(end, 6 - F.weekday(end)))).alias("d"))
+    return days.select("month", F.date_format("d", "yyyy-MM-dd").alias("date"), F.weekday("d").alias("weekday"), F.floor(F.datediff("d", "s") / 7).cast("int").alias("week"), (F.date_format("d", "yyyy-MM") == F.col("month")).alias("inside"))
 
 
 def dense_aliases(rows: DataFrame, column: str, prefix: str) -> DataFrame:

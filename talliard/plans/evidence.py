@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from talliard.operators import accounts, workspaces
+from talliard.plans import lineage
 from talliard.plans.catalog import query
 from talliard.plans.oracle import ACTIVITY
 from talliard.sources import adapter
@@ -28,16 +29,22 @@ def _probes(rows):
 
 
 def _evidence(spark, rows):
-    some = lambda k: rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == k)  # noqa: E731  records are as rare as this among events
+    """All kinds of evidence, each derived from events that a hash picks: records are as rare as this among events."""
+    some = lambda k: rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == k)
     acct = F.concat(F.lit("a_"), (F.col("n") % 4).cast("string")).alias("acct")
     keys = ["provider", "home"]
-    none = lambda schema: spark.createDataFrame([], f"provider string, home string, {schema}")
     orgs = spark.sql("""select provider, home, org, acct, rank from values ('o_0', 'a_0', 1), ('o_1', 'a_1', 1), ('o_1', 'a_2', 1), ('o_2', 'a_3', 2), ('o_2', 'a_4', 1) as t(org, acct, rank)
         lateral view explode(array('anthropic', 'openai', 'xai', 'cursor', 'google')) p as provider lateral view explode(array('0', '1')) h as home""")
+    in_session = rows.where("session <> '' and provider = 'xai'")
+    proc = F.concat(F.lit("p"), F.dayofyear("ts") % 7).alias("proc")
+    spans = in_session.groupBy(*keys, "session", F.to_date("ts").alias("d"), proc).agg(F.min("ts").alias("from_ts"), F.expr("min(ts) + interval 3 hours").alias("to_ts")).drop("d")
+    owned = some(3).where("provider = 'cursor'")
+    half = F.when(F.col("n") % 2 == 0, acct).otherwise("").alias("acct")
     return {
         "probes": _probes(rows), "bounds": some(0).select(*keys, "ts"), "sessions": some(1).where("session <> ''").select(*keys, "session", "ts", acct), "orgs": orgs, "samples": some(2).select(*keys, "ts", acct),
-        "spans": none("session string, proc string, from_ts timestamp, to_ts timestamp"), "users": none("proc string, ts timestamp, acct string"),
-        "folders": some(3).where("provider = 'cursor'").select(*keys, F.col("id").alias("proc"), F.col("ts").alias("from_ts"), F.expr("ts + interval 5 hours").alias("to_ts"), acct), "owners": none("proc string, ts timestamp, acct string"),
+        "spans": spans, "users": some(4).where("provider = 'xai'").select(*keys, proc, "ts", acct),
+        "folders": owned.select(*keys, F.col("id").alias("proc"), F.col("ts").alias("from_ts"), F.expr("ts + interval 5 hours").alias("to_ts"), half),
+        "owners": owned.select(*keys, F.col("id").alias("proc"), F.expr("ts + interval 1 hour").alias("ts"), acct), "plans": lineage.plan_records(spark, rows),
     }
 
 

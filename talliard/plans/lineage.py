@@ -11,11 +11,15 @@ _PLAN = "concat('plan-', cast(dayofyear(ts) / 20 as int) % 3)"
 _DUCK_PLAN = "concat('plan-', cast(floor(dayofyear(ts) / 20) as int) % 3)"
 
 
-def plan_records(spark, sf_dir):
-    """Every activity as a record of its session's plan, which changes every twenty days; one in nine lasts for two days."""
-    a = adapter.activity_events(spark, sf_dir).withColumn("n", F.col("seq").cast("long"))
+def _numbered(spark, sf_dir):
+    return adapter.activity_events(spark, sf_dir).withColumn("n", F.col("seq").cast("long"))
+
+
+def plan_records(spark, events):
+    """Every event as a record of its session's plan, which changes every twenty days; one in nine lasts for two days."""
+    a = events.withColumn("home", (F.col("n") % 2).cast("string"))
     lasts = F.when(F.col("n") % 9 == 0, F.col("ts") + F.expr("interval 2 days"))
-    return a.select("provider", (F.col("n") % 2).cast("string").alias("home"), F.concat("session", F.lit(":"), (F.dayofyear("ts") / 13).cast("int").cast("string")).alias("stream"), F.expr(_PLAN.replace("dayofyear(ts) / 20", "floor(dayofyear(ts) / 20)")).alias("plan"), "ts", lasts.alias("to_ts"), "n")
+    return a.select("provider", "home", F.concat("session", F.lit(":"), (F.dayofyear("ts") / 13).cast("int").cast("string")).alias("stream"), F.expr(_PLAN.replace("dayofyear(ts) / 20", "floor(dayofyear(ts) / 20)")).alias("plan"), "ts", lasts.alias("to_ts"), "n")
 
 
 def anchor_records(records):
@@ -38,13 +42,13 @@ named as (select e.provider, e.home, from_ts, to_ts, case when min(acct) = max(a
 
 @query("wn_06_plan_eras", f"with {_RECORDS} select * from named")
 def wn_06(spark, sf_dir):
-    records = plan_records(spark, sf_dir)
+    records = plan_records(spark, _numbered(spark, sf_dir))
     return eras.plan_eras(records, anchor_records(records))
 
 
 @query("wn_06_accounts_of_eras", f"with {_RECORDS} select cast(n as bigint) as id, arg_min(acct, (from_ts, e.to_ts)) as acct from r join named e on e.provider = r.provider and e.home = r.home and r.ts between from_ts and e.to_ts where acct is not null group by all")
 def wn_06_accounts(spark, sf_dir):
-    records = plan_records(spark, sf_dir)
+    records = plan_records(spark, _numbered(spark, sf_dir))
     return eras.by_era(records.withColumn("id", F.col("n")), eras.plan_eras(records, anchor_records(records)))
 
 

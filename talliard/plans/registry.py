@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from talliard.functions import ids
 from talliard.functions.metrics import compact, effective, tokens
 from talliard.operators import archive, asof, cost, history, limits, merge, reconcile, rollup, views
-from talliard.plans import checks, evidence, lineage, logged, readers, scalars  # noqa: F401  they register their queries
+from talliard.plans import checks, evidence, lineage, logged, periods, readers, scalars  # noqa: F401  they register their queries
 from talliard.plans.catalog import ORACLE_SQL, QUERIES, TOK, query
 from talliard.plans.catalog import merged as _merged
 from talliard.plans.catalog import tagged as _tagged
@@ -61,9 +61,9 @@ def mg_18(spark, sf_dir):
     return _merged(spark, sf_dir).where("acct <> ''").groupBy("provider", "acct").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
-@query("mg_17_evidence_spans", f"with {USAGE} select provider, acct, session, min(ts) as ts, max(ts) as to_ts from u where acct <> '' group by all")
+@query("mg_17_evidence_spans", f"with {USAGE} select provider, acct, session, min(ts) as ts, max(greatest(ts, case when tok_in % 3 = 0 then ts + to_days(cast(tok_in % 50 as int)) end)) as to_ts from u where acct <> '' group by all")
 def mg_17(spark, sf_dir):
-    rows = adapter.usage_events(spark, sf_dir).where("acct <> ''").withColumn("to_ts", F.lit(None).cast("timestamp"))
+    rows = adapter.usage_events(spark, sf_dir).where("acct <> ''").withColumn("to_ts", F.when(F.col("tok_in") % 3 == 0, F.timestamp_add("DAY", (F.col("tok_in") % 50).cast("int"), "ts")))
     return merge.widen_spans(rows, ["provider", "acct", "session"])
 
 
@@ -241,10 +241,10 @@ def cx_10(spark, sf_dir):
     return views.heatmap(_merged(spark, sf_dir), tokens(), FIRST, LAST)
 
 
-@query("cx_11_calendar", """select strftime(d, '%Y-%m-%d') as date, cast(isodow(d) - 1 as integer) as weekday, cast(date_diff('day', date_trunc('week', timestamp '1997-02-01'), d) // 7 as integer) as week, strftime(d, '%Y-%m') = '1997-02' as inside
-from (select unnest(generate_series(cast(date_trunc('week', timestamp '1997-02-01') as timestamp), timestamp '1997-03-02', interval 1 day)) as d)""")
+@query("cx_11_calendar", f"""with {USAGE}, mo as (select distinct date_trunc('month', ts) as m from u), g as (select m, unnest(generate_series(cast(date_trunc('week', m) as timestamp), cast(date_trunc('week', m + interval 1 month - interval 1 day) + interval 6 days as timestamp), interval 1 day)) as d from mo)
+select strftime(m, '%Y-%m') as month, strftime(d, '%Y-%m-%d') as date, cast(isodow(d) - 1 as integer) as weekday, cast(date_diff('day', date_trunc('week', m), d) // 7 as integer) as week, date_trunc('month', d) = m as inside from g""")
 def cx_11(spark, sf_dir):
-    return views.calendar(spark, "1997-02")
+    return views.calendar(adapter.usage_events(spark, sf_dir).select(F.date_format("ts", "yyyy-MM").alias("month")).distinct())
 
 
 @query("cx_12_models_started", f"with {MERGED}, s as (select min(substr(date, 1, 7)) as start from m), f as (select provider, model, min(date) as first from m where model <> '' group by all) select provider, model, first, substr(first, 1, 7) > start as started from f cross join s")
@@ -396,12 +396,6 @@ def pr_11(spark, sf_dir):
     return asof.counter_deltas(rows, ["user_id"], "event_id", "total")
 
 
-@query("jn_07_tag_names", f"with {ACTIVITY}, {PROMPTS}, b as (select provider, ts, session, ws from a) select ws, case when count(distinct workspace) = 1 then max(workspace) end as name from (select ws, concat('/p/', machine) as workspace from am) group by ws")
-def jn_07(spark, sf_dir):
-    a = merge.merge_activity(adapter.activity_events(spark, sf_dir))
-    return archive.names_of_tags(a.withColumn("workspace", F.concat(F.lit("/p/"), "machine")).select("provider", "session", "ts", "workspace"), a)
-
-
 def _readings(spark, sf_dir):
     """Quota readings: customers' balances as percentages seen at order dates."""
     orders, customer = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
