@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talliard.operators.asof import last_before
+from talliard.tables import staged
 
 KEYS = ["provider", "home"]
 
@@ -60,7 +61,7 @@ def plan_eras(records: DataFrame, anchors: DataFrame) -> DataFrame:
     begins = whole.select(*KEYS, F.col("first").alias("from_ts"), F.lit(None).cast("timestamp").alias("before"), F.lit(0).alias("k"))
     begins = begins.unionByName(broken.select(*KEYS, F.col("t2").alias("from_ts"), F.col("t1").alias("before"), F.lit(1).alias("k")))
     eras = begins.withColumn("next", F.lead("before").over(w)).join(whole.select(*KEYS, "last"), KEYS)
-    eras = eras.select(*KEYS, "from_ts", F.coalesce("next", "last").alias("to_ts")).distinct()
+    eras = staged(eras.select(*KEYS, "from_ts", F.coalesce("next", "last").alias("to_ts")).distinct())  # few rows, read five times
     found = in_eras(anchors.withColumn("id", F.struct(*KEYS, "ts", "acct")).select("id", *KEYS, "ts").distinct(), eras)
     named = found.groupBy(*KEYS, "from_ts", "to_ts").agg(F.min("id.acct").alias("lo"), F.max("id.acct").alias("hi")).where("lo = hi")
     return eras.join(named.select(*KEYS, "from_ts", "to_ts", F.col("lo").alias("acct")), [*KEYS, "from_ts", "to_ts"], "left")
@@ -80,6 +81,6 @@ def in_eras(events: DataFrame, eras: DataFrame) -> DataFrame:
 
 def by_era(events: DataFrame, eras: DataFrame) -> DataFrame:
     """(id, acct) of events in an era with an account, the earliest such era."""
-    known = eras.where("acct is not null")
+    known = staged(eras.where("acct is not null"))
     found = in_eras(events.select("id", *KEYS, "ts"), known).join(known, [*KEYS, "from_ts", "to_ts"])
     return found.groupBy("id").agg(F.min_by("acct", F.struct("from_ts", "to_ts")).alias("acct"))

@@ -7,8 +7,8 @@ from talliard.plans.catalog import merged, query
 from talliard.plans.oracle import ACTIVITY, MERGED
 from talliard.sources import adapter
 
-_PLAN = "concat('plan-', cast(dayofyear(ts) / 20 as int) % 3)"
-_DUCK_PLAN = "concat('plan-', cast(floor(dayofyear(ts) / 20) as int) % 3)"
+_PLAN = "concat('plan-', cast(floor(dayofyear(ts) / 3) as int) % 3)"
+_STREAM = "concat(session, ':', cast(floor(dayofyear(ts) / (3 - {n} % 2)) as int))"
 
 
 def _numbered(spark, sf_dir):
@@ -16,19 +16,19 @@ def _numbered(spark, sf_dir):
 
 
 def plan_records(spark, events):
-    """Every event as a record of its session's plan, which changes every twenty days; one in nine lasts for two days."""
+    """Every event as a record of its session's plan, which changes every three days; in one home streams end with it, in the other some see both plans. One record in nine lasts for two days."""
     a = events.withColumn("home", (F.col("n") % 2).cast("string"))
     lasts = F.when(F.col("n") % 9 == 0, F.col("ts") + F.expr("interval 2 days"))
-    return a.select("provider", "home", F.concat("session", F.lit(":"), (F.dayofyear("ts") / 13).cast("int").cast("string")).alias("stream"), F.expr(_PLAN.replace("dayofyear(ts) / 20", "floor(dayofyear(ts) / 20)")).alias("plan"), "ts", lasts.alias("to_ts"), "n")
+    return a.select("provider", "home", F.expr(_STREAM.format(n="n")).alias("stream"), F.expr(_PLAN).alias("plan"), "ts", lasts.alias("to_ts"), "n")
 
 
 def anchor_records(records):
-    return records.where("n % 50 = 0").select("provider", "home", "ts", F.concat(F.lit("a_"), (F.floor(F.dayofyear("ts") / 90) + F.when(F.col("n") % 1000 == 0, 1).otherwise(0)).cast("string")).alias("acct"))
+    return records.where("n % 50 = 0").select("provider", "home", "ts", F.concat(F.lit("a_"), (F.floor(F.dayofyear("ts") / 3) % 4 + F.when(F.col("n") % 1000 == 0, 1).otherwise(0)).cast("string")).alias("acct"))
 
 
-_RECORDS = f"""{ACTIVITY}, r as (select provider, cast(cast(seq as bigint) % 2 as varchar) as home, concat(session, ':', cast(floor(dayofyear(ts) / 13) as int)) as stream, {_DUCK_PLAN} as plan, ts,
+_RECORDS = f"""{ACTIVITY}, r as (select provider, cast(cast(seq as bigint) % 2 as varchar) as home, {_STREAM.format(n="cast(seq as bigint)")} as stream, {_PLAN} as plan, ts,
     greatest(ts, case when cast(seq as bigint) % 9 = 0 then ts + interval 2 days end) as to_ts, cast(seq as bigint) as n from a),
-anchors as (select provider, home, ts, concat('a_', cast(floor(dayofyear(ts) / 90) as bigint) + case when n % 1000 = 0 then 1 else 0 end) as acct from r where n % 50 = 0),
+anchors as (select provider, home, ts, concat('a_', cast(floor(dayofyear(ts) / 3) as bigint) % 4 + case when n % 1000 = 0 then 1 else 0 end) as acct from r where n % 50 = 0),
 marks as (select provider, home, ts as tm, ts as begun, stream, plan, 0 as k from r union all select provider, home, to_ts, ts, stream, plan, 1 from r),
 steps as (select *, lag(tm) over w as t1, lag(plan) over w as p1 from marks window w as (partition by provider, home order by tm, begun, stream, plan, k)),
 streams as (select provider, home, stream, min(ts) as first, max(to_ts) as last, list(distinct plan) as plans from r group by all),
