@@ -12,6 +12,7 @@ from talliard.plans.catalog import merged as _merged
 from talliard.plans.catalog import tagged as _tagged
 from talliard.plans.oracle import ACTIVITY, MERGED, PROMPTS, USAGE
 from talliard.sources import adapter
+from talliard.tables import staged
 
 FLAGSHIP = "ag_01_day_rollup"
 FIRST, LAST = "1996-01-01", "1997-12-31"
@@ -306,9 +307,9 @@ def jn_05(spark, sf_dir):
     return cost.price_names(_merged(spark, sf_dir).select("model"), current, fallbacks)
 
 
-def _snapshots(spark, sf_dir):
+def _snapshots(ledger):
     """Reported totals: each labelled account's days, with a surplus on every fifth, and an older reading of each."""
-    rows = rollup.ledger(_merged(spark, sf_dir)).where("acct <> ''").groupBy("date", "provider", "source", "acct").agg(F.sum("tokens").alias("tokens"))
+    rows = ledger.where("acct <> ''").groupBy("date", "provider", "source", "acct").agg(F.sum("tokens").alias("tokens"))
     extra = F.when(F.expr("cast(substr(date, 9, 2) as int) % 5 = 0"), F.lit(1000)).otherwise(0)
     new = rows.select("date", "provider", "source", "acct", (F.col("tokens") + extra).cast("long").alias("total_tokens"), F.lit("1996-05-02").cast("timestamp").alias("observed_at"))
     return new.unionByName(new.withColumn("observed_at", F.lit("1996-05-01").cast("timestamp")).withColumn("total_tokens", F.col("total_tokens") * 2))
@@ -325,14 +326,14 @@ j as (select w.*, matched, uncertain, greatest(0, reported - matched - uncertain
 k as (select *, case when pending then 'pending' when deficits > gap then 'conflict' when gap > 0 then 'recovered' else 'matched' end as status from j)
 select td as date, source, acct, win, cast(reported as bigint) as reported, cast(matched as bigint) as matched, cast(uncertain as bigint) as uncertain, cast(deficits as bigint) as deficits, status, cast(case when status = 'recovered' then gap else 0 end as bigint) as recovered from k""")
 def cx_01(spark, sf_dir):
-    ledger = rollup.ledger(_merged(spark, sf_dir))
-    return reconcile.reconcile(_snapshots(spark, sf_dir), ledger, ledger.select("date").distinct(), "1998-06-15")
+    ledger = staged(rollup.ledger(_merged(spark, sf_dir)))  # days and accounts, which five branches read
+    return reconcile.reconcile(_snapshots(ledger), ledger, ledger.select("date").distinct(), "1998-06-15")
 
 
 @query("mg_16_newest_total", f"""with {MERGED}, l as (select strftime(ts, '%Y-%m-%d') as date, provider, source, acct, sum({TOK}) as tokens from m where acct_q in ('recorded', 'session', 'timeline', 'bounded') and acct <> '' group by all)
 select date, provider, source, acct, cast(tokens + case when cast(substr(date, 9, 2) as int) % 5 = 0 then 1000 else 0 end as bigint) as total_tokens, timestamp '1996-05-02' as observed_at from l""")
 def mg_16(spark, sf_dir):
-    return merge.newest(_snapshots(spark, sf_dir), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
+    return merge.newest(_snapshots(rollup.ledger(_merged(spark, sf_dir))), ["date", "provider", "source", "acct"], F.col("observed_at"), F.col("total_tokens"))
 
 
 #: Days without activity, by weight and not by leaving rows out, so that every radius occurs.
