@@ -32,6 +32,8 @@ KMER = 20
 MANY_CHUNKS = 200
 #: Windows that are sorted at once, but for those of one string.
 SORTED = 200_000
+#: Windows of a piece beyond which equal ones stand for each other.
+LONG = 1 << 14
 #: Flags of keys that stand for whole texts.
 WHOLE = 8
 
@@ -55,18 +57,20 @@ def kmer_hashes(b: np.ndarray) -> np.ndarray:
 
 
 def pieces(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, hash of the least string) of runs of windows, over all documents of the chunk."""
+    """(first window, last window, hash of the least string) of runs of windows, over all documents of the chunk.
+
+    A run goes on while the least string is the same, wherever it stands, so a text that repeats itself every few bytes is one run.
+    """
     wide, n, step = LENGTH - KMER + 1, len(chunk.bytes) - LENGTH + 1, 1 << 15
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    where, least = np.empty(n, np.int64), np.empty(n, np.uint64)
+    least = np.empty(n, np.uint64)
     for at in range(0, n, step):
         h = kmer_hashes(chunk.bytes[at : min(at + step, n) + LENGTH - 1])
         m = (h & ~np.uint64(0xFFFF)) | np.arange(len(h), dtype=np.uint64)
         for by in (1, 2, 4, 8, wide - 16):
             m = np.minimum(m[:-by], m[by:])
-        place = (m & np.uint64(0xFFFF)).astype(np.int64)
-        where[at : at + len(m)], least[at : at + len(m)] = place + at, h[place]
+        least[at : at + len(m)] = h[(m & np.uint64(0xFFFF)).astype(np.int64)]
     ok = np.zeros(n + 1, np.int64)
     long = chunk.ends - chunk.starts >= LENGTH
     np.add.at(ok, chunk.starts[long], 1)
@@ -74,7 +78,7 @@ def pieces(chunk: C.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     windows = np.flatnonzero(np.cumsum(ok[:n]))
     if not len(windows):
         return windows, windows, np.zeros(0, np.uint64)
-    new = np.flatnonzero(np.concatenate(([True], (where[windows[1:]] != where[windows[:-1]]) | (np.diff(windows) != 1))))
+    new = np.flatnonzero(np.concatenate(([True], (least[windows[1:]] != least[windows[:-1]]) | (np.diff(windows) != 1))))
     return windows[new], windows[np.concatenate((new[1:], [len(windows)])) - 1], least[windows[new]]
 
 
@@ -105,20 +109,48 @@ def longest_previous(lcp: np.ndarray, docs: np.ndarray, least: int) -> np.ndarra
     return np.maximum(previous(lcp, docs), previous(np.concatenate(([0], lcp[:0:-1])), docs[::-1])[::-1])
 
 
+def _windows(piece: bytes) -> tuple[np.ndarray, np.ndarray | None]:
+    """A piece's windows; of a long one, which repeats itself, the different ones and which of them stands at each place."""
+    every = np.lib.stride_tricks.sliding_window_view(np.frombuffer(piece, np.uint8), LENGTH)
+    if len(every) <= LONG:
+        return every, None
+    known: dict[bytes, int] = {}
+    back = np.empty(len(every), np.int32)
+    for at in range(0, len(every), LONG):
+        some, inverse = np.unique(np.ascontiguousarray(every[at : at + LONG]).view(np.dtype((np.void, LENGTH))).ravel(), return_inverse=True)
+        back[at : at + LONG] = np.array([known.setdefault(x.tobytes(), len(known)) for x in some], np.int32)[inverse]
+    return np.frombuffer(b"".join(known), np.uint8).reshape(-1, LENGTH), back
+
+
 def _earlier(found: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For each piece, whether each of its windows is a prefix of a suffix from a smaller document."""
-    n_windows = np.array([len(p) - LENGTH + 1 for p in found])
-    text = np.frombuffer(b"".join(found), np.uint8)
-    at = np.repeat(np.cumsum([0, *map(len, found[:-1])]) - np.concatenate(([0], np.cumsum(n_windows)[:-1])), n_windows) + np.arange(n_windows.sum())
-    prefix = np.zeros((len(at), -(-LENGTH // 8) * 8), np.uint8)
-    prefix[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(text, LENGTH)[at]
+    windows = [_windows(p) for p in found]
+    n_windows = np.array([len(w) for w, _ in windows])
+    prefix = np.zeros((int(n_windows.sum()), -(-LENGTH // 8) * 8), np.uint8)
+    np.concatenate([w for w, _ in windows], out=prefix[:, :LENGTH])
     order = np.lexsort(prefix.view(">u8").astype(np.uint64).T[::-1])
     prefix = prefix[order]
     differ = prefix[1:, :LENGTH] != prefix[:-1, :LENGTH]
     lcp = np.concatenate(([0], np.where(differ.any(1), differ.argmax(1), LENGTH)))
-    out = np.empty(len(at), bool)
+    out = np.empty(len(prefix), bool)
     out[order] = longest_previous(lcp, np.repeat(docs, n_windows)[order], LENGTH) >= LENGTH
-    return np.split(out, np.cumsum(n_windows)[:-1])
+    return [o if back is None else o[back] for o, (_, back) in zip(np.split(out, np.cumsum(n_windows)[:-1]), windows, strict=True)]
+
+
+def _by_string(chunk: C.Chunk, a: int, b: int):
+    """(start, end, digest) of what equal windows among a to b cover, in one span as long as they meet."""
+    open_: dict[bytes, list[int]] = {}
+    for w in range(a, b + 1):
+        s = chunk.bytes[w : w + LENGTH].tobytes()
+        span = open_.get(s)
+        if span and w <= span[1]:
+            span[1] = w + LENGTH
+            continue
+        if span:
+            yield span[0], span[1], C.digest(s)
+        open_[s] = [w, w + LENGTH]
+    for s, (start, end) in open_.items():
+        yield start, end, C.digest(s)
 
 
 PIECES = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("places", pa.binary()), ("sizes", pa.binary()), ("text", pa.binary()), ("starts", pa.binary()), ("ends", pa.binary())])
@@ -154,9 +186,8 @@ def _send_pieces(n: int):
         documents = chunk.document_of(first[at])
         for a, b, key, f, doc in zip(first[at].tolist(), last[at].tolist(), least[at].tolist(), flag[at].tolist(), chunk.docs[documents].tolist(), strict=True):
             if f & 4:
-                for w in range(a, b + 1):
-                    s = chunk.bytes[w : w + LENGTH].tobytes()
-                    held.append((-1, doc, w, w + LENGTH, s, False))
+                # a string of very many chunks: only equal ones need to meet, by their digests as whole texts do
+                held += [(int(d[0]), doc, start, end, d.tobytes(), True) for start, end, d in _by_string(chunk, a, b)]
             else:
                 held.append((key, doc, a, b + LENGTH, chunk.bytes[a : b + LENGTH].tobytes(), False))
         for _, doc, _, _, s, _ in held:
@@ -167,7 +198,7 @@ def _send_pieces(n: int):
             if known[s] < doc:
                 done.append((a, b))
             else:
-                sent.append((int(C.digest(s)[0]) if key < 0 else key, doc, a, b - a if not w else -(b - a), s))
+                sent.append((key, doc, a, b - a if not w else -(b - a), s))
         rows = []
         key_array, pack = C.short(np.array([x[0] for x in sent], np.uint64)), zstandard.ZstdCompressor(level=1).compress
         arrays = [key_array, np.array([x[1] for x in sent], np.int64), np.array([x[2] for x in sent], np.uint32), np.array([x[3] for x in sent], np.int32), np.arange(len(sent))]

@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,6 +124,29 @@ def test_suffix_dedup(docs, rows, spark, many, monkeypatch):
     assert suffix_dedup.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("many", [200, 1])
+def test_suffix_dedup_of_runs(spark, many, monkeypatch):
+    """Lines of one character and short periods, some longer than what is compared one by one, against all strings."""
+    monkeypatch.setattr(suffix_dedup, "MANY_CHUNKS", many)
+    rng = random.Random(8)
+    noise = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = ["-" * 60, "-" * 40_000, noise(80) + "-" * 55 + noise(30), "ab" * 9_000 + noise(70) + "-" * 200, "ab" * 26, noise(20) + "xyz" * 7_000, "yzx" * 30 + noise(90), "-" * 49, "-" * 50, "ba" * 30 + "-" * 51]
+    texts += [texts[5], texts[1] + "!"]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    want = brute_removed([(d, t.encode()) for d, t in rows], 50)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {d: sum(g) for d, g in want.items()}
+
+
+def test_a_long_run_is_one_piece():
+    chunk = chunks.Chunk(pa.table({"doc": pa.array([1, 2], pa.int64()), "row": pa.array([1, 2], pa.int64()), "content": pa.array([b"-" * 3_000_000, b"ab" * 40_000], pa.binary())}))
+    first, last, _ = suffix_dedup.pieces(chunk)
+    assert len(first) == 2 and (last - first + 1).tolist() == [3_000_000 - 49, 80_000 - 49]
+    gone = suffix_dedup._earlier([b"-" * 3_000_000, b"-" * 60], np.array([5, 3]))
+    assert gone[0].all() and not gone[1].any()
+
+
 def test_longest_previous():
     rng = np.random.default_rng(2)
     docs, lcp = rng.integers(0, 9, 300), rng.integers(0, 60, 300)
