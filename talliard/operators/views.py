@@ -44,6 +44,19 @@ def heatmap(days: DataFrame, value: Column, first: str, last: str) -> DataFrame:
     return all_days.crossJoin(F.broadcast(quartiles)).select("date", "value", F.coalesce(heat_level(F.col("value"), F.col("q")), F.lit(0)).alias("level"))
 
 
+def heat_weeks(days: DataFrame, value: Column, prompts: Column, last: str, weeks: int = 53) -> DataFrame:
+    """(date, week, weekday, value, prompts, level, untracked) of whole weeks from a Monday to the last date; a day with prompts but no value is untracked."""
+    spine = days.sparkSession.range(1).select(F.lit(last).cast("date").alias("to"))
+    first = F.date_sub(F.date_trunc("week", "to").cast("date"), 7 * (weeks - 1))
+    spine = spine.select(first.alias("from"), F.explode(F.sequence(first, F.col("to"))).alias("d"))
+    spine = spine.select(F.date_format("d", "yyyy-MM-dd").alias("date"), F.floor(F.datediff("d", "from") / 7).cast("int").alias("week"), F.weekday("d").alias("weekday"))
+    found = days.where(F.col("date") <= last).groupBy("date").agg(F.sum(value).cast("long").alias("value"), F.sum(prompts).cast("long").alias("prompts"))
+    shown = spine.join(found, "date", "left").fillna(0, ["value", "prompts"])
+    quartiles = shown.where("value > 0").agg(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
+    level = F.coalesce(heat_level(F.col("value"), F.col("q")), F.lit(0))
+    return shown.crossJoin(F.broadcast(quartiles)).select("date", "week", "weekday", "value", "prompts", level.alias("level"), ((F.col("prompts") > 0) & (F.col("value") <= 0)).alias("untracked"))
+
+
 def shares(rows: DataFrame, keys: list[str], value: str, within: list[str]) -> DataFrame:
     """Each key's total, its percentage of the group, and its rank by value, ties by key."""
     totals = rows.groupBy(*within, *keys).agg(F.sum(value).cast("long").alias(value))

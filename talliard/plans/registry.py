@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from talliard.functions import ids
 from talliard.functions.metrics import compact, effective, tokens
 from talliard.operators import archive, asof, cost, history, limits, merge, reconcile, rollup, views
-from talliard.plans import checks, evidence, lineage, logged, periods, readers, scalars  # noqa: F401  they register their queries
+from talliard.plans import checks, evidence, fleets, lineage, logged, periods, readers, scalars  # noqa: F401  they register their queries
 from talliard.plans.catalog import ORACLE_SQL, QUERIES, TOK, query
 from talliard.plans.catalog import merged as _merged
 from talliard.plans.catalog import tagged as _tagged

@@ -11,6 +11,7 @@ from talliard.sources.logs import get, number, present, text
 PLANS = {"pro": "Pro", "plus": "Plus", "team": "Team", "business": "Business", "enterprise": "Enterprise"}
 WEEKLY = "USAGE_PERIOD_TYPE_WEEKLY"
 SHARED = "Shared across Grok products"
+MOST_TOKENS = 10**13
 #: From here on a time is in milliseconds.
 MILLIS = 1_000_000_000_000
 _OUT = ["provider", "source", "acct", "acct_q", "plan", "window", "scope", "detail", "used_percent", "resets_at", "observed_at", "quota_source"]
@@ -81,3 +82,20 @@ def kept_meters(kept: DataFrame, current: DataFrame, now: str, days: int = 14) -
     """current with the readings of organisations that it says nothing of any more, until some days after their reset."""
     gone = kept.join(current.select("org").distinct(), "org", "left_anti")
     return current.unionByName(gone.where(F.col("resets_at") + F.expr(f"interval {days} days") > F.expr(f"timestamp'{now}'")).select(*current.columns))
+
+
+def account_days(responses: DataFrame, now: str) -> DataFrame:
+    """(acct, date, total_tokens, observed_at) of a provider's answers about accounts (acct, observed_at, v): the largest total of a date that comes twice.
+
+    An answer with one bucket that has no real date, lies behind now, or no sensible count is refused as a whole, and so is one without buckets.
+    """
+    buckets = get("$.dailyUsageBuckets", "array<struct<startDate:string,tokens:bigint>>")
+    each = responses.withColumn("answer", F.monotonically_increasing_id()).select("answer", "acct", "observed_at", F.explode(buckets).alias("b"))
+    date = F.coalesce("b.startDate", F.lit(""))
+    day = F.try_to_timestamp(date, F.lit("yyyy-MM-dd"))
+    real = date.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.coalesce(F.date_format(day, "yyyy-MM-dd") == date, F.lit(False)) & (day <= F.lit(now).cast("timestamp"))
+    counts = F.coalesce("b.tokens", F.lit(0))
+    each = each.withColumn("bad", ~F.coalesce(real, F.lit(False)) | ~counts.between(0, MOST_TOKENS))
+    days = each.groupBy("answer", "acct", "observed_at", date.alias("date")).agg(F.max(counts).alias("total_tokens"), F.max("bad").alias("bad"))
+    refused = days.where("bad").select("answer").distinct()
+    return days.join(refused, "answer", "left_anti").select("acct", "date", "total_tokens", "observed_at")
