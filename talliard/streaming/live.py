@@ -2,10 +2,9 @@
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.utils import AnalysisException
 
 from talliard.functions.ids import local_date
@@ -29,36 +28,47 @@ def hourly(stream: DataFrame, width: str = "1 hour", slide: str | None = None) -
     return sums.select(F.col("w.start").alias("start"), "provider", "events", "tokens", "latest")
 
 
-def _grow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: an event's measures so far. Emits by how much each grew, if any did."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    before = state.get if state.exists else (0,) * len(MEASURES)
-    after, first = before, None
-    for rows in batches:
-        seen = rows.sort_values("seq").iloc[0].copy()
-        seen["latest"] = rows["ts"].max() if first is None else max(rows["ts"].max(), first["latest"])
-        if first is not None and first["seq"] < seen["seq"]:
-            first["latest"] = seen["latest"]
-        else:
-            first = seen
-        after = tuple(max(a, int(b)) for a, b in zip(after, rows[MEASURES].max(), strict=True))
-    state.update(after)
-    last = max(int(first["latest"].timestamp() * 1000), state.getCurrentWatermarkMs())
-    state.setTimeoutTimestamp(last + LIVE_MS)
-    if after != before:
-        yield pd.DataFrame([[key[0], first["provider"], first["ts"], *(a - b for a, b in zip(after, before, strict=True))]], columns=["id", "provider", "ts", *MEASURES])
+class Growth(StatefulProcessor):
+    """State: an event's measures so far, which a timer ends."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", f"until long, {', '.join(f'{m} long' for m in MEASURES)}")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        old = tuple(self.seen.get()) if self.seen.exists() else None
+        until, before = (old[0], old[1:]) if old else (0, (0,) * len(MEASURES))
+        after, first, latest = before, None, timerValues.getCurrentWatermarkInMs()
+        for r in rows:
+            after = tuple(max(a, r[m] or 0) for a, m in zip(after, MEASURES, strict=True))
+            latest = max(latest, int(r.ts.timestamp() * 1000))
+            first = r if first is None or r.seq < first.seq else first
+        if latest + LIVE_MS > until:
+            if until:
+                self.handle.deleteTimer(until)
+            until = latest + LIVE_MS
+            self.handle.registerTimer(until)
+        self.seen.update((until, *after))
+        if after != before:
+            yield Row(id=key[0], provider=first.provider, ts=first.ts, **{m: a - b for m, a, b in zip(MEASURES, after, before, strict=True)})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def growth(stream: DataFrame) -> DataFrame:
     """(id, provider, ts, measures): what each event's measures grew by, so that plain sums count every event once.
 
-    State ends by event time: timeouts by the clock would keep a query over all available files from ever ending.
+    State ends by event time: timeouts by the clock would keep a query over all available files from ever ending. Needs the RocksDB
+    state store (see pending.rocksdb).
     """
     out = "id string, provider string, ts timestamp, " + ", ".join(f"{m} long" for m in MEASURES)
     kept = stream.select("id", "provider", "ts", "seq", *MEASURES).withWatermark("ts", SEAL)
-    return kept.groupBy("id").applyInPandasWithState(_grow, out, ", ".join(f"{m} long" for m in MEASURES), "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.groupBy("id").transformWithState(Growth(), out, "append", "eventTime")
 
 
 def upsert(batch: DataFrame, path: str) -> list[str]:

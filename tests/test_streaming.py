@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talliard.operators.merge import MEASURES, merge_usage
-from talliard.streaming import live
+from talliard.streaming import live, pending
 
 COLUMNS = f"id string, provider string, source string, ts timestamp, ts_q string, tz_offset_min long, model string, acct string, acct_q string, q string, pv long, session string, {', '.join(f'{m} long' for m in MEASURES)}, machine string, cc string, ws string, seq string"
 
@@ -57,7 +57,8 @@ def test_stream_into_days(spark, stream, tmp_path):
 
 
 def test_growth_sums_to_the_maximum(spark, stream, tmp_path):
-    run(live.growth(stream()).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("grown").outputMode("append"))
+    with pending.rocksdb(spark):
+        run(live.growth(stream()).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("grown").outputMode("append"))
     got = spark.sql("select id, sum(tok_out) as n from grown group by id order by id").collect()
     want = sightings(spark).groupBy("id").agg({"tok_out": "max"}).orderBy("id").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
@@ -66,3 +67,18 @@ def test_growth_sums_to_the_maximum(spark, stream, tmp_path):
 def test_hourly_counts_an_id_once(spark, stream, tmp_path):
     run(live.hourly(stream()).writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("memory").queryName("hours").outputMode("update"))
     assert spark.sql("select sum(n) as n from (select max(events) as n from hours group by start, provider)").first().n == 30
+
+
+def test_growth_ends_by_event_time(spark, tmp_path):
+    """What was last seen long before the watermark is forgotten; state is then empty but for the newest."""
+    rows = sightings(spark)
+    late = rows.where("id = 'id1'").withColumn("ts", F.to_timestamp(F.lit("2026-12-01 00:00:00"))).withColumn("id", F.lit("last"))
+    for k, part in enumerate((rows, late, late)):
+        part.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        with pending.rocksdb(spark):
+            grown = live.growth(spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in")))
+            done = grown.writeStream.option("checkpointLocation", str(tmp_path / "cp")).format("parquet").option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+            done.awaitTermination()
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "cp"))
+    assert [r[0] for r in state.select("key.id").collect()] == ["last"]
+    assert spark.read.parquet(str(tmp_path / "out")).groupBy("id").count().where("id = 'last' and count > 1").count() == 0
