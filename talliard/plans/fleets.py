@@ -6,7 +6,7 @@ from talliard.functions.metrics import tokens
 from talliard.operators import fleet, rollup, views
 from talliard.operators.merge import merge_activity
 from talliard.plans.catalog import TOK, merged, query
-from talliard.plans.oracle import ACTIVITY, MERGED
+from talliard.plans.oracle import ACTIVITY, MERGED, keyed
 from talliard.sources import adapter, quota
 from talliard.tables import table
 
@@ -79,3 +79,28 @@ def jn_18(spark, sf_dir):
     index = lambda rows: rows.groupBy("machine").agg(F.collect_set("f").alias("files"))  # noqa: E731  a machine's months
     found = fleet.one_index(index(months.where("f >= '1997' and machine <> 'm_1'")), index(months.where("f < '1998' and machine <> 'm_2'")))
     return found.select("machine", F.array_join("files", ",").alias("files"), "source")
+
+
+_KEY = b"synthetic key of the tests"
+
+
+@query("sc_13_account_quotas", f"""with c as (select *, case c_custkey % 5 when 0 then 'anthropic' when 1 then 'openai' when 2 then 'xai' when 3 then 'cursor' else 'google' end as provider from customer where c_custkey % 13 <> 4 and c_custkey % 17 <> 3 and c_custkey % 19 <> 2),
+w as (select *, 'week' as w, c_acctbal / 100 as used, 'ok' as status from c union all select *, 'session', null, '' from c where c_custkey % 3 > 0)
+select provider, concat('a_', substr({keyed(_KEY, "provider || '|' || c_name")}, 1, 16)) as acct, case when c_custkey % 2 = 0 then concat('a_', substr({keyed(_KEY, "provider || '|org:o' || (c_custkey % 7)")}, 1, 16)) else '' end as org, case when c_custkey % 2 = 0 then 'team' else '' end as org_kind,
+  w as window, used as used_percent, timestamp '1999-06-01' + to_hours(c_custkey % 900) as resets_at, timestamp '{_NOW}' - to_minutes(c_custkey % 500) as observed_at, status from w where used is null or used between 0 and 100""")
+def sc_13(spark, sf_dir):
+    """Customers as documents: some of another form, of a time to come, or of a kind that is none; windows below zero or of unknown names."""
+    k = F.col("c_custkey")
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    now = F.lit(_NOW).cast("timestamp")
+    reset = iso(F.timestamp_add("HOUR", (k % 900).cast("int"), F.lit("1999-06-01").cast("timestamp")))
+    none = F.lit(None).cast("double")
+    window = lambda name, used, status: F.struct(F.lit(name).alias("window"), used.alias("usedPercent"), reset.alias("resetsAt"), F.lit(status).alias("status"))
+    windows = F.array_compact(F.array(window("week", F.col("c_acctbal") / 100, "ok"), F.when(k % 3 > 0, window("session", none, "")), window("month", none, ""), window("plan", none, "odd")))
+    team = k % 2 == 0
+    document = F.to_json(F.struct(
+        F.when(k % 13 == 4, 2).otherwise(1).alias("schema"), F.element_at(F.array(*map(F.lit, adapter.PROVIDERS)), (k % 5 + 1).cast("int")).alias("provider"), F.col("c_name").alias("accountId"), F.when(team, F.concat(F.lit("o"), k % 7)).alias("orgId"),
+        F.when(k % 17 == 3, "club").when(team, "team").alias("orgKind"), iso(F.when(k % 19 == 2, F.timestamp_add("HOUR", F.lit(1), now)).otherwise(F.timestamp_add("MINUTE", -(k % 500).cast("int"), now))).alias("observedAt"), windows.alias("windows"),
+    ))
+    found = quota.account_quotas(table(spark, sf_dir, "customer").select(document.alias("value")), _KEY, _NOW)
+    return found.select("provider", "acct", "org", "org_kind", "window", "used_percent", "resets_at", "observed_at", "status")

@@ -55,3 +55,10 @@ p as (select substr(sha256(concat('v1|prompt|', provider, '|', source, '|', conv
     timestamp '1970-01-01' + to_seconds(1750000000 + conv_id * 3600 + turn * 60) as ts, cast((conv_id % 3 - 1) * 480 as bigint) as tz_offset_min,
     case when turn % 3 = 0 then '' else concat('model-', conv_id % 7) end as model, concat('a_', conv_id % 9) as acct, case conv_id % 4 when 0 then 'inferred' when 1 then 'recorded' when 2 then 'timeline' else 'bounded' end as acct_q, concat('m_', conv_id % 4) as machine,
     concat('/home/u/project-', conv_id % 6) as workspace, concat('s_', substr(sha256(concat(provider, '|', conv_id)), 1, 16)) as session, text from p0)"""
+
+
+def keyed(key: bytes, message: str) -> str:
+    """SQL of an HMAC-SHA256 in hex, by its two digests."""
+    block = key.ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
+    return f"sha256(from_hex('{outer}') || from_hex(sha256(from_hex('{inner}') || encode({message}))))"

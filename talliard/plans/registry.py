@@ -10,7 +10,7 @@ from talliard.plans import checks, evidence, fleets, lineage, logged, periods, r
 from talliard.plans.catalog import ORACLE_SQL, QUERIES, TOK, query
 from talliard.plans.catalog import merged as _merged
 from talliard.plans.catalog import tagged as _tagged
-from talliard.plans.oracle import ACTIVITY, MERGED, PROMPTS, USAGE
+from talliard.plans.oracle import ACTIVITY, MERGED, PROMPTS, USAGE, keyed
 from talliard.sources import adapter
 from talliard.tables import staged
 
@@ -493,7 +493,7 @@ def fn_13(spark, sf_dir):
     return sums.select("model", "date", "n", compact(F.col("n")).alias("label"))
 
 
-@query("fn_03_account_hash")
+@query("fn_03_account_hash", f"""with {MERGED} select distinct provider, acct, concat('a_', substr({keyed(KEY, "provider || '|' || acct")}, 1, 16)) as hash, concat('w_', substr({keyed(KEY, "'workspace|' || acct")}, 1, 16)) as tag from m where acct <> ''""")
 def fn_03(spark, sf_dir):
     rows = _merged(spark, sf_dir).select("provider", "acct").where("acct <> ''").distinct()
     return rows.select("provider", "acct", ids.account_hash(KEY, F.col("provider"), F.col("acct")).alias("hash"), ids.workspace_tag(KEY, F.col("acct")).alias("tag"))

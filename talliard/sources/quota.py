@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talliard.functions import ids
 from talliard.functions.metrics import window_of_minutes
 from talliard.operators.accounts import by_probe
 from talliard.sources.logs import get, number, present, text
@@ -12,6 +13,9 @@ PLANS = {"pro": "Pro", "plus": "Plus", "team": "Team", "business": "Business", "
 WEEKLY = "USAGE_PERIOD_TYPE_WEEKLY"
 SHARED = "Shared across Grok products"
 MOST_TOKENS = 10**13
+SOURCES = {"anthropic": "claude-code", "openai": "codex", "xai": "grok-cli", "cursor": "cursor", "google": "gemini-cli"}
+KINDS, NAMES, STATUSES = ["personal", "team", "enterprise"], ["week", "session", "plan", "extra"], ["ok", "full", "disabled"]
+MOST_QUOTA = 1 << 20
 #: From here on a time is in milliseconds.
 MILLIS = 1_000_000_000_000
 _OUT = ["provider", "source", "acct", "acct_q", "plan", "window", "scope", "detail", "used_percent", "resets_at", "observed_at", "quota_source"]
@@ -84,6 +88,32 @@ def kept_meters(kept: DataFrame, current: DataFrame, now: str, days: int = 14) -
     return current.unionByName(gone.where(F.col("resets_at") + F.expr(f"interval {days} days") > F.expr(f"timestamp'{now}'")).select(*current.columns))
 
 
+def account_quotas(files: DataFrame, key: bytes, now: str) -> DataFrame:
+    """Readings of documents (value) about one account each: its own, of one form, not of later than two minutes from now.
+
+    A document that is too long, of another form or without a real account, kind or time is left out; of the others, each window with a known name, status
+    and percentage. Accounts and organisations leave as keyed hashes.
+    """
+    held = files.where(F.octet_length("value") <= MOST_QUOTA).select(F.try_parse_json("value").alias("v")).where("v is not null")
+    acct, org, kind = text("$.accountId"), text("$.orgId"), text("$.orgKind")
+    fields = "array<struct<window:string,scope:string,usedPercent:double,resetsAt:string,status:string>>"
+    held = held.select(
+        text("$.provider").alias("provider"), acct.alias("own"), org.alias("of"), kind.alias("org_kind"), F.trim(text("$.name")).alias("name"), F.trim(text("$.plan")).alias("plan"), F.try_to_timestamp(get("$.observedAt")).alias("observed_at"),
+        get("$.schema", "bigint").alias("form"), get("$.windows", fields).alias("windows"),
+    )
+    held = held.where((F.col("form") == 1) & F.col("provider").isin(*SOURCES) & (F.col("own") != "") & (F.octet_length("own") <= 512) & F.col("org_kind").isin("", *KINDS))
+    held = held.where(F.col("observed_at") <= F.lit(now).cast("timestamp") + F.expr("interval 2 minutes"))
+    rows = held.select("*", F.explode("windows").alias("w")).where(F.col("w.window").isin(*NAMES) & F.coalesce("w.status", F.lit("")).isin("", *STATUSES))
+    rows = rows.where(F.col("w.usedPercent").isNull() | (F.col("w.usedPercent").between(0, 100) & ~F.isnan("w.usedPercent")))
+    source = F.coalesce(*(F.when(F.col("provider") == p, s) for p, s in SOURCES.items()))
+    hashed = lambda c: ids.account_hash(key, F.col("provider"), c)
+    return rows.select(
+        "provider", source.alias("source"), hashed(F.col("own")).alias("acct"), F.lit("recorded").alias("acct_q"), F.when(F.col("of") == "", "").otherwise(hashed(F.concat(F.lit("org:"), "of"))).alias("org"), "org_kind", "name", "plan",
+        F.col("w.window").alias("window"), F.trim(F.coalesce("w.scope", F.lit(""))).alias("scope"), F.col("w.usedPercent").alias("used_percent"), F.try_to_timestamp("w.resetsAt").alias("resets_at"), "observed_at",
+        F.coalesce("w.status", F.lit("")).alias("status"), F.lit("account-api").alias("quota_source"),
+    )
+
+
 def account_days(responses: DataFrame, now: str) -> DataFrame:
     """(acct, date, total_tokens, observed_at) of a provider's answers about accounts (acct, observed_at, v): the largest total of a date that comes twice.
 
