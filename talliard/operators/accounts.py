@@ -7,6 +7,7 @@ are as-of windows by day (asof.around); segments between logins are keys, so no
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talliard.functions.ids import event_id
 from talliard.operators.asof import around, last_before
 from talliard.operators.eras import by_era, plan_eras
 from talliard.operators.merge import acct_rank
@@ -172,3 +173,16 @@ def attributed(events: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
     rows = events.select("id").join(own, "id", "left").join(seen, "id", "left").join(other, "id", "left")
     on_time = F.when(F.col("_seen.acct_q") == "timeline", F.col("_seen"))
     return rows.select("id", F.coalesce("_own", on_time, "_other", "_seen").alias("r")).select("id", "r.*")
+
+
+def of_logs(usage: DataFrame, evidence: dict[str, DataFrame], home: str) -> DataFrame:
+    """(id, acct, acct_q) of a log reader's usage (native_key, provider, source, ts, session, hint): the log's own hint with the evidence of its home.
+
+    A transcript's hint names an organisation, a rollout's its account.
+    """
+    hint = F.coalesce("hint", F.lit(""))
+    events = usage.select(
+        event_id("usage", F.col("provider"), F.col("source"), F.col("native_key")).alias("id"), "provider", F.lit(home).alias("home"), "ts", "session", hint.alias("hint"),
+        F.when((hint != "") & (F.col("provider") == "anthropic"), "org").otherwise("").alias("hint_kind"), F.col("ts").alias("hint_at"),
+    )
+    return attributed(events.dropDuplicates(["id"]), evidence)

@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-
-from talliard.operators import merge
+from talliard.functions import ids
+from talliard.operators import accounts, merge
 from talliard.plans.catalog import query
 from talliard.sources import logs
 from talliard.tables import shared_path, table
@@ -120,3 +120,30 @@ select concat('g', conv_id, ':', turn) as native_key, coalesce(m, '') as model,
 def pr_17(spark, sf_dir):
     _, prompts = logs.gemini(spark, sessions(spark, sf_dir), "part-*")
     return prompts.select("native_key", "model", "text", "has_usage")
+
+
+def _logins(spark, days):
+    """Who was seen logged in, from midnight to six in the evening, and the accounts of every other organisation."""
+    none = lambda schema: spark.createDataFrame([], f"provider string, home string, {schema}")
+    keys = [F.lit("anthropic").alias("provider"), F.lit("h").alias("home")]
+    start = F.col("d").cast("timestamp")
+    probes = days.select(*keys, start.alias("from_ts"), (start + F.expr("interval 18 hours")).alias("to_ts"), F.concat(F.lit("a_"), F.dayofyear("d") % 4).alias("acct"))
+    return {
+        "probes": probes, "bounds": none("ts timestamp"), "sessions": none("session string, ts timestamp, acct string"), "spans": none("session string, proc string, from_ts timestamp, to_ts timestamp"), "users": none("proc string, ts timestamp, acct string"),
+        "folders": none("proc string, from_ts timestamp, to_ts timestamp, acct string"), "owners": none("proc string, ts timestamp, acct string"), "samples": none("ts timestamp, acct string"),
+    }
+
+
+@query("pr_23_accounts_of_logs", f"""with {_USED}, d as (select distinct cast({_AT} as date) as d from conversations where role = 'assistant' and conv_id % 11 > 0),
+x as (select u.*, d.d, n.d as next, cast(d.d as timestamp) + interval 18 hours as ends, try_cast(session as bigint) as s from u join d on d.d = cast(u.ts as date) asof left join d n on cast(u.ts as date) < n.d),
+y as (select *, ts <= ends as inside, epoch_us(ts) - epoch_us(ends) as behind, case when next is not null then epoch_us(cast(next as timestamp)) - epoch_us(ts) end as ahead from x)
+select native_key, case when hint is not null then case when s % 2 = 0 then concat('o_', s % 4) else hint end when inside or ahead is null or behind <= ahead then concat('a_', dayofyear(d) % 4) else concat('a_', dayofyear(next) % 4) end as acct,
+  case when hint is not null then case when s % 2 = 0 then 'recorded' else 'bounded' end when inside or least(behind, coalesce(ahead, behind)) <= 120000000 then 'timeline' else 'inferred' end as acct_q from y""")
+def pr_23_accounts(spark, sf_dir):
+    """Whose the usage of transcripts is: by the organisation that a line names, else by who was logged in."""
+    usage, _ = logs.claude(spark, transcripts(spark, sf_dir), "part-*")
+    conv = F.col("session").cast("long")
+    orgs = usage.where(conv % 2 == 0).select("provider", F.lit("h").alias("home"), F.concat(F.lit("org-"), "session").alias("org"), F.concat(F.lit("o_"), conv % 4).alias("acct"), F.lit(1).alias("rank")).distinct()
+    found = accounts.of_logs(usage, {**_logins(spark, usage.select(F.to_date("ts").alias("d")).distinct()), "orgs": orgs}, "h")
+    known = usage.select("native_key", ids.event_id("usage", F.col("provider"), F.col("source"), F.col("native_key")).alias("id"))
+    return known.join(found, "id").select("native_key", "acct", "acct_q")
