@@ -37,6 +37,8 @@ END_ID = 2
 SHARD_TOKENS = 1 << 22
 #: Pieces that a worker remembers before it starts over.
 PIECES = 250_000
+#: Letters of a text by which equal doc_ids are dealt.
+BEGIN = 512
 #: Texts that are in pieces at once.
 TEXTS = 32
 #: Marks behind letters; the end of the Latin letters that neither composing nor folding changes into anything but one letter, but for one.
@@ -274,9 +276,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield flush()
 
     spark = docs.sparkSession
-    # equal doc_ids, and null ones, are dealt by their texts, equal rows by where they came from
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").withColumns({"_of_text": F.xxhash64("text"), "_spread": F.monotonically_increasing_id()})
-    ordered = rows.repartitionByRange(parts(spark), "doc_id", "_of_text", "_spread").sortWithinPartitions("doc_id", "_of_text", "text").drop("_of_text", "_spread")
+    # equal doc_ids, and null ones, are dealt by how their texts begin
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").withColumn("_begin", F.substring("text", 1, BEGIN))
+    ordered = rows.repartitionByRange(parts(spark), "doc_id", "_begin").sortWithinPartitions("doc_id", "text").drop("_begin")
     ordered.mapInArrow(encode, "part int, file int, n_ids long, n_docs long, data binary").write.parquet(path)
 
 
