@@ -1,8 +1,10 @@
 """Merging sightings of the same event by id; no result depends on the order of rows, but first sightings go by seq.
 
-All of an id's sightings meet in one shuffle.
+All of an id's sightings meet in one shuffle, or in none where they are already dealt by what an id determines.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +46,18 @@ def reporter() -> Column:
     return F.min(F.when(F.col("machine") != "", F.struct((-channel()).alias("r"), "seq", "machine", "cc")))
 
 
-def merge_usage(sightings: DataFrame, combine: bool = False) -> DataFrame:
+def merge_usage(sightings: DataFrame, combine: bool = False, within: Sequence[str] = ()) -> DataFrame:
     """One row an id: the highest parser version's measures, the best account, and the first sighting's reporter and day.
 
     Whatever only counts in the highest version is an extreme of (version, value), so one grouping does it. Rows are dealt by id
     first, and sorted once; combine groups them in their own tasks before, for sources that send the same ids many times over.
+    within names columns that an id determines: where the sightings are dealt by them, as after a join, they are not shuffled again.
     """
-    rows = sightings if combine else sightings.repartition("id")
+    rows = sightings if combine or within else sightings.repartition("id")
     newest_first = (-F.col("pv")).alias("p")
     time_rank = F.when(F.col("ts_q") == "event", 2).when(F.col("ts_q") == "session-start", 1).otherwise(0)
     ws = F.nullif("ws", F.lit(""))
-    merged = rows.groupBy("id").agg(
+    merged = rows.groupBy(*within, "id").agg(
         F.min("provider").alias("provider"), F.min(F.struct(newest_first, (-channel()).alias("r"), "seq", "source")).alias("_s"), F.max("pv").alias("pv"),
         *(F.max(F.struct("pv", m)).alias(m) for m in MEASURES),
         F.min(F.struct(newest_first, (-time_rank).alias("r"), "ts", "ts_q")).alias("_t"), F.min(F.struct(newest_first, (F.col("q") != "exact").alias("q"))).alias("_q"),

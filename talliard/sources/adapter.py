@@ -17,16 +17,20 @@ def _nth(values: list[str], n) -> F.Column:
     return F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int"))
 
 
-def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sightings of usage events; the same id comes several times."""
+def usage_events(spark: SparkSession, sf_dir: str, placed: bool = False) -> DataFrame:
+    """Sightings of usage events; the same id comes several times. placed: with l_orderkey, which an id determines and by which they are dealt.
+
+    Customers come to orders first, so that lines are shuffled once, by their order, and before they are widened.
+    """
     line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     customer = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
-    rows = line.join(order, line.l_orderkey == order.o_orderkey).join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    order = order.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_custkey", "n_name")
+    rows = line.join(order, line.l_orderkey == order.o_orderkey)
     provider, source = _nth(PROVIDERS, F.col("l_suppkey") % 5), _nth(SOURCES, F.col("l_suppkey") % 5)
     key = F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), (F.col("l_partkey") % 2).cast("string"))
     padded = [F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("l_orderkey", 12), ("l_linenumber", 3), ("l_partkey", 12), ("l_suppkey", 12))]
     return rows.select(
-        ids.event_id("usage", provider, source, key).alias("id"), provider.alias("provider"), source.alias("source"),
+        *(["l_orderkey"] if placed else []), ids.event_id("usage", provider, source, key).alias("id"), provider.alias("provider"), source.alias("source"),
         F.col("l_shipdate").cast("timestamp").alias("ts"), F.when(F.col("l_linenumber") % 5 == 0, "session-start").otherwise("event").alias("ts_q"),
         ((F.col("l_orderkey") % 3 - 1) * 480).cast("long").alias("tz_offset_min"),
         F.when(F.col("l_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("model-"), (F.col("l_partkey") % 7).cast("string"))).alias("model"),
