@@ -184,7 +184,8 @@ def gemini(spark: SparkSession, path: str, glob: str = "session-*.json") -> tupl
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
     files = files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("s")).where("s is not null")
     session = F.coalesce(F.nullif(get("$.sessionId", v="s"), F.lit("")), F.regexp_extract("file", r"session-(.*)\.json$", 1))
-    messages = files.select("file", session.alias("session"), F.posexplode(get("$.messages", "array<variant>", "s")).alias("at", "v"))
+    held = files.select("file", session.alias("session"), get("$.messages", "array<variant>", "s").alias("ms"))  # before they part: a message would carry its file along
+    messages = held.select("file", "session", F.posexplode("ms").alias("at", "v"))
     n = lambda f: number(f"$.tokens.{f}")
     some = F.greatest(*(n(f) for f in ("input", "output", "cached", "thoughts", "tool"))) > 0
     rows = messages.withColumns({"type": text("$.type"), "ts": F.try_to_timestamp(get("$.timestamp")), "model": text("$.model"), "native_key": F.concat_ws(":", "session", text("$.id")), "some": some, "cwd": F.lit(""), "hint": F.lit(None).cast("string")})

@@ -6,7 +6,7 @@ import pytest
 
 from talliard.operators.merge import merge_usage
 from talliard.plans.catalog import merged
-from talliard.sources import adapter
+from talliard.sources import adapter, logs, published
 
 DIR = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(DIR), reason="the driver's tables are not here")
@@ -34,3 +34,24 @@ def test_merging_shuffles_lines_once(spark, shuffled_joins):
 @tables
 def test_merging_within_what_an_id_determines(spark, shuffled_joins):
     assert sorted(merged(spark, DIR).collect()) == sorted(merge_usage(adapter.usage_events(spark, DIR)).collect())
+
+
+def carried(df) -> list[list[str]]:
+    """What each explode of a plan carries along for every row that it makes."""
+    found = []
+    nodes = [df._jdf.queryExecution().optimizedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "Generate":
+            found.append([node.requiredChildOutput().apply(k).name() for k in range(node.requiredChildOutput().size())])
+        nodes += [node.children().apply(k) for k in range(node.children().size())]
+    return found
+
+
+def test_rows_of_a_file_leave_the_file_behind(spark, tmp_path):
+    files = spark.createDataFrame([("m", '{"cols": ["date", "provider"], "rows": [["2026-01-01", "openai"]]}')], "machine string, value string").repartition(1)
+    for rows in (published.usage_rows(files), published.ledger_rows(files)):
+        assert carried(rows) and all(set(c) <= {"machine", "places"} for c in carried(rows))
+    (tmp_path / "session-1.json").write_text('{"sessionId": "a", "messages": [{"id": "1", "type": "user", "timestamp": "2026-01-01T00:00:00Z", "content": "hi"}]}')
+    for rows in logs.gemini(spark, str(tmp_path)):
+        assert carried(rows) and all(set(c) <= {"file", "session"} for c in carried(rows))
