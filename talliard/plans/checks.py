@@ -54,9 +54,8 @@ def fi_01(spark, sf_dir):
 
 @query("fi_06_routing", f"with {_JUDGED} select case when reason is null then 'accepted' else 'rejected' end as route, count(*) as n, cast(sum(least(hour, cache_w)) as bigint) as cache_w1h from j group by all")
 def fi_06(spark, sf_dir):
-    good, bad = validate.routed(_usage(spark, sf_dir), LATER)
-    count = lambda df, route: df.groupBy(F.lit(route).alias("route")).agg(F.count("*").alias("n"), F.sum("cache_w1h").cast("long").alias("cache_w1h"))
-    return count(good, "accepted").unionByName(count(bad, "rejected"))
+    rows = validate.routed(_usage(spark, sf_dir), LATER)
+    return rows.groupBy("route").agg(F.count("*").alias("n"), F.sum("cache_w1h").cast("long").alias("cache_w1h"))
 
 
 @query("fi_02_activity_validation", f"select {_sql_reason(_NAMES, 'event_id')} as reason, count(*) as n, cast(count_if(event_type <> 'error') as bigint) as has_usage from events group by all")
