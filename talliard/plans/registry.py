@@ -463,7 +463,7 @@ def _history(spark, sf_dir):
     rows = _tagged(spark, sf_dir)
     idle = F.expr(_IDLE)
     tokens_ = F.when(idle | (F.col("l") % 3 == 0), 0).otherwise(F.col("tokens"))
-    places = rows.withColumn("l", F.conv(F.substring("id", 1, 6), 16, 10).cast("long")).groupBy("provider", "date", "machine").agg(F.sum(tokens_).cast("long").alias("tokens"), F.count_if(~idle).alias("prompts"))
+    places = staged(rows.withColumn("l", F.conv(F.substring("id", 1, 6), 16, 10).cast("long")).groupBy("provider", "date", "machine").agg(F.sum(tokens_).cast("long").alias("tokens"), F.count_if(~idle).alias("prompts")))  # a row a day and machine, read seven times
     days = places.groupBy("provider", "date").agg(F.floor(F.sum("prompts") / 2).cast("long").alias("missing"), (F.sum("tokens") % 10007 + 1).cast("long").alias("amount"))
     activity = history.unlogged(places, days.select("provider", "date", "missing"))
     countries = spark.sql("select col1 as machine, col2 as cc from values ('m_0', 'de'), ('m_1', 'FR'), ('m_2', 'DE'), ('m_3', '')")

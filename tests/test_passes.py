@@ -21,3 +21,8 @@ def lineitem_reads(df) -> int:
 def test_routing_judges_rows_once(spark):
     found = registry.QUERIES["fi_06_routing"](spark, DIR)
     assert lineitem_reads(found) == 1 and "isnull(CASE" not in optimized(found)
+
+
+@pytest.mark.parametrize("name", ["cx_05_history_moves", "cx_07_machine_with_history"])
+def test_history_reads_what_machines_did_from_one_stage(spark, name):
+    assert lineitem_reads(registry.QUERIES[name](spark, DIR)) == 0
