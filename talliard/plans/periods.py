@@ -9,6 +9,7 @@ from talliard.operators import projects
 from talliard.plans.catalog import TOK, merged, query
 from talliard.plans.oracle import MERGED, PROMPTS
 from talliard.sources import adapter
+from talliard.tables import staged
 
 _NOW = "1998-06-15 12:00:00"
 _KEY = b"synthetic key of the tests"
@@ -54,7 +55,7 @@ def _usage(spark, sf_dir):
 
 
 def _spans(usage):
-    accounts = usage.select("provider", "acct").distinct()
+    accounts = staged(usage.select("provider", "acct").distinct())  # few rows of all usage, read many times
     n = F.regexp_extract("acct", "[0-9]+", 0).cast("int")
     weekly = accounts.where(n % 4 > 0).select("provider", "acct", F.expr("timestamp'1998-06-01 09:00:00'").alias("a"), n.alias("n"))
     told = weekly.select("provider", "acct", F.timestamp_add("DAY", F.col("n") * 3, F.col("a")).alias("resets_at"), F.col("a").alias("observed_at"))

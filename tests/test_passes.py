@@ -26,3 +26,7 @@ def test_routing_judges_rows_once(spark):
 @pytest.mark.parametrize("name", ["cx_05_history_moves", "cx_07_machine_with_history"])
 def test_history_reads_what_machines_did_from_one_stage(spark, name):
     assert lineitem_reads(registry.QUERIES[name](spark, DIR)) == 0
+
+
+def test_accounts_of_all_usage_are_found_once(spark):
+    assert lineitem_reads(registry.QUERIES["cx_15_projects"](spark, DIR)) == 1
