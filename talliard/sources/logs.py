@@ -4,6 +4,9 @@ Readers take a folder by any path Spark reads and return usage (native_key, ts,
 and prompts (native_key, ts, session, model, cwd, text, has_usage), with provider and source; events() turns usage into
 rows for merging. A line that is no JSON is skipped, a bad field is null. Reading a file again is harmless, as ids depend
 on content only. Files may be split among tasks: a line's place is its block's start and its number in the task.
+
+Very many small files may come packed: in few large ones, where each line has its file's name and a tab in front, as pack()
+writes them. A file then lies whole and in order in one pack.
 """
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,11 +20,23 @@ MOST_BYTES = 256 * 1024 * 1024
 IMAGE_TAG = r"^</?image\b[^>]*>$"
 
 
-def lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
+def pack(rows: DataFrame, path: str) -> None:
+    """rows (name, order, value) as packed files below path: lines of a name together, by their order."""
+    rows.repartition("name").sortWithinPartitions("name", "order").select(F.concat("name", F.lit("\t"), "value").alias("value")).write.text(path)
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """rows (file, value) of packed files with each line's own file and value."""
+    tab = F.instr("value", "\t")
+    return rows.where(tab > 0).withColumns({"file": F.concat("file", F.lit("/"), F.substring_index("value", "\t", 1)), "value": F.expr("substring(value, instr(value, '\t') + 1)")})
+
+
+def lines(spark: SparkSession, path: str, glob: str = "*.jsonl", packed: bool = False) -> DataFrame:
     """(file, at, v) of all JSON lines below path; at sorts a file's lines."""
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    found = rows.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value").where(F.octet_length("value") <= MOST_BYTES)
+    found = rows.select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
+    found = (unpacked(found) if packed else found).where(F.octet_length("value") <= MOST_BYTES)
     return found.select("file", "at", F.try_parse_json("value").alias("v")).where("v is not null")
 
 
@@ -95,9 +110,9 @@ def transcript_prompt(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("ts").isNotNull() & ~flag("$.isSidechain"), said))
 
 
-def claude(spark: SparkSession, path: str, glob: str = "*.jsonl") -> tuple[DataFrame, DataFrame]:
+def claude(spark: SparkSession, path: str, glob: str = "*.jsonl", packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(usage, prompts) of transcripts: streamed lines of a message count once, with the largest measures."""
-    rows = transcript(lines(spark, path, glob))
+    rows = transcript(lines(spark, path, glob, packed))
     org = F.when((F.col("type") == "attachment") & (text("$.attachment.type") == "credential_org") & F.col("ts").isNotNull(), F.nullif(get("$.attachment.organizationUuid"), F.lit("")))
     rows = rows.withColumn("hint", _so_far(org))
     key = F.coalesce(F.nullif(text("$.message.id"), F.lit("")), F.nullif(text("$.requestId"), F.lit("")), F.concat("session", F.lit(":"), "uuid"))
@@ -124,9 +139,9 @@ def _codex_measures(path: str) -> dict[str, Column]:
     }
 
 
-def codex(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl") -> tuple[DataFrame, DataFrame]:
+def codex(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl", packed: bool = False) -> tuple[DataFrame, DataFrame]:
     """(usage, prompts) of rollouts: records of usage, or in files without any before, rises of a cumulative counter."""
-    rows = lines(spark, path, glob).select("file", "at", "v", text("$.type").alias("type"), text("$.payload.type").alias("part"), F.try_to_timestamp(get("$.timestamp")).alias("ts"))
+    rows = lines(spark, path, glob, packed).select("file", "at", "v", text("$.type").alias("type"), text("$.payload.type").alias("part"), F.try_to_timestamp(get("$.timestamp")).alias("ts"))
     is_meta, is_turn = F.col("type") == "session_meta", F.col("type") == "turn_context"
     in_file = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("at")) - 1)
@@ -179,10 +194,11 @@ def codex(spark: SparkSession, path: str, glob: str = "rollout-*.jsonl") -> tupl
     return _named(usage, "openai", "codex"), _named(prompts, "openai", "codex")
 
 
-def gemini(spark: SparkSession, path: str, glob: str = "session-*.json") -> tuple[DataFrame, DataFrame]:
-    """(usage, prompts) of whole-file sessions; a prompt's model is the next answer's, even if that is empty."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True).text(path)
-    files = files.select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("s")).where("s is not null")
+def gemini(spark: SparkSession, path: str, glob: str = "session-*.json", packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(usage, prompts) of whole-file sessions, packed: one a line; a prompt's model is the next answer's, even if that is empty."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", not packed).text(path)
+    files = files.select(F.col("_metadata.file_path").alias("file"), "value")
+    files = (unpacked(files) if packed else files).select("file", F.try_parse_json("value").alias("s")).where("s is not null")
     session = F.coalesce(F.nullif(get("$.sessionId", v="s"), F.lit("")), F.regexp_extract("file", r"session-(.*)\.json$", 1))
     held = files.select("file", session.alias("session"), get("$.messages", "array<variant>", "s").alias("ms"))  # before they part: a message would carry its file along
     messages = held.select("file", "session", F.posexplode("ms").alias("at", "v"))
