@@ -34,6 +34,15 @@ def test_merging_shuffles_lines_once(spark, shuffled_joins):
     assert "hashpartitioning(l_orderkey#" in found and "hashpartitioning(id#" not in found and found.count("hashpartitioning(o_custkey#") == 1
 
 
+@tables
+@pytest.mark.parametrize("name", ["cx_17_unledgered", "cx_17_salvage"])
+def test_two_rollups_of_one_pass(spark, shuffled_joins, name):
+    """Events are merged once for both rollups, and shuffled once behind that, by what a cell and its namesakes share."""
+    found = plan(registry.QUERIES[name](spark, DIR))
+    assert found.count("hashpartitioning(l_orderkey#") == 1
+    assert [x.split("#")[0] for x in found.split("hashpartitioning(")[1:]].count("date") == (2 if name == "cx_17_unledgered" else 1)
+
+
 @tables
 def test_merging_within_what_an_id_determines(spark, shuffled_joins):
     assert sorted(merged(spark, DIR).collect()) == sorted(merge_usage(adapter.usage_events(spark, DIR)).collect())
