@@ -1,7 +1,8 @@
 """Which account an event belongs to: by its own record, by who was logged in, or by evidence around it.
 
 Events: id, provider, home, ts, session, hint, hint_kind ('' or org), hint_at. Evidence tables share provider and home. Lookups in time
-are as-of windows by day (asof.around); segments between logins are keys, so no range join is made.
+are as-of windows by day (asof.around); segments between logins are keys, so no range join is made. A lookup reads its rows twice (days, and
+rows of a day), so what one lookup asks of another is staged between them; else the first would be done over for each reader.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,6 +12,7 @@ from talliard.functions.ids import event_id
 from talliard.operators.asof import around, last_before
 from talliard.operators.eras import by_era, plan_eras
 from talliard.operators.merge import acct_rank
+from talliard.tables import staged
 
 KEYS = ["provider", "home"]
 # Fixed values, in minutes: slack around an observed login, that of session records, and how old a process's user may be.
@@ -93,19 +95,48 @@ def by_process(events: DataFrame, spans: DataFrame, users: DataFrame) -> DataFra
     covers = asked.withColumn("_day", F.to_date("ts")).join(by_day, [*keys, "_day"]).where(F.col("ts").between(_later("span.from_ts", -SLACK), _later("span.to_ts", SLACK)))
     around_it = covers.groupBy("id").agg(F.max_by("span", F.struct("span.from_ts", "span.proc")).alias("_in"))
     near = around(asked, spans.select(*keys, F.col("from_ts").alias("ts"), whole.alias("span")), keys, "span", True)
-    pick = near.join(around_it, "id", "left").select("id", *KEYS, F.coalesce("_in", "_b.span", "_a.span").alias("p")).where("p is not null").select("id", *KEYS, "p.*")
+    pick = staged(near.join(around_it, "id", "left").select("id", *KEYS, F.coalesce("_in", "_b.span", "_a.span").alias("p")).where("p is not null").select("id", *KEYS, "p.*"))
     seen = around(pick.select("id", *KEYS, "proc", _later("to_ts", SLACK).alias("ts")), users, [*KEYS, "proc"], "acct", False)
     found = seen.select("id", "_b.at", "_b.acct").join(pick.select("id", "from_ts"), "id")
     return found.where(F.col("at") >= _later("from_ts", -PROCESS_AGE)).select("id", "at", "acct")
 
 
+def best_pieces(pieces: DataFrame, keys: list[str], rank: str) -> DataFrame:
+    """(keys, ts, best) from pieces of time (keys, begin, end, rank): from ts until the key's next row, the highest rank of the pieces around; null where there is none.
+
+    begin and end are in microseconds, end not included. A piece is cut into blocks of 2^k microseconds that begin at their multiples,
+    two of a size at most; the pieces of a block leave their highest rank. Each edge of a piece lies in one block of a size. So no
+    edge, and no event, meets all pieces around it.
+    """
+    sizes = F.sequence(F.lit(0), F.lit(62))
+    node = lambda k, n: F.struct(k.alias("size"), n.alias("block"))
+    low, high = lambda k: -F.call_function("shiftright", -F.col("begin"), k), lambda k: F.call_function("shiftright", F.col("end"), k)
+    left = lambda k: F.when((low(k) < high(k)) & (low(k) % 2 != 0), node(k, low(k)))
+    right = lambda k: F.when((low(k) < high(k)) & (high(k) % 2 != 0), node(k, high(k) - 1))
+    cut = F.array_compact(F.concat(F.transform(sizes, left), F.transform(sizes, right)))
+    blocks = pieces.where("begin < end").select(*keys, rank, F.explode(cut).alias("b")).groupBy(*keys, "b.size", "b.block").agg(F.max(rank).alias(rank))
+    edges = pieces.where("begin < end").select(*keys, F.explode(F.array("begin", "end")).alias("at")).distinct()
+    asked = edges.select(*keys, "at", F.explode(F.transform(sizes, lambda k: node(k, F.call_function("shiftright", F.col("at"), k)))).alias("b")).select(*keys, "at", "b.*")
+    best = asked.join(blocks, [*keys, "size", "block"], "left").groupBy(*keys, "at").agg(F.max(rank).alias("best"))
+    return best.select(*keys, F.timestamp_micros("at").alias("ts"), "best")
+
+
 def by_folder(events: DataFrame, folders: DataFrame, owners: DataFrame) -> DataFrame:
-    """(id, at, acct) by the log folder (proc, from_ts, to_ts, acct) around an event, the newest first: its only owner, else its last owner line (proc, ts, acct)."""
-    days = folders.withColumn("_day", F.explode(F.sequence(F.to_date("from_ts"), F.to_date("to_ts")))).withColumnRenamed("acct", "sole")
-    inside = events.select("id", *KEYS, F.col("ts").alias("t"), F.to_date("ts").alias("_day")).join(days, [*KEYS, "_day"]).where("t between from_ts and to_ts")
-    named = inside.where("sole <> ''").select("id", "from_ts", F.col("from_ts").alias("at"), F.col("sole").alias("acct"))
-    lines = inside.where("sole = ''").join(owners, [*KEYS, "proc"]).where("ts <= t").groupBy("id", "from_ts").agg(F.max(F.struct(F.col("ts").alias("at"), "acct")).alias("r"))
-    return named.unionByName(lines.select("id", "from_ts", "r.*")).groupBy("id").agg(F.max_by(F.struct("at", "acct"), F.struct("from_ts", "at", "acct")).alias("r")).select("id", "r.*")
+    """(id, at, acct) by the log folder (proc, from_ts, to_ts, acct) around an event, the newest first: its only owner, else its last owner line (proc, ts, acct).
+
+    A folder says one thing for its whole time or, without an only owner, from each of its owner lines to the next; of what overlaps, the
+    newest folder's holds. That follows from folders and lines alone, so events look it up as of their time.
+    """
+    whole = folders.where("from_ts <= to_ts").select(*KEYS, "proc", "from_ts", "acct", F.unix_micros("from_ts").alias("begin"), (F.unix_micros("to_ts") + 1).alias("end"))
+    said = lambda at: F.struct("from_ts", F.col(at).alias("at"), "acct").alias("said")
+    named = whole.where("acct <> ''").select(*KEYS, "begin", "end", said("from_ts"))
+    lines = owners.groupBy(*KEYS, "proc", "ts").agg(F.max("acct").alias("acct"))
+    lines = lines.withColumn("next", F.lead("ts").over(Window.partitionBy(*KEYS, "proc").orderBy("ts")))
+    parts = whole.where("acct = ''").drop("acct").join(lines, [*KEYS, "proc"])
+    parts = parts.select(*KEYS, F.greatest("begin", F.unix_micros("ts")).alias("begin"), F.least("end", F.unix_micros("next")).alias("end"), said("ts"))
+    best = staged(best_pieces(named.unionByName(parts), KEYS, "said"))
+    asked = events.select("id", *KEYS, "ts").join(folders.select(*KEYS).distinct(), KEYS, "left_semi")
+    return last_before(asked, best, KEYS, "best").where("best is not null").select("id", "best.at", "best.acct")
 
 
 def recorded(events: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
@@ -117,7 +148,7 @@ def recorded(events: DataFrame, evidence: dict[str, DataFrame]) -> DataFrame:
         F.when((F.col("hint_kind") == "org") & ~F.coalesce("certain", F.lit(False)), "bounded").otherwise("recorded").alias("acct_q"), F.lit(0).alias("ord"),
     )
     more = lambda df, k: df.join(base, "id").select("id", *KEYS, "ts", "at", "acct", F.lit("recorded").alias("acct_q"), F.lit(k).alias("ord"))
-    held = without_login_since(hints.unionByName(more(by_session(events, evidence["sessions"]), 1)), evidence["bounds"])
+    held = without_login_since(staged(hints.unionByName(more(by_session(events, evidence["sessions"]), 1))), evidence["bounds"])
     own = held.unionByName(more(by_process(events, evidence["spans"], evidence["users"]), 2)).unionByName(more(by_folder(events, evidence["folders"], evidence["owners"]), 3))
     best = own.groupBy("id").agg(F.max_by(F.struct("acct", "acct_q"), F.struct("at", acct_rank().alias("r"), (-F.col("ord")).alias("o"))).alias("r"))
     return best.select("id", "r.*")
@@ -134,8 +165,8 @@ def fallback(events: DataFrame, samples: DataFrame, bounds: DataFrame, eras: Dat
     since = F.coalesce("at", F.lit("0001-01-01").cast("timestamp"))
     segment = lambda df: last_before(df, logins, KEYS, "_login").select("id", *KEYS, "ts", since.alias("seg"))
     marked = samples.select(*KEYS, "ts", "acct").distinct().withColumn("id", F.struct(*KEYS, "ts", "acct"))
-    mine = segment(marked).select(*KEYS, "seg", "ts", F.col("id.acct").alias("acct"))
-    here = around(segment(events.select("id", *KEYS, "ts")), mine, [*KEYS, "seg"], "acct", True)
+    mine = staged(segment(marked).select(*KEYS, "seg", "ts", F.col("id.acct").alias("acct")))
+    here = around(staged(segment(events.select("id", *KEYS, "ts"))), mine, [*KEYS, "seg"], "acct", True)
     agreed = mine.groupBy(*KEYS, "seg").agg(F.min("acct").alias("_lo"), F.max("acct").alias("_hi"))
     here = here.join(agreed, [*KEYS, "seg"], "left").join(bounds.select(*KEYS).distinct().withColumn("_bounded", F.lit(True)), KEYS, "left")
     pick = lambda a, b: F.when(F.col(b).isNull() | (_micros(F.col("ts"), F.col(f"{a}.at")) <= _micros(F.col(f"{b}.at"), F.col("ts"))), F.col(f"{a}.acct")).otherwise(F.col(f"{b}.acct"))

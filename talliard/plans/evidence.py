@@ -7,7 +7,7 @@ from talliard.plans import lineage
 from talliard.plans.catalog import query
 from talliard.plans.oracle import ACTIVITY
 from talliard.sources import adapter
-from talliard.tables import table
+from talliard.tables import staged, table
 
 _HOME = "cast(cast(seq as bigint) % 2 as string)"
 
@@ -30,7 +30,9 @@ def _probes(rows):
 
 def _evidence(spark, rows):
     """All kinds of evidence, each derived from events that a hash picks: records are as rare as this among events."""
-    some = lambda k: rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == k)
+    hashed = F.pmod(F.xxhash64("id"), F.lit(64))
+    picked = staged(rows.where(hashed < 5).withColumn("_k", hashed))
+    some = lambda k: picked.where(F.col("_k") == k).drop("_k")
     acct = F.concat(F.lit("a_"), (F.col("n") % 4).cast("string")).alias("acct")
     keys = ["provider", "home"]
     orgs = spark.sql("""select provider, home, org, acct, rank from values ('o_0', 'a_0', 1), ('o_1', 'a_1', 1), ('o_1', 'a_2', 1), ('o_2', 'a_3', 2), ('o_2', 'a_4', 1) as t(org, acct, rank)
@@ -41,7 +43,7 @@ def _evidence(spark, rows):
     owned = some(3).where("provider = 'cursor'")
     half = F.when(F.col("n") % 2 == 0, acct).otherwise("").alias("acct")
     return {
-        "probes": _probes(rows), "bounds": some(0).select(*keys, "ts"), "sessions": some(1).where("session <> ''").select(*keys, "session", "ts", acct), "orgs": orgs, "samples": some(2).select(*keys, "ts", acct),
+        "probes": staged(_probes(rows)), "bounds": some(0).select(*keys, "ts"), "sessions": some(1).where("session <> ''").select(*keys, "session", "ts", acct), "orgs": orgs, "samples": some(2).select(*keys, "ts", acct),
         "spans": spans, "users": some(4).where("provider = 'xai'").select(*keys, proc, "ts", acct),
         "folders": owned.select(*keys, F.col("id").alias("proc"), F.col("ts").alias("from_ts"), F.expr("ts + interval 5 hours").alias("to_ts"), half),
         "owners": owned.select(*keys, F.col("id").alias("proc"), F.expr("ts + interval 1 hour").alias("ts"), acct), "plans": lineage.plan_records(spark, rows),
@@ -50,7 +52,7 @@ def _evidence(spark, rows):
 
 @query("cx_14_accounts_of_events")
 def cx_14(spark, sf_dir):
-    rows = _events(spark, sf_dir)
+    rows = staged(_events(spark, sf_dir))
     return accounts.attributed(rows, _evidence(spark, rows))
 
 

@@ -136,3 +136,29 @@ def test_no_evidence(case, spark):
     empty = {k: v.limit(0) for k, v in tables.items()}
     rows = accounts.attributed(df.where("hint = ''"), empty).groupBy("acct", "acct_q").count().collect()
     assert [(r.acct, r.acct_q) for r in rows] == [("", "unknown")]
+
+
+def test_folders_around_events_meet_no_events(spark):
+    """Many folders around the same time: the newest that says something, as by a loop; and no event is paired with all of them."""
+    rng = random.Random(3)
+    when = lambda: rng.randrange(0, 4000)
+    folders, owners = [], []
+    for k in range(120):
+        start = when()
+        folders.append(("cursor", "1", f"f{k}", at(start), at(start + rng.choice([-5, 0, 1, 700, 2000])), rng.choice(["", "", "a", "b"])))
+        owners += [("cursor", "1", f"f{k}", at(start + d), rng.choice("abc")) for d in (rng.randrange(-300, 900) for _ in range(rng.randrange(0, 4)))]
+    events = [(i, rng.choice(["cursor", "xai"]), rng.choice(["1", "1", "2"]), at(when())) for i in range(500)]
+    want = {}
+    for i, p, h, t in events:
+        said = [((f, f, sole) if sole else max(((f, o, a) for _, _, pr, o, a in owners if pr == proc and o <= t), default=None)) for _, _, proc, f, to, sole in folders if f <= t <= to]
+        if (p, h) == ("cursor", "1") and any(said):
+            want[i] = max(filter(None, said))[1:]
+    keys = "provider string, home string, "
+    df = accounts.by_folder(
+        spark.createDataFrame(events, f"id long, {keys} ts timestamp"), spark.createDataFrame(folders, keys + "proc string, from_ts timestamp, to_ts timestamp, acct string"),
+        spark.createDataFrame(owners, keys + "proc string, ts timestamp, acct string"),
+    )
+    zoned = lambda t: t.replace(tzinfo=None)
+    assert {r.id: (zoned(r.at), r.acct) for r in df.collect()} == want and len(want) > 100
+    joins = [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert joins and not [x for x in joins if "<=" in x or ">=" in x]
