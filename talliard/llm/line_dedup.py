@@ -29,6 +29,9 @@ from talliard.tables import table
 #: Lines of fewer words match only if they are equal, so that one edit is a fifth of a line at most.
 MIN_WORDS = 5
 
+#: What parts words within a line.
+BLANKS = "\x20\x09\x0b\x0c\x0d"
+
 #: Halves: the first and last words by the length m of the shorter line, for m = n (own) and m = n - 1.
 _HALVES = {
     "h0": f"if(n >= {MIN_WORDS}, xxhash64(n, 0, slice(words, 1, n div 2)), null)",
@@ -52,13 +55,15 @@ _ONE_EDIT = """case when size(a) = size(b) then slice(a, cast(same as int) + 2,
 def lines_of(docs: DataFrame) -> DataFrame:
     """(place: doc, row and line_no from 0, line) of all lines; a text without lines is a null line 0."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    rows = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("row"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    # the hash has a step of its own, else every line would hash its whole text
+    rows = docs.select(doc.alias("doc"), F.xxhash64("doc_id", "text").alias("row"), "text")
+    rows = rows.select("doc", "row", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     return rows.select(F.struct("doc", "row", F.coalesce("line_no", F.lit(0)).alias("line_no")).alias("place"), "line")
 
 
 def with_words(lines: DataFrame) -> DataFrame:
     """Lines with their words and the number n of these."""
-    blanks = F.translate(F.coalesce("line", F.lit("")), "\x09\x0b\x0c\x0d", "    ")
+    blanks = F.translate(F.coalesce("line", F.lit("")), BLANKS[1:], "    ")
     return lines.withColumn("words", F.array_remove(F.split(blanks, " "), "")).withColumn("n", F.size("words"))
 
 
@@ -66,7 +71,9 @@ def _verdicts(docs: DataFrame) -> DataFrame:
     """(place, why) of all lines with a word and of lines 0; why is null for lines that stay, else equal or near."""
     digest = F.unhex(F.md5(F.array_join("words", " ")))
     halves = [F.expr(x).alias(name) for name, x in _HALVES.items()]
-    seen = stored(with_words(lines_of(docs)).where("n > 0 or place.line_no = 0").select("place", F.when(F.col("n") > 0, digest).alias("digest"), *halves))
+    # whether a line has a word is asked of the line, as a filter by n would split it once more
+    lines = lines_of(docs).where((F.ltrim(F.col("line"), F.lit(BLANKS)) != "") | (F.col("place.line_no") == 0))
+    seen = stored(with_words(lines).select("place", F.when(F.col("n") > 0, digest).alias("digest"), *halves))
     firsts = stored(seen.where("digest is not null").groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("lines"), *(F.first(h).alias(h) for h in _HALVES)))
     by_half = firsts.select("first", F.expr(_BY_HALF)).where("half is not null")
     shared = by_half.groupBy("half").agg(F.count_if("own").alias("n_own"), F.count_if(~F.col("own")).alias("n_more")).where("n_own > 1 or (n_own > 0 and n_more > 0)")

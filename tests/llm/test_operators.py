@@ -247,6 +247,12 @@ def test_jaccard_join_same_ids(spark):
     assert jaccard_join.classes(empty(spark)).count() == 0
 
 
+def test_line_dedup_hashes_a_text_once(spark):
+    """The hash of a text is taken before its lines are made, not again for each of them."""
+    plan = line_dedup.lines_of(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64(") == 1 and plan.index("Generate ") < plan.index("xxhash64(")
+
+
 def test_line_dedup(spark):
     lines = ["a b c d e f", "a b c d x f", "a b c d e f", "b c d e f", "short line", "short lime", "", "a b c d e f g h", "q b c d e f g h", "a b d e f"]
     rows = [(1, "\n".join(lines[:5])), (2, "\n".join(lines[5:])), (3, None), (4, "")]
