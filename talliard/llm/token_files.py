@@ -8,9 +8,11 @@ The files are rows of a Parquet table in any store that Spark can write to (shar
 bytes), so commits and retries are Spark's.
 
 Where the loaded tokenizer's normalizer, splitter and special tokens are those for which no composition, match or
-token crosses a blank or line feed (parts_at_blanks), each distinct piece between these is encoded once while a
-bounded table of pieces lasts, and the ids of pieces are joined; a test holds this against whole texts of letters that
-compose, marks, digits and special tokens. With any other tokenizer whole texts are encoded.
+token crosses a blank or line feed (parts_at_blanks), each distinct word of the pieces between these is encoded once
+while a bounded table of words lasts, and the ids of pieces are joined; tests hold this against whole texts of letters
+that compose, marks, digits and special tokens. With any other tokenizer whole texts are encoded.
+Arrow splits some BYTES of text and finds their distinct pieces, so that Python sees each of these once. Words new to a
+worker go to the tokenizer's model many at once, in one string: an id that ends a word tells them apart.
 
 Null and empty texts hold the end id only. A null doc_id is written as NO_ID, the smallest long, and read as null. Documents with the same doc_id follow each other by text, null first;
 equal rows are alike. An empty table gives no file and no rows. Other columns are ignored.
@@ -24,6 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +38,24 @@ MAGIC = b"TWM1"
 END_ID = 2
 #: Ids in a shard, but for its last document.
 SHARD_TOKENS = 1 << 22
-#: Pieces that a worker remembers before it starts over.
-PIECES = 250_000
+#: Words that a worker learns or meets before it starts over; it keeps the ones of the time before, unless they are four times as many.
+WORDS = 150_000
+#: Words that the model gets at once.
+AT_ONCE = 10_000
 #: Letters of a text by which equal doc_ids are dealt.
 BEGIN = 512
-#: Texts that are in pieces at once.
-TEXTS = 32
+#: Bytes of texts that are in pieces at once, but for one more text; whole texts that are encoded at once.
+BYTES, TEXTS = 4 << 20, 32
 #: Marks behind letters; the end of the Latin letters that neither composing nor folding changes into anything but one letter, but for one.
 MARKS, LATIN, FALLS_APART = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u0250", "\u0130"
+#: Small letters of Latin-1; Latin-1 in small letters, with line feeds as blanks, by byte.
+WORD = "^[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+$"
+SMALL = bytes(range(256)).decode("latin-1").replace("\n", " ").lower().encode("latin-1")
 #: A normalizer that neither moves nor drops anything across a blank, and a splitter whose matches hold none.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLITTER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Bits for each entry of a plane's directory.
-RANK_BITS = 4096
+#: Bits for each entry of a plane's directory; ids that are parted by a bit at once, by their places, which is faster than by a mask.
+RANK_BITS, PARTED = 4096, 1 << 16
 
 
 def parts_at_blanks(tokenizer: dict) -> bool:
@@ -61,6 +69,10 @@ def parts_at_blanks(tokenizer: dict) -> bool:
     )
 
 
+def spans(n: int) -> list[slice]:
+    return [slice(at, at + PARTED) for at in range(0, n, PARTED)]
+
+
 def write_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     """The bytes of one shard's file."""
     import zstandard
@@ -89,7 +101,7 @@ def write_file(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> byt
         ones = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), RANK_BITS // 8), dtype=np.int64)
         put(pack(packed.tobytes()))
         put(pack(np.concatenate(([0], np.cumsum(ones))).astype("<u4").tobytes()))
-        rest = np.concatenate((rest[~bit], rest[bit]))
+        rest = np.concatenate([rest[at][np.flatnonzero(bit[at] == one)] for one in (False, True) for at in spans(len(rest))])
     return out.getvalue()
 
 
@@ -176,9 +188,12 @@ class TokenFile:
         code = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for b, (bits, _) in enumerate(reversed(self.planes)):
             bit = np.unpackbits(bits, count=self.n).view(bool)
-            before, zeros = np.empty_like(code), self.n - int(np.count_nonzero(bit))
-            before[~bit] = code[:zeros]
-            before[bit] = code[zeros:] | code.dtype.type(1 << b)
+            before, zero, one = np.empty_like(code), 0, self.n - int(np.count_nonzero(bit))
+            for at in spans(self.n):
+                zeros, ones = np.flatnonzero(~bit[at]), np.flatnonzero(bit[at])
+                before[at][zeros] = code[zero : zero + len(zeros)]
+                before[at][ones] = code[one : one + len(ones)] | code.dtype.type(1 << b)
+                zero, one = zero + len(zeros), one + len(ones)
             code = before
         return self.alphabet[code]
 
@@ -193,11 +208,21 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known, self.past = Tokenizer.from_file(path), {"": b""}, {}
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.by_piece = parts_at_blanks(json.loads(self.tokenizer.to_str()))
+        made = json.loads(self.tokenizer.to_str())
+        self.by_piece = parts_at_blanks(made)
+        self.special = [t["content"].lower() for t in made["added_tokens"]]
+        # the same model behind blanks alone: for ASCII letters, which are their own bytes' letters, and for others
+        blanks, letters = pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain, self.latin = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer, self.latin.pre_tokenizer = blanks, pre_tokenizers.Sequence([blanks, letters])
+        # which ids end a word
+        vocabulary, suffix = self.plain.get_vocab(), made["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -208,36 +233,75 @@ class Encoder:
     def encoded(self, texts: list[str]):
         return (np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def learn(self, pieces: list[str]) -> None:
-        """Latin letters with ASCII marks behind are two pieces, as the tokenizer splits there, in small letters; any other piece stays whole."""
-        known, found = self.known, {}
-        for p in pieces:
-            core = p.rstrip(MARKS)
-            if core.isalpha() and max(core) < LATIN and FALLS_APART not in core:
-                found[p] = core.lower(), p[len(core) :]
+    def words(self, words: list[str], tokenizer):
+        """The ids, as bytes, of words of small Latin letters, which the splitter hands to the model as they are."""
+        for some in (words[at : at + AT_ONCE] for at in range(0, len(words), AT_ONCE)):
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(some):
+                data, to = ids.tobytes(), (ends * ids.itemsize).tolist()
+                yield from (data[a:b] for a, b in zip([0, *to], to))
+            else:  # a model that drops letters or does not mark ends
+                yield from (x.tobytes() for x in self.encoded(some))
+
+    def learn(self, words: set[str], whole: set[str]) -> None:
+        """Makes words of small Latin letters known, and pieces that the tokenizer gets as they are."""
+        known, past = self.known, self.past
+        new = [x for x in words if x not in known]
+        known |= {x: past[x] for x in new if x in past}
+        plain, latin = ([x for x in new if x not in past and x.isascii() == a] for a in (True, False))
+        known |= zip(plain, self.words(plain, self.plain))
+        known |= zip(latin, self.words(latin, self.latin))
+        rest = [x for x in whole if x not in known]
+        known |= {x: past[x] for x in rest if x in past}
+        rest = [x for x in rest if x not in past]
+        known |= zip(rest, (x.tobytes() for x in self.encoded(rest)))
+
+    def distinct(self, pieces: pa.Array) -> list[bytes]:
+        """The ids of each piece. Latin letters with ASCII marks behind are two, as the tokenizer splits there, in small letters; any other piece stays whole."""
+        if len(self.known) > WORDS:
+            self.past, self.known = self.known if len(self.known) < 4 * WORDS else {}, {"": b""}
+        cores = pc.ascii_rtrim(pieces, MARKS)
+        small = pc.match_substring_regex(cores, WORD).to_numpy(zero_copy_only=False)
+        marked = pc.not_equal(pc.binary_length(cores), pc.binary_length(pieces)).to_numpy(zero_copy_only=False)
+        heads, whole, marks = cores.to_numpy(zero_copy_only=False).tolist(), {}, {}
+        other = np.flatnonzero(~small | marked)
+        for k, p, of_small in zip(other.tolist(), pieces.take(pa.array(other)).to_numpy(zero_copy_only=False).tolist(), small[other].tolist(), strict=True):
+            core = heads[k]
+            if of_small or (core.isalpha() and max(core) < LATIN and FALLS_APART not in core):
+                heads[k], marks[k] = core.lower(), p[len(core) :]
             else:
-                found[p] = p, ""
-        new = [x for x in {x for pair in found.values() for x in pair} if x not in known]
-        # a word of small ASCII letters is what the splitter hands to the model as it is
-        plain, model = [x.isascii() and x.isalpha() and x.islower() for x in new], self.tokenizer.model
-        rest = self.encoded([x for x, p in zip(new, plain, strict=True) if not p])
-        for piece, p in zip(new, plain, strict=True):
-            known[piece] = np.array([t.id for t in model.tokenize(piece)], self.kind).tobytes() if p else next(rest).tobytes()
-        for p, (core, marks) in found.items():
-            known[p] = known[core] + known[marks]
+                heads[k] = whole[k] = p
+        self.learn(set(heads).difference(whole.values()), {*whole.values(), *marks.values()})
+        ids = list(map(self.known.__getitem__, heads))
+        for k, x in marks.items():
+            ids[k] += self.known[x]
+        return ids
+
+    def small(self, text: str) -> str:
+        """A text with blanks for line feeds; one of Latin-1 in small letters, unless a special token could come or go with that."""
+        try:
+            small = text.encode("latin-1").translate(SMALL).decode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ")
+        return text.replace("\n", " ") if any(t in small for t in self.special) else small
 
     def all(self, texts: list[str | None]):
         """The ids of each text; pieces of all are held."""
         few = [t or "" for t in texts]
         if not self.by_piece:
-            yield from self.encoded(few)
+            for at in range(0, len(few), TEXTS):
+                yield from self.encoded(few[at : at + TEXTS])
             return
-        pieces = [t.replace("\n", " ").split(" ") for t in few]
-        if len(self.known) > PIECES:
-            self.known = {"": b""}
-        self.learn([p for p in set().union(*pieces) if p not in self.known])
-        for p in pieces:
-            yield np.frombuffer(b"".join(map(self.known.__getitem__, p)), self.kind)
+        pieces = pc.split_pattern(pa.array(map(self.small, few), pa.large_string()), " ")
+        coded = pieces.flatten().dictionary_encode()
+        ids = self.distinct(coded.dictionary)
+        ends, index = np.cumsum([len(x) for x in ids], dtype=np.int64) // np.dtype(self.kind).itemsize, coded.indices.to_numpy()
+        lengths = np.diff(ends, prepend=0)[index]
+        to = np.concatenate(([0], np.cumsum(lengths)))
+        found = np.frombuffer(b"".join(ids), self.kind)[np.arange(to[-1]) + np.repeat(ends[index] - to[1:], lengths)]
+        cuts = to[pieces.offsets.to_numpy()].tolist()
+        yield from (found[a:b] for a, b in zip(cuts, cuts[1:]))
 
 
 def default_tokenizer() -> str:
@@ -265,7 +329,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
         for batch in batches:
             encoder = encoder or Encoder.of(tokenizer or default_tokenizer())
             end = np.array([end_id], encoder.kind)
-            for few in (batch.slice(at, TEXTS) for at in range(0, batch.num_rows, TEXTS)):
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BYTES)) + 1).tolist(), batch.num_rows]
+            for few in (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])):
                 for doc_id, ids in zip(few.column(0).to_pylist(), encoder.all(texts(few)), strict=True):
                     held.append((doc_id, np.concatenate((ids, end))))
                     size += len(held[-1][1])

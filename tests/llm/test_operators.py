@@ -1,6 +1,7 @@
 """Each operator on a small fixture with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -332,6 +333,39 @@ def test_encoder_on_any_script():
     assert [x.tolist() for x in encoder.all(texts[:500])] == want[:500]
 
 
+def test_encoder_learns_many_words_at_once(tmp_path, monkeypatch):
+    rng, path = random.Random(12), token_files.default_tokenizer()
+    words = sorted({"".join(rng.choice("aeinrstlzéßñ") for _ in range(rng.randint(1, 9))) for _ in range(3_000)})
+    texts = [" ".join(rng.choice((w, w.upper(), w.title() + ".", w + "!!\nA")) for w in rng.sample(words, 400)) for _ in range(40)]
+    texts += ["<|ENDOFTEXT|> Zé<|endoftext|>É <|StartOfText|>", "É IT'S\tÀ\x85B\xa0C µª", "ÉTÉ \u0130É \u0179 \ua7aa", "", " \n "]
+
+    def check(encoder):
+        want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [x.tolist() for k in range(0, len(texts), 5) for x in encoder.all(texts[k : k + 5])] == want
+
+    encoder, alone = token_files.Encoder(path), []
+    one_by_one = encoder.encoded
+    encoder.encoded = lambda some: one_by_one([alone.append(x) or x for x in some])
+    check(encoder)
+    assert len(alone) < 50, "only what is no Latin word goes to the tokenizer alone"
+    # over 500 words, what was met is forgotten in part, and over 50 wholly
+    for pieces in (500, 50):
+        monkeypatch.setattr(token_files, "WORDS", pieces)
+        check(token_files.Encoder(path))
+    # models that do not mark the end of a word, or drop a letter there
+    for change in ("suffix", "letter"):
+        made = json.loads(open(path).read())
+        if change == "suffix":
+            made["model"]["end_of_word_suffix"] = None
+        else:
+            made["model"]["merges"] = []
+            del made["model"]["vocab"]["z</w>"]
+        (tmp_path / change).write_text(json.dumps(made))
+        encoder = token_files.Encoder(str(tmp_path / change))
+        assert encoder.by_piece
+        check(encoder)
+
+
 def test_token_files_null_ids(spark):
     docs = spark.createDataFrame([(-1, "minus"), (None, "none"), (-7, "seven"), (3, "three")], "doc_id long, text string")
     got = sorted(token_files.token_files(docs).collect(), key=lambda r: r.start)
